@@ -145,7 +145,7 @@ def users_of(rows: DataFrame, users: DataFrame) -> DataFrame:
     return users.join(ids, F.col("id") == F.col("_uid"), "left_semi")
 
 
-def merge_sale(matched: DataFrame) -> DataFrame:
+def merge_sale(matched: DataFrame, *more: Column) -> DataFrame:
     """The order and line columns of a sale, from a line with its ``order`` struct."""
     return matched.select(
         F.col("id").alias("order_detail_id"),
@@ -157,6 +157,7 @@ def merge_sale(matched: DataFrame) -> DataFrame:
         "sku_price",
         "sku_name",
         F.col("order.create_date").alias("dt"),
+        *more,
     )
 
 
