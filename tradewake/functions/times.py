@@ -20,13 +20,13 @@ def hour_of_millis(ms: Column) -> Column:
 
 def day_of_text(create_time: Column) -> Column:
     """Date part of ``yyyy-MM-dd HH:mm:ss``; null when there is no time part."""
-    parts = F.split(create_time, " ")
-    return F.when(F.get(parts, F.lit(1)).isNotNull(), F.get(parts, F.lit(0)))
+    return F.when(F.instr(create_time, " ") > 0, F.substring_index(create_time, " ", 1))
 
 
 def hour_of_text(create_time: Column) -> Column:
     """Hour part of ``yyyy-MM-dd HH:mm:ss``; null when there is no time part."""
-    return F.get(F.split(F.get(F.split(create_time, " "), F.lit(1)), ":"), F.lit(0))
+    time = F.split_part(create_time, F.lit(" "), F.lit(2))
+    return F.nullif(F.substring_index(time, ":", 1), F.lit(""))
 
 
 def previous_day(day: str) -> str:
@@ -37,3 +37,8 @@ def previous_day(day: str) -> str:
 def hours_of_day() -> list[str]:
     """``00`` to ``23``."""
     return [f"{hour:02d}" for hour in range(24)]
+
+
+def bucket_start(micros: Column, width: int) -> Column:
+    """Start of the bucket of ``width`` microseconds that a time lies in."""
+    return micros - F.pmod(micros, F.lit(width))

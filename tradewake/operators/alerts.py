@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewake.functions import values
+from tradewake.functions import times, values
 from tradewake.operators.dedup import first_per_key
 
 COUPON = "coupon"
@@ -72,37 +72,34 @@ def alerting(state: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def suspects(
+def suspect_buckets(
     events: DataFrame, window_seconds: int, threshold: int, at: str = "at"
 ) -> DataFrame:
-    """The events of devices and times that can lie in an alerting window.
+    """Devices and buckets of time, ``(_mid, _bucket)``, that can lie in an alerting window.
 
     Every window lies within two neighbouring tumbling buckets of its length. Where
     such a pair has fewer coupon accounts than the threshold, no window in it can
-    alert. Kept are the events of both buckets of every other pair, so the windows
-    that can alert stay complete. Those are rare, and only they are expanded into
-    sliding windows.
+    alert. Both buckets of every other pair are returned, some of them twice.
     """
-    bucket = F.floor(F.unix_micros(F.col(at)) / F.lit(window_seconds * 1_000_000))
-    claims = (
-        events.where(F.col("evid") == COUPON)
-        .select("mid", "uid", bucket.alias("_b"))
-        .distinct()
-        .withColumn("_pair", F.explode(F.array(F.col("_b") - 1, F.col("_b"))))
-    )
+    width = window_seconds * 1_000_000
+    bucket = times.bucket_start(F.unix_micros(F.col(at)), width)
+    claims = events.where(F.col("evid") == COUPON).select("mid", "uid", bucket.alias("_b")).distinct()
     pairs = (
-        claims.select("mid", "uid", "_pair")
+        claims.select("mid", "uid", F.explode(F.array(F.col("_b") - width, F.col("_b"))).alias("_pair"))
         .distinct()
         .groupBy("mid", "_pair")
         .agg(F.count(F.lit(1)).alias("_accounts"))
         .where(F.col("_accounts") >= threshold)
-        .select(
-            F.col("mid").alias("_mid"),
-            F.explode(F.array("_pair", F.col("_pair") + 1)).alias("_bucket"),
-        )
     )
+    both = F.explode(F.array("_pair", F.col("_pair") + width))
+    return pairs.select(F.col("mid").alias("_mid"), both.alias("_bucket"))
+
+
+def suspects(events: DataFrame, buckets: DataFrame, window_seconds: int, at: str = "at") -> DataFrame:
+    """The events that lie in the given buckets: complete for every window that can alert."""
+    bucket = times.bucket_start(F.unix_micros(F.col(at)), window_seconds * 1_000_000)
     same = F.col("mid").eqNullSafe(F.col("_mid")) & (bucket == F.col("_bucket"))
-    return events.join(pairs, same, "left_semi")
+    return events.join(buckets, same, "left_semi")
 
 
 def coupon_alerts(
@@ -111,9 +108,23 @@ def coupon_alerts(
     slide_seconds: int,
     threshold: int,
     at: str = "at",
+    scratch: str | None = None,
 ) -> DataFrame:
-    """Batch form: all alerts, one per device and minute."""
-    narrowed = suspects(events.select("mid", "uid", "itemid", "evid", at), window_seconds, threshold, at)
+    """Batch form: all alerts, one per device and minute.
+
+    Only suspect events are expanded into sliding windows. With ``scratch``, a
+    folder all executors share, the list of suspects is written there first. Its
+    size is then known when the events are filtered, and as long as it is below
+    Spark's broadcast limit the events are filtered where they are read instead of
+    being shuffled.
+    """
+    _check(window_seconds, slide_seconds)
+    needed = events.select("mid", "uid", "itemid", "evid", at)
+    buckets = suspect_buckets(needed, window_seconds, threshold, at)
+    if scratch is not None:
+        buckets.write.mode("overwrite").parquet(scratch)
+        buckets = events.sparkSession.read.schema(buckets.schema).parquet(scratch)
+    narrowed = suspects(needed, buckets, window_seconds, at)
     return alert_per_minute(alerting(window_state(narrowed, window_seconds, slide_seconds, at), threshold))
 
 

@@ -33,18 +33,16 @@ def drop_seen(launches: DataFrame, seen: DataFrame) -> DataFrame:
     """Launches of devices that ``seen`` does not list for the same day.
 
     ``seen`` grows with the devices, so no broadcast is asked for; the measured
-    size decides. Null devices are compared like any other value.
+    size decides.
     """
-    known = seen.select(F.col("mid").alias("_mid"), F.col("logDate").alias("_day"))
-    same = F.col("mid").eqNullSafe(F.col("_mid")) & (F.col("logDate") == F.col("_day"))
-    return launches.join(known, same, "left_anti")
+    return launches.join(seen.select("mid", "logDate"), ["mid", "logDate"], "left_anti")
 
 
 def first_launch_not_seen(launches: DataFrame, seen: DataFrame) -> DataFrame:
     """Daily first launches of devices that are new for the day.
 
     The reduction to one row per device goes first: it leaves the anti join with
-    small, even keys.
+    small, even keys that already lie where the join needs them.
     """
     return drop_seen(first_launch_of_day(launches), seen)
 

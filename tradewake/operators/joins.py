@@ -10,35 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewake.functions import values
+from tradewake.functions import times, values
+from tradewake.schemas import SALE_DETAIL
 
 
 def lines_with_orders_outer(lines: DataFrame, orders: DataFrame) -> DataFrame:
     """Full outer join of lines and orders on the order id.
 
     Columns are ``order_id`` and the structs ``line`` and ``order``, one of them
-    null where there is no partner. It is a left join of the lines, whose hot
-    order ids adaptive execution can split (it cannot split a full outer join),
-    and the orders that no line names. Lines without an order id can have no
-    partner and stay out of the shuffle.
+    null where there is no partner. It is a left join of the lines plus the orders
+    that no line names: adaptive execution can split a hot (or null) order id of a
+    left join, but not of a full outer join. The second reading of the lines takes
+    their order id only.
     """
     o = orders.select(F.col("id").alias("_oid"), F.struct(*orders.columns).alias("order"))
     l = lines.select("order_id", F.struct(*lines.columns).alias("line"))
-    named = l.where(F.col("order_id").isNotNull())
-    nameless = l.where(F.col("order_id").isNull())
-    matched = named.join(o, F.col("order_id") == F.col("_oid"), "left").select("order_id", "line", "order")
-    used = lines.select(F.col("order_id").alias("_used")).where(F.col("_used").isNotNull()).distinct()
-    unused = o.join(used, F.col("_oid") == F.col("_used"), "left_anti")
-    lineless = unused.select(F.col("_oid").alias("order_id"), "order")
-    return matched.unionByName(lineless, allowMissingColumns=True).unionByName(
-        nameless, allowMissingColumns=True
+    with_line = l.join(o, F.col("order_id") == F.col("_oid"), "left").select("order_id", "line", "order")
+    used = lines.select(F.col("order_id").alias("_used")).distinct()
+    lineless = o.join(used, F.col("_oid") == F.col("_used"), "left_anti")
+    return with_line.unionByName(
+        lineless.select(F.col("_oid").alias("order_id"), "order"), allowMissingColumns=True
     )
 
 
-def _seconds(at: Column) -> Column:
-    return F.unix_micros(at) / F.lit(1_000_000)
-
-
 def late_join(
     lines: DataFrame,
     orders: DataFrame,
@@ -61,8 +55,8 @@ def late_join(
     thus meets at most two rows, whatever the number of repeats; documents keyed by
     order and line id keep one of them.
     """
-    width = before_seconds + after_seconds
-    bucket = F.floor(_seconds(F.col(order_at)) / F.lit(width))
+    width = (before_seconds + after_seconds) * 1_000_000
+    bucket = times.bucket_start(F.unix_micros(F.col(order_at)), width)
     repeats = orders.where(F.col("id").isNotNull()).groupBy(
         F.col("id").alias("_oid"), bucket.alias("_bucket")
     ).agg(
@@ -71,15 +65,15 @@ def late_join(
         F.max(F.struct(F.col(order_at).alias("_at"), F.struct(*orders.columns).alias("order")))["order"]
         .alias("order"),
     )
-    reach = repeats.withColumn("_slot", F.explode(F.array("_bucket", F.col("_bucket") + 1)))
+    reach = repeats.withColumn("_slot", F.explode(F.array("_bucket", F.col("_bucket") + width)))
 
-    lowest = _seconds(F.col(line_at)) - F.lit(after_seconds)
-    highest = _seconds(F.col(line_at)) + F.lit(before_seconds)
+    lowest = F.unix_micros(F.col(line_at)) - after_seconds * 1_000_000
+    highest = F.unix_micros(F.col(line_at)) + before_seconds * 1_000_000
     slotted = lines.where(F.col("order_id").isNotNull()).withColumn(
-        "_line_slot", F.floor(highest / F.lit(width))
+        "_line_slot", times.bucket_start(highest, width)
     )
-    in_slot = (F.col("_slot") == F.col("_bucket")) & (_seconds(F.col("_first")) <= highest)
-    slot_before = (F.col("_slot") != F.col("_bucket")) & (_seconds(F.col("_last")) >= lowest)
+    in_slot = (F.col("_slot") == F.col("_bucket")) & (F.unix_micros("_first") <= highest)
+    slot_before = (F.col("_slot") != F.col("_bucket")) & (F.unix_micros("_last") >= lowest)
     same = (F.col("order_id") == F.col("_oid")) & (F.col("_line_slot") == F.col("_slot"))
     return slotted.join(reach, same & (in_slot | slot_before)).select(*lines.columns, "order")
 
@@ -163,8 +157,6 @@ def merge_sale(matched: DataFrame, *more: Column) -> DataFrame:
 
 def sale_columns(sales: DataFrame) -> DataFrame:
     """The twelve columns of the sale table, in order."""
-    from tradewake.schemas import SALE_DETAIL
-
     return sales.select(*SALE_DETAIL.names)
 
 

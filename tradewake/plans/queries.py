@@ -221,7 +221,9 @@ def coupon_window_state(spark, folder):
 
 
 def _alerts(spark, folder):
-    return alerts.coupon_alerts(d.events(spark, folder), WINDOW, SLIDE, config.ALERT_ACCOUNTS)
+    return alerts.coupon_alerts(
+        d.events(spark, folder), WINDOW, SLIDE, config.ALERT_ACCOUNTS, scratch=shared_folder(spark)
+    )
 
 
 def _alert_columns(found: DataFrame) -> DataFrame:
@@ -246,7 +248,11 @@ def coupon_alerts_five_minutes(spark, folder):
     """The original window and slide. One account is enough here: no device of
     these tables has three within five minutes."""
     found = alerts.coupon_alerts(
-        d.events(spark, folder), config.ALERT_WINDOW_SECONDS, config.ALERT_SLIDE_SECONDS, threshold=1
+        d.events(spark, folder),
+        config.ALERT_WINDOW_SECONDS,
+        config.ALERT_SLIDE_SECONDS,
+        threshold=1,
+        scratch=shared_folder(spark),
     )
     return _alert_columns(found)
 
