@@ -69,13 +69,13 @@ def _windows(window: int, slide: int) -> str:
     FROM slot GROUP BY mid, start_s)"""
 
 
-def _alerts(window: int, slide: int, threshold: int) -> str:
+def _alerts(window: int, slide: int, threshold: int, closed: str = "true") -> str:
     return f"""WITH {_windows(window, slide)}, alert AS (
     SELECT *, (start_s + {window}) * 1000 AS end_ms, make_timestamp((start_s + {window}) * 1000000) AS end_at
     FROM state WHERE accounts >= {threshold} AND views = 0)
     SELECT strftime(end_at, '%Y-%m-%d') AS day, mid || '-' || strftime(end_at, '%H:%M') AS doc_id, mid, uids,
            items AS item_ids, event_list AS events, CAST(end_ms AS BIGINT) AS ts
-    FROM alert
+    FROM alert WHERE {closed}
     QUALIFY row_number() OVER (PARTITION BY mid, date_trunc('minute', end_at) ORDER BY end_at DESC) = 1"""
 
 
@@ -279,4 +279,16 @@ ORACLES: dict[str, str] = {
     "user_snapshot": f"""WITH {_USER} SELECT id, login_name,
         CASE WHEN user_level = 'BUILDING' THEN 'VIP' ELSE user_level END AS user_level,
         strftime(born, '%Y-%m-%d') AS birthday, gender FROM user_info""",
+    "stream_first_launches": f"""WITH {_LAUNCH} SELECT DISTINCT mid AS "MID", log_date AS "LOGDATE" FROM launch""",
+    "stream_alerts": _alerts(q.WINDOW, q.SLIDE, config.ALERT_ACCOUNTS,
+                             "end_at <= (SELECT max(ts) FROM event) - INTERVAL 1 HOUR"),
+    "stream_sales": f"""WITH {_SALE}, times AS (
+        SELECT d.id, d.order_id, d.sku_id, d.sku_price FROM order_detail d JOIN order_info o ON d.order_id = o.id
+        AND o.order_at BETWEEN d.line_at - INTERVAL {q.AFTER // 86400} DAY AND d.line_at + INTERVAL {q.BEFORE // 86400} DAY),
+        near AS (SELECT DISTINCT sale.* FROM sale JOIN times t ON t.id = sale.order_detail_id
+        AND t.order_id = sale.order_id AND t.sku_id = sale.sku_id AND t.sku_price = sale.sku_price)
+        {_LATEST_SALE.replace("FROM sale", "FROM near")}""",
+    "stream_log_routes": f"""WITH {_LAUNCH} SELECT {_LANDED} AS value, CASE WHEN type = 'startup'
+        THEN '{config.TOPIC_LAUNCH}' ELSE '{config.TOPIC_EVENT}' END AS topic FROM launch""",
+    "stream_change_routes": f"WITH {_CHANGE} SELECT topic, value FROM routed",
 }

@@ -12,8 +12,10 @@ from tradewake.functions import values
 from tradewake.operators import alerts, changes, dedup, ingest, joins, metrics, search
 from tradewake.plans import reports
 from tradewake.session import configure, shared_folder
+from tradewake.config import JobPaths
 from tradewake.sources import driver_tables as d
-from tradewake.sources import sql_reports, tables
+from tradewake.sources import sql_reports, tables, topics
+from tradewake.streaming import jobs
 
 # Parameters with results on these tables.
 DAY = "2024-01-02"
@@ -458,3 +460,73 @@ def user_snapshot(spark, folder):
     store.upsert(users, 0)
     store.upsert(users.where("user_level = 'BUILDING'").withColumn("user_level", F.lit("VIP")), 1)
     return store.compact(spark, f"{root}/merged").read(spark)
+
+
+# --- streaming jobs over the same tables, run until all files are read ---------
+
+
+def _paths(spark: SparkSession) -> JobPaths:
+    root = shared_folder(configure(spark, streaming=True))
+    return JobPaths(f"{root}/tables", f"{root}/checkpoints", f"{root}/raw")
+
+
+def _finish(job) -> None:
+    job.awaitTermination()
+    if job.exception():
+        raise job.exception()
+
+
+@query
+def stream_first_launches(spark, folder):
+    """Device-days of the launch job. Which launch of a day arrives first is open."""
+    paths = _paths(spark)
+    _finish(jobs.launch_job(d.log_records(spark, folder, d.stream_table), paths, once=True))
+    return tables.launch_table(paths.tables).read(spark).select("MID", "LOGDATE")
+
+
+@query
+def stream_alerts(spark, folder):
+    """Alerts of the windows that are closed an hour before the last event."""
+    paths = _paths(spark)
+    source = d.event_records(spark, folder, d.stream_table)
+    _finish(jobs.alert_job(source, paths, once=True, window_seconds=WINDOW, slide_seconds=SLIDE, delay="1 hour"))
+    return _alert_columns(tables.alert_table(paths.tables).read(spark))
+
+
+@query
+def stream_sales(spark, folder):
+    """The sale job with its user table, with time limits in days."""
+    paths = _paths(spark)
+    tables.user_table(paths.tables).upsert(d.users(spark, folder), 0)
+    job = jobs.sale_job(
+        d.order_records(spark, folder, d.stream_table),
+        d.line_records(spark, folder, d.stream_table),
+        paths,
+        _as_of(),
+        once=True,
+        before_seconds=BEFORE,
+        after_seconds=AFTER,
+        delay="400 days",
+    )
+    _finish(job)
+    return tables.sale_table(paths.tables).read(spark)
+
+
+@query
+def stream_log_routes(spark, folder):
+    """Stamped log lines by topic, as the routing job publishes them."""
+    paths = _paths(spark)
+    source = d.log_records(spark, folder, d.stream_table)
+    out = paths.table("topics")
+    _finish(jobs.log_route_job(source, lambda rows: topics.file_sink(rows, out), paths, F.lit(STAMP_MILLIS), once=True))
+    return spark.read.schema("value string, topic string").json(out)
+
+
+@query
+def stream_change_routes(spark, folder):
+    """Change records by topic, as the routing job publishes them."""
+    paths = _paths(spark)
+    source = d.change_records(spark, folder, d.stream_table)
+    out = paths.table("topics")
+    _finish(jobs.change_route_job(source, lambda rows: topics.file_sink(rows, out), paths, once=True))
+    return spark.read.schema("value string, topic string").json(out)

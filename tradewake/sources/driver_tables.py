@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a stream of its files."""
+    shape = table(spark, folder, name).schema
+    return spark.readStream.schema(shape).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+Reader = Callable[[SparkSession, str, str], DataFrame]
+
+
 def _millis(at: Column) -> Column:
     # The files hold zone-less times; count from a zone-less epoch.
     return F.timestamp_diff("MILLISECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), at)
@@ -31,8 +42,8 @@ def _text(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
 
 
-def _keyed_events(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select(
+def _keyed_events(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
+    return read(spark, folder, "events").select(
         "event_id",
         "event_type",
         "value",
@@ -47,28 +58,36 @@ def launches(spark: SparkSession, folder: str) -> DataFrame:
     return with_log_time(_keyed_events(spark, folder).select("event_id", "mid", "uid", "ts"))
 
 
-def logs(spark: SparkSession, folder: str) -> DataFrame:
+def logs(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
     """Every event as a raw log row; sign-ups are launches."""
     kind = F.when(F.col("event_type") == "signup", "startup").otherwise("event")
-    return _keyed_events(spark, folder).select(
+    return _keyed_events(spark, folder, read).select(
         "event_id", kind.alias("type"), "mid", "uid", "ts"
     )
 
 
-def log_records(spark: SparkSession, folder: str) -> DataFrame:
+def _records(value: Column, timestamp: Column, offset: Column | None = None) -> list[Column]:
+    """The columns of topic records."""
+    last = offset if offset is not None else F.lit(0).cast("bigint")
+    return [value.alias("value"), timestamp.alias("timestamp"), last.alias("offset")]
+
+
+def log_records(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
     """The same rows as topic records with the JSON text of each line."""
-    rows = logs(spark, folder)
-    return rows.select(
-        F.to_json(F.struct("type", "mid", "uid", "ts")).alias("value"),
-        F.timestamp_millis("ts").alias("timestamp"),
-        F.col("event_id").alias("offset"),
-    )
+    line = F.to_json(F.struct("type", "mid", "uid", "ts"))
+    return logs(spark, folder, read).select(*_records(line, F.timestamp_millis("ts"), F.col("event_id")))
+
+
+def event_records(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
+    """Every event line as a topic record."""
+    line = F.to_json(F.struct("mid", "uid", "evid", "itemid", "ts"))
+    return events(spark, folder, read).select(*_records(line, F.col("at"), F.col("event_id")))
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
+def events(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
     """Every event as an event line, with its time ``at``."""
     evid = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in EVENT_IDS.items()])
-    return _keyed_events(spark, folder).select(
+    return _keyed_events(spark, folder, read).select(
         "event_id",
         "mid",
         "uid",
@@ -89,9 +108,9 @@ def purchases(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
+def raw_orders(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
     """Orders as received: all 18 fields, those without a source null, and ``order_at``."""
-    o = table(spark, folder, "orders").join(
+    o = read(spark, folder, "orders").join(
         table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")
     )
     known = {
@@ -113,17 +132,24 @@ def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
     return o.select(*fields, at.alias("order_at"))
 
 
+def order_records(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
+    """Orders as topic records."""
+    rows = raw_orders(spark, folder, read)
+    fields = [c for c in rows.columns if c != "order_at"]
+    return rows.select(*_records(F.to_json(F.struct(*fields)), F.col("order_at")))
+
+
 def orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with their derived day and hour."""
     return with_create_time(raw_orders(spark, folder))
 
 
-def lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines with the part name, the parsed price and the time ``line_at``."""
-    l = table(spark, folder, "lineitem").join(
+def raw_lines(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
+    """Order lines as received, with the part name and the time ``line_at``."""
+    l = read(spark, folder, "lineitem").join(
         table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey")
     )
-    rows = l.select(
+    return l.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"),
         F.col("l_orderkey").cast("string").alias("order_id"),
         F.col("p_name").alias("sku_name"),
@@ -132,7 +158,18 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_quantity").cast("string").alias("sku_num"),
         F.timestamp_millis(_millis(F.col("l_shipdate"))).alias("line_at"),
     )
-    return prepare_lines(rows).drop("problem")
+
+
+def line_records(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
+    """Order lines as topic records."""
+    rows = raw_lines(spark, folder, read)
+    fields = [c for c in rows.columns if c != "line_at"]
+    return rows.select(*_records(F.to_json(F.struct(*fields)), F.col("line_at")))
+
+
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines with their parsed price."""
+    return prepare_lines(raw_lines(spark, folder)).drop("problem")
 
 
 def users(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,7 +185,14 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def changes(spark: SparkSession, folder: str) -> DataFrame:
+def change_records(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
+    """Changes as topic records."""
+    line = F.to_json(F.struct("entry_type", "table", "op", "rows"))
+    at = F.timestamp_seconds(F.lit(0))
+    return changes(spark, folder, read).select(*_records(line, at))
+
+
+def changes(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
     """Orders, customers and lines as change records of one row each.
 
     The operation follows the key; one key in eleven is no row data.
@@ -168,7 +212,7 @@ def changes(spark: SparkSession, folder: str) -> DataFrame:
             F.array(after).alias("rows"),
         )
 
-    o, c, l = (table(spark, folder, n) for n in ("orders", "customer", "lineitem"))
+    o, c, l = (read(spark, folder, n) for n in ("orders", "customer", "lineitem"))
     return (
         records("order_info", o, "o_orderkey", id=F.col("o_orderkey"), user_id=F.col("o_custkey"),
                 order_status=F.col("o_orderstatus"))

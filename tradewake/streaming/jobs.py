@@ -30,7 +30,24 @@ def _start(writer: DataStreamWriter, checkpoint: str, once: bool) -> StreamingQu
 
 
 def _per_batch(rows: DataFrame, write: Callable[[DataFrame, int], None], name: str) -> DataStreamWriter:
-    return rows.writeStream.queryName(name).outputMode("append").foreachBatch(write)
+    """Writer that hands each batch to ``write``.
+
+    Spark turns adaptive execution off in the session of a stateful stream, where
+    the number of state partitions is fixed. What is done with the result of a
+    batch is batch work again, and its joins and files need it: so it is on for
+    the time of the call.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        conf = batch.sparkSession.conf
+        before = conf.get("spark.sql.adaptive.enabled")
+        conf.set("spark.sql.adaptive.enabled", "true")
+        try:
+            write(batch, batch_id)
+        finally:
+            conf.set("spark.sql.adaptive.enabled", before)
+
+    return rows.writeStream.queryName(name).outputMode("append").foreachBatch(run)
 
 
 def launch_job(source: DataFrame, paths: JobPaths, once: bool = False, delay: str = "1 day") -> StreamingQuery:
@@ -72,7 +89,12 @@ def user_job(source: DataFrame, paths: JobPaths, once: bool = False) -> Streamin
 
 
 def matched_sales(
-    order_source: DataFrame, line_source: DataFrame, delay: str = "10 seconds", salts: int = 4
+    order_source: DataFrame,
+    line_source: DataFrame,
+    before_seconds: int = config.LINE_BEFORE_ORDER_SECONDS,
+    after_seconds: int = config.LINE_AFTER_ORDER_SECONDS,
+    delay: str = "10 seconds",
+    salts: int = 4,
 ) -> DataFrame:
     """Lines with their orders from the two streams, joined on source time."""
     orders = ingest.accepted(ingest.prepare_sale_orders(ingest.decode(order_source, schemas.ORDER, ["id"])))
@@ -81,9 +103,7 @@ def matched_sales(
         "id", "order_status", "create_time", "user_id", "create_date", F.col("timestamp").alias("order_at")
     )
     l = lines.select("id", "order_id", "sku_id", "sku_price", "sku_name", F.col("timestamp").alias("line_at"))
-    joined = joins.late_join_stream(
-        l, o, config.LINE_BEFORE_ORDER_SECONDS, config.LINE_AFTER_ORDER_SECONDS, delay=delay, salts=salts
-    )
+    joined = joins.late_join_stream(l, o, before_seconds, after_seconds, delay=delay, salts=salts)
     # The order's time tells which of two records of one order is the later.
     return joins.merge_sale(joined, F.col("order.order_at"))
 
@@ -94,14 +114,15 @@ def sale_job(
     paths: JobPaths,
     as_of: Column | None = None,
     once: bool = False,
-    delay: str = "10 seconds",
+    **limits,
 ) -> StreamingQuery:
     """Sale details with the user as known when the batch runs, into the sale table.
 
-    ``as_of`` is the day ages are counted to, by default the current one.
+    ``as_of`` is the day ages are counted to, by default the current one; ``limits``
+    go to :func:`matched_sales`.
     """
     spark = order_source.sparkSession
-    sales = metrics.observed(matched_sales(order_source, line_source, delay), "sales")
+    sales = metrics.observed(matched_sales(order_source, line_source, **limits), "sales")
     store = tables.sale_table(paths.tables)
     users = tables.user_table(paths.tables)
     today = as_of if as_of is not None else F.current_date()
