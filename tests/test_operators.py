@@ -228,7 +228,7 @@ def test_missing_user_keeps_defaults(spark):
     )
     got = joins.with_users(sales, users, F.lit("2020-12-31")).select("order_id", "user_gender", "user_age", "user_level").orderBy("order_id")
     assert [tuple(r) for r in got.collect()] == [("1", "M", 31, "2"), ("2", None, 0, None), ("3", "F", 0, "1"), ("4", None, 0, None)]
-    assert rows(joins.users_of(sales.where("order_id < '3'"), users), "id") == [("a",)]
+    assert rows(joins.user_ids(sales)) == [("a",), ("b",), ("c",)]
 
 
 # --- alerts ------------------------------------------------------------------
@@ -398,6 +398,22 @@ def test_upsert_is_idempotent_and_last_write_wins(spark, tmp_path):
     assert rows(merged.read(spark), "id", "user_level") == [("1", "b"), ("2", "c")]
 
 
+def test_wanted_keys_are_filtered_before_the_shuffle(spark, tmp_path):
+    store = tables.user_table(str(tmp_path))
+    users = spark.range(1000).select(
+        F.col("id").cast("string").alias("id"), *[F.lit("x").alias(c) for c in schemas.USER.names[1:]]
+    )
+    store.upsert(users, 0)
+    store.upsert(users.where("id < '2'").withColumn("user_level", F.lit("new")), 1)
+    wanted = spark.createDataFrame([("1",), ("5",), ("none",)], "id string").persist()
+    assert wanted.count() == 3
+    got = store.read(spark, wanted=wanted)
+    assert rows(got, "id", "user_level") == [("1", "new"), ("5", "x")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning") < plan.index("BroadcastHashJoin")
+    wanted.unpersist()
+
+
 def test_day_filter_reads_one_partition(spark, tmp_path):
     store = tables.sale_table(str(tmp_path))
     docs = sales(spark).withColumn("doc_id", F.col("order_detail_id"))

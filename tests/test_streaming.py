@@ -188,6 +188,34 @@ def test_repeated_order_gives_one_document_with_its_latest_values(spark, paths,
     assert (row.doc_id, row.order_status, row.user_age, row.user_gender) == ("o:l", "new", 0, None)
 
 
+def test_sale_state_survives_a_crash_in_the_middle_of_a_batch(spark, paths, feed, monkeypatch):
+    orders, lines = feed("orders"), feed("lines")
+    lines.send((line("waiting", "o"), 0))
+    orders.send((order("other"), 0))
+    whole = tables.KeyedTable.upsert
+
+    def run():
+        return jobs.sale_job(orders.stream(), lines.stream(), paths, once=True)
+
+    finish(run())
+    orders.send((order("o"), 5))
+    lines.send((line("with", "o"), 5))
+
+    def write_then_fail(self, rows, batch_id, order=()):
+        whole(self, rows, batch_id, order)
+        raise RuntimeError("lost after the write, before the commit")
+
+    monkeypatch.setattr(tables.KeyedTable, "upsert", write_then_fail)
+    broken = run()
+    with pytest.raises(Exception, match="lost after the write"):
+        broken.awaitTermination(120)
+    monkeypatch.setattr(tables.KeyedTable, "upsert", whole)
+    finish(run())
+    stored = tables.sale_table(paths.tables)
+    assert sorted(r.doc_id for r in stored.read(spark).collect()) == ["o:waiting", "o:with"]
+    assert spark.read.parquet(stored.path).count() == 2
+
+
 def event(mid, uid, evid, seconds, item="i"):
     return {"type": "event", "mid": mid, "uid": uid, "evid": evid, "itemid": item, "pgid": 3, "ts": ms(seconds)}
 

@@ -129,14 +129,9 @@ def with_users(rows: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def users_of(rows: DataFrame, users: DataFrame) -> DataFrame:
-    """The part of a user table that a batch of rows needs.
-
-    The ids of a batch are few beside the table, so this is the join in which the
-    small side may be sent to all tasks and the table stays where it is.
-    """
-    ids = rows.select(F.col("user_id").alias("_uid")).where("_uid is not null").distinct()
-    return users.join(ids, F.col("id") == F.col("_uid"), "left_semi")
+def user_ids(rows: DataFrame) -> DataFrame:
+    """The ids of the users that a batch of rows needs."""
+    return rows.select(F.col("user_id").alias("id")).where(F.col("id").isNotNull()).distinct()
 
 
 def merge_sale(matched: DataFrame, *more: Column) -> DataFrame:

@@ -42,11 +42,16 @@ class KeyedTable:
         folder = f"{self.path}/{BATCH}={batch_id}"
         self._write(latest, folder)
 
-    def read(self, spark: SparkSession, day: str | None = None) -> DataFrame:
+    def read(
+        self, spark: SparkSession, day: str | None = None, wanted: DataFrame | None = None
+    ) -> DataFrame:
         """The current row of every key.
 
         With ``day``, only the folders of that partition are listed and read; a
         filter on the full table reads as little but lists every folder first.
+        With ``wanted``, a frame of keys, all other rows are dropped first, so that
+        the shuffle to the latest rows moves wanted keys only. Few wanted keys are
+        broadcast by Spark and the table is filtered where it lies.
         """
         folders = self.path if day is None else f"{self.path}/{BATCH}=*/{self.partition}={day}"
         try:
@@ -55,6 +60,8 @@ class KeyedTable:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             return spark.createDataFrame([], self.schema)
+        if wanted is not None:
+            stored = stored.join(wanted.select(*self.key), list(self.key), "left_semi")
         current = first_per_key(stored, self._group(), [F.col(BATCH).desc()])
         return current.select(*self.schema.names)
 

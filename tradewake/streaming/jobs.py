@@ -121,17 +121,19 @@ def sale_job(
     ``as_of`` is the day ages are counted to, by default the current one; ``limits``
     go to :func:`matched_sales`.
     """
-    spark = order_source.sparkSession
     sales = metrics.observed(matched_sales(order_source, line_source, **limits), "sales")
     store = tables.sale_table(paths.tables)
     users = tables.user_table(paths.tables)
     today = as_of if as_of is not None else F.current_date()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # read twice: for its user ids and for its rows
+        batch.persist()  # read for its size, its user ids and its rows
         try:
-            needed = joins.users_of(batch, users.read(spark))
-            full = joins.with_users(batch, needed, today)
+            if not batch.count():
+                return
+            # The size is known now: Spark broadcasts the ids if they are few.
+            known = users.read(batch.sparkSession, wanted=joins.user_ids(batch))
+            full = joins.with_users(batch, known, today)
             doc_id = values.sale_document_id(F.col("order_id"), F.col("order_detail_id"))
             store.upsert(full.withColumn("doc_id", doc_id), batch_id, ["order_at"])
         finally:
