@@ -130,6 +130,16 @@ def test_stamp_uses_the_query_clock_by_default(spark):
     assert before - 1000 <= ts <= before + 60_000
 
 
+def test_stamp_keeps_every_field_and_replaces_ts(spark):
+    got = ingest.stamp(
+        records(spark, '{"ts":1,"type":"a","type":"startup","pgid":7,"more":{"ts":2}}', "[1]", None), F.lit(42)
+    )
+    (row,) = ingest.accepted(got).collect()
+    assert (row.type, row.pgid, row.mid, row.ts) == ("startup", "7", None, 42)
+    assert row.line == '{"type":"startup","pgid":7,"more":{"ts":2},"ts":42}'
+    assert [r.problem for r in ingest.quarantined(got).collect()] == ["malformed"] * 2
+
+
 def test_change_routes(spark):
     cases = {
         ("order_info", "INSERT"): config.TOPIC_ORDER,

@@ -254,7 +254,7 @@ def test_alerts_in_stream_equal_batch(spark, paths, feed):
 def test_logs_are_stamped_landed_and_routed(spark, paths, feed, tmp_path):
     f = feed("logs")
     f.send(
-        ({"type": "startup", "mid": "a", "ts": 1}, 0), ({"type": "event", "mid": "a", "evid": "coupon", "pgid": 7}, 1),
+        ({"type": "startup", "mid": "a", "ts": 1}, 0), ({"type": "event", "mid": "a", "evid": "coupon", "pgid": 7, "new": {"x": [1, None]}}, 1),
         ({"mid": "b", "ts": "x"}, 2), ("nonsense", 3),
     )
     now = F.lit(ms(42))
@@ -269,7 +269,7 @@ def test_logs_are_stamped_landed_and_routed(spark, paths, feed, tmp_path):
         (config.TOPIC_EVENT, "a"), (config.TOPIC_EVENT, "b"), (config.TOPIC_LAUNCH, "a"),
     ]
     event_line = [json.loads(r.value) for r in routed if "coupon" in r.value]
-    assert event_line == [{"type": "event", "mid": "a", "evid": "coupon", "pgid": "7", "ts": ms(42)}]
+    assert event_line == [{"type": "event", "mid": "a", "evid": "coupon", "pgid": 7, "new": {"x": [1, None]}, "ts": ms(42)}]
 
 
 def change(table, op, *rows, entry_type="ROWDATA"):

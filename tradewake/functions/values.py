@@ -67,3 +67,13 @@ def dated_name(prefix: str, day: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-case words of a text. Letters of any script count, so CJK text survives."""
     return F.array_remove(F.split(F.lower(text), NOT_A_WORD), "")
+
+
+def last_of_each(entries: Column, name: str) -> Column:
+    """Entries of an array of structs without those whose ``name`` comes again later."""
+    return F.filter(
+        entries,
+        lambda entry, i: ~F.exists(
+            F.slice(entries, i + F.lit(2), F.size(entries)), lambda later: later[name] == entry[name]
+        ),
+    )

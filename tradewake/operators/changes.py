@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewake import config
+from tradewake.functions import values
 
 # Table and operations that are passed on, with their topic.
 ROUTES = (
@@ -37,13 +38,7 @@ def route_changes(changes: DataFrame) -> DataFrame:
 def after_image(columns: Column) -> Column:
     """JSON object of a row's columns. A repeated name keeps its last value."""
     named = F.filter(columns, lambda c: c["name"].isNotNull())
-    last_wins = F.filter(
-        named,
-        lambda c, i: ~F.exists(
-            F.slice(named, i + F.lit(2), F.size(named)), lambda later: later["name"] == c["name"]
-        ),
-    )
-    return F.to_json(F.map_from_entries(last_wins))
+    return F.to_json(F.map_from_entries(values.last_of_each(named, "name")))
 
 
 def after_images(routed: DataFrame) -> DataFrame:

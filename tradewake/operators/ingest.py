@@ -81,20 +81,29 @@ def decode_logs(records: DataFrame, schema: T.StructType, required: Iterable[str
 
 
 def stamp(records: DataFrame, at_millis: Column | None = None) -> DataFrame:
-    """Replace the ``ts`` of raw log lines by the time they were received.
+    """Raw log lines with the time they were received as their ``ts``.
 
-    ``at_millis`` defaults to the clock of the query. Lines that are no JSON
-    objects come out with a ``problem``.
+    ``at_millis`` defaults to the clock of the query. Next to the known fields comes
+    ``line``, the whole record as JSON: every field the sender gave, with its type,
+    but for ``ts``, which is replaced. Lines that are no JSON objects come out with
+    a ``problem``.
     """
-    now = at_millis if at_millis is not None else F.unix_millis(F.current_timestamp())
-    rows = decode(records, RAW_LOG).withColumn("ts", now.cast("bigint"))
-    # The sender's own ts does not matter, so a bad one is no problem either.
-    return rows.withColumn(PROBLEM, F.when(F.col(PROBLEM) != "bad ts", F.col(PROBLEM)))
-
-
-def log_line(rows: DataFrame) -> Column:
-    """One JSON line of a raw log row. Absent fields are left out."""
-    return F.to_json(F.struct(*[F.col(name) for name in RAW_LOG.names if name in rows.columns]))
+    now = (at_millis if at_millis is not None else F.unix_millis(F.current_timestamp())).cast("bigint")
+    given = F.map_entries(F.from_json("value", "map<string,variant>"))
+    fields = F.map_from_entries(values.last_of_each(given, "key"))
+    rows = records.select("*", F.explode(F.array(fields)).alias("_f"))
+    others = F.map_filter("_f", lambda name, _: name != "ts")
+    return rows.select(
+        *[
+            F.try_variant_get(F.col("_f")[name], "$", "string").alias(name)
+            for name in RAW_LOG.names
+            if name != "ts"
+        ],
+        now.alias("ts"),
+        F.to_json(F.map_concat(others, F.create_map(F.lit("ts"), now.cast("variant")))).alias("line"),
+        F.when(F.col("_f").isNull(), F.lit("malformed")).alias(PROBLEM),
+        "value",
+    )
 
 
 def is_launch(kind: Column) -> Column:

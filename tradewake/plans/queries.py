@@ -97,7 +97,7 @@ def route_logs(spark, folder):
 def raw_landing(spark, folder):
     stamped = ingest.accepted(ingest.stamp(d.log_records(spark, folder), F.lit(STAMP_MILLIS)))
     landed = stamped.select(
-        ingest.log_line(stamped).alias("value"), F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd").alias("log_date")
+        F.col("line").alias("value"), F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd").alias("log_date")
     )
     path = shared_folder(spark)
     tables.write_raw_logs(landed, path)

@@ -176,7 +176,7 @@ def stamped_logs(source: DataFrame, at_millis: Column | None = None) -> DataFram
     routed = ingest.route_logs(rows, config.TOPIC_LAUNCH, config.TOPIC_EVENT)
     return routed.select(
         "topic",
-        ingest.log_line(rows).alias("value"),
+        F.col("line").alias("value"),
         F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd").alias("log_date"),
     )
 
