@@ -66,7 +66,7 @@ def test_rest_of_hundred(spark):
 
 def test_tokens_keep_all_scripts(spark):
     assert one(spark, values.tokens(F.lit("小米 Note-3, (Pro)"))) == (["小米", "note", "3", "pro"],)
-    assert one(spark, values.tokens(F.lit(""))) == ([],)
+    assert one(spark, values.tokens(F.lit("")), values.tokens(F.lit(None).cast("string"))) == ([], [])
 
 
 def test_times(spark):
@@ -354,6 +354,12 @@ def test_keyword_needs_every_word(spark, keyword, ids):
     assert {r.order_detail_id for r in search.hits(sales(spark), "2020-01-01", keyword).collect()} == ids
 
 
+def test_a_sale_without_a_name_is_found_without_a_keyword(spark):
+    nameless = sales(spark).limit(1).withColumn("sku_name", F.lit(None).cast("string"))
+    assert search.page(search.hits(nameless, "2020-01-01"), "", 1, 5).count() == 1
+    assert search.hits(nameless, "2020-01-01", "blue").count() == 0
+
+
 def test_pages_are_in_order_and_end(spark):
     found = search.hits(sales(spark), "2020-01-01", "blue")
     ids = lambda n: [r.order_detail_id for r in search.page(found, "blue", n, 2).collect()]

@@ -65,8 +65,11 @@ def dated_name(prefix: str, day: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words of a text. Letters of any script count, so CJK text survives."""
-    return F.array_remove(F.split(F.lower(text), NOT_A_WORD), "")
+    """Lower-case words of a text. Letters of any script count, so CJK text survives.
+
+    No text has no words.
+    """
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_A_WORD), "")
 
 
 def last_of_each(entries: Column, name: str) -> Column:

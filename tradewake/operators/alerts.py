@@ -83,9 +83,9 @@ def suspect_buckets(
     """
     width = window_seconds * 1_000_000
     bucket = times.bucket_start(F.unix_micros(F.col(at)), width)
-    claims = events.where(F.col("evid") == COUPON).select("mid", "uid", bucket.alias("_b")).distinct()
     pairs = (
-        claims.select("mid", "uid", F.explode(F.array(F.col("_b") - width, F.col("_b"))).alias("_pair"))
+        events.where(F.col("evid") == COUPON)
+        .select("mid", "uid", F.explode(F.array(bucket - width, bucket)).alias("_pair"))
         .distinct()
         .groupBy("mid", "_pair")
         .agg(F.count(F.lit(1)).alias("_accounts"))

@@ -100,7 +100,7 @@ def late_join_stream(
     l = lines.withWatermark(line_at, delay)
     same = F.col("order_id") == F.col("_oid")
     if salts > 1:
-        l = l.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+        l = l.withColumn("_salt", F.pmod(F.xxhash64("id", line_at), F.lit(salts)).cast("int"))
         o = o.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         same = same & (F.col("_salt") == F.col("_copy"))
     near = F.col("_at").between(
