@@ -40,9 +40,15 @@ _SALE = f"""{_ORDER}, {_LINE}, {_USER}, sale AS (
            o.create_date AS dt
     FROM order_detail d JOIN order_info o ON d.order_id = o.id LEFT JOIN user_info u ON o.user_id = u.id)"""
 _WORDS = r"regexp_extract_all(lower(sku_name), '[\p{L}\p{N}]+')"
-_HITS = f"""{_SALE}, hits AS (
-    SELECT *, CAST(1 AS DOUBLE) / len(list_distinct({_WORDS})) AS closeness FROM sale
+
+
+def _hits(source: str) -> str:
+    return f"""hits AS (
+    SELECT *, CAST(1 AS DOUBLE) / len(list_distinct({_WORDS})) AS closeness FROM {source}
     WHERE dt = '{q.SEARCH_DAY}' AND list_contains({_WORDS}, '{q.KEYWORD.lower()}'))"""
+
+
+_HITS = f"{_SALE}, {_hits('sale')}"
 _HIT_ORDER = """closeness DESC, order_id, order_detail_id, order_status, create_time, user_id, sku_id, user_gender,
     user_age, user_level, sku_price, sku_name"""
 _DAY_HITS = f"{_SALE}, hits AS (SELECT * FROM sale WHERE dt = '{q.ORDER_DAY}')"
@@ -272,9 +278,8 @@ ORACLES: dict[str, str] = {
         CASE WHEN order_status = 'F' THEN total_amount + 1 ELSE total_amount END AS "TOTAL_AMOUNT",
         create_date AS "CREATE_DATE" FROM order_info""",
     "sale_upsert": f"WITH {_SALE} {_LATEST_SALE}",
-    "sale_table_search": f"""WITH {_HITS}, latest AS (SELECT * FROM hits QUALIFY row_number() OVER (
-        PARTITION BY order_id, order_detail_id ORDER BY sku_id DESC, sku_price DESC, sku_name DESC) = 1)
-        SELECT {_SALE_COLUMNS} FROM latest ORDER BY {_HIT_ORDER} LIMIT {q.PAGE_SIZE}""",
+    "sale_table_search": f"""WITH {_SALE}, latest AS ({_LATEST_SALE}), {_hits("latest")}
+        SELECT {_SALE_COLUMNS} FROM hits ORDER BY {_HIT_ORDER} LIMIT {q.PAGE_SIZE}""",
     "alert_upsert": _alerts(q.WINDOW, q.SLIDE, config.ALERT_ACCOUNTS),
     "user_snapshot": f"""WITH {_USER} SELECT id, login_name,
         CASE WHEN user_level = 'BUILDING' THEN 'VIP' ELSE user_level END AS user_level,
