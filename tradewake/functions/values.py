@@ -73,10 +73,23 @@ def tokens(text: Column) -> Column:
 
 
 def last_of_each(entries: Column, name: str) -> Column:
-    """Entries of an array of structs without those whose ``name`` comes again later."""
+    """Entries of an array of structs without those whose ``name`` comes again later.
+
+    ``entries`` has to be a plain column: it is read again for every entry.
+    """
     return F.filter(
         entries,
         lambda entry, i: ~F.exists(
-            F.slice(entries, i + F.lit(2), F.size(entries)), lambda later: later[name] == entry[name]
+            F.slice(entries, i + F.lit(2), F.size(entries)),
+            lambda later: later[name].eqNullSafe(entry[name]),
         ),
     )
+
+
+def once(value: Column) -> Column:
+    """A value as the output of a generator, for use in ``select``.
+
+    It is computed once per row. A plain column would be computed again for every
+    mention in a later filter, because the optimizer moves filters below it.
+    """
+    return F.explode(F.array(value))

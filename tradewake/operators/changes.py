@@ -37,8 +37,8 @@ def route_changes(changes: DataFrame) -> DataFrame:
 
 def after_image(columns: Column) -> Column:
     """JSON object of a row's columns. A repeated name keeps its last value."""
-    named = F.filter(columns, lambda c: c["name"].isNotNull())
-    return F.to_json(F.map_from_entries(values.last_of_each(named, "name")))
+    named = F.filter(values.last_of_each(columns, "name"), lambda c: c["name"].isNotNull())
+    return F.to_json(F.map_from_entries(named))
 
 
 def after_images(routed: DataFrame) -> DataFrame:

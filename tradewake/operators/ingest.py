@@ -26,9 +26,7 @@ def decode(records: DataFrame, schema: T.StructType, required: Iterable[str] = (
     """
     wire = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     parsed = F.from_json("value", wire.add(_CORRUPT, T.StringType()), {"mode": "PERMISSIVE"})
-    # As the output of a generator the text is parsed once. As a plain column it
-    # would be parsed again for every mention of a field in a pushed-down filter.
-    rows = records.select("*", F.explode(F.array(parsed)).alias("_r"))
+    rows = records.select("*", values.once(parsed).alias("_r"))
     checks = [
         F.when(F.col("value").isNull() | F.col(f"_r.{_CORRUPT}").isNotNull(), F.lit("malformed"))
     ]
@@ -90,8 +88,8 @@ def stamp(records: DataFrame, at_millis: Column | None = None) -> DataFrame:
     """
     now = (at_millis if at_millis is not None else F.unix_millis(F.current_timestamp())).cast("bigint")
     given = F.map_entries(F.from_json("value", "map<string,variant>"))
-    fields = F.map_from_entries(values.last_of_each(given, "key"))
-    rows = records.select("*", F.explode(F.array(fields)).alias("_f"))
+    fields = F.map_from_entries(values.last_of_each(F.col("_g"), "key"))
+    rows = records.select("*", values.once(given).alias("_g")).select("*", values.once(fields).alias("_f"))
     others = F.map_filter("_f", lambda name, _: name != "ts")
     return rows.select(
         *[

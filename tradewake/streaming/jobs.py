@@ -205,7 +205,7 @@ def log_route_job(
 
 def routed_changes(source: DataFrame) -> DataFrame:
     """Change records given as JSON, as ``topic`` and ``value`` of each passed-on row."""
-    parsed = source.select(F.from_json("value", schemas.CHANGE).alias("c")).select("c.*")
+    parsed = source.select(values.once(F.from_json("value", schemas.CHANGE)).alias("c")).select("c.*")
     return changes.after_images(changes.route_changes(parsed))
 
 
