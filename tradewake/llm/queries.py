@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tradewake.llm.near_dedup import op3_minhash_odd_sketches
+from tradewake.llm.packing import op5_minimum_bin_slack
 from tradewake.llm.sharding import op1_rendezvous_shards
 from tradewake.llm.substrings import op10_debruijn_substrings
 
@@ -9,6 +11,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_rendezvous_shards,
+        op3_minhash_odd_sketches,
+        op5_minimum_bin_slack,
         op10_debruijn_substrings,
     )
 }
