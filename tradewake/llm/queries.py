@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tradewake.llm.near_dedup import op3_minhash_odd_sketches
 from tradewake.llm.packing import op5_minimum_bin_slack
+from tradewake.llm.quality_rules import op7_robust_outliers
 from tradewake.llm.sharding import op1_rendezvous_shards
 from tradewake.llm.substrings import op10_debruijn_substrings
 
@@ -13,6 +14,7 @@ QUERIES = {
         op1_rendezvous_shards,
         op3_minhash_odd_sketches,
         op5_minimum_bin_slack,
+        op7_robust_outliers,
         op10_debruijn_substrings,
     )
 }
