@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tradewake.llm.chat import op8_token_level_chat
+from tradewake.llm.decontamination import op9_template_decontamination
 from tradewake.llm.near_dedup import op3_minhash_odd_sketches
 from tradewake.llm.packing import op5_minimum_bin_slack
 from tradewake.llm.quality_rules import op7_robust_outliers
@@ -15,6 +17,8 @@ QUERIES = {
         op3_minhash_odd_sketches,
         op5_minimum_bin_slack,
         op7_robust_outliers,
+        op8_token_level_chat,
+        op9_template_decontamination,
         op10_debruijn_substrings,
     )
 }
