@@ -168,6 +168,8 @@ def pack_documents(
         _pieces(vocabulary, ranks, capacity, end),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long",
     )
+    # Written first: dealing out by ranges would encode every text twice.
+    pieces = Scratch(spark).save(pieces, "encoded")
     return pack(spark, pieces, ["doc_id", "start", "ids_crc32"], capacity)
 
 
