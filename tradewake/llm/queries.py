@@ -5,6 +5,7 @@ from __future__ import annotations
 from tradewake.llm.chat import op8_token_level_chat
 from tradewake.llm.decontamination import op9_template_decontamination
 from tradewake.llm.language_id import op6_language_mixtures
+from tradewake.llm.license_scan import op4_license_bands
 from tradewake.llm.near_dedup import op3_minhash_odd_sketches
 from tradewake.llm.packing import op5_minimum_bin_slack
 from tradewake.llm.quality_rules import op7_robust_outliers
@@ -16,6 +17,7 @@ QUERIES = {
     for f in (
         op1_rendezvous_shards,
         op3_minhash_odd_sketches,
+        op4_license_bands,
         op5_minimum_bin_slack,
         op6_language_mixtures,
         op7_robust_outliers,
