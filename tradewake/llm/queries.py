@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tradewake.llm.chat import op8_token_level_chat
+from tradewake.llm.cotraining import op2_cotrained_quality
 from tradewake.llm.decontamination import op9_template_decontamination
 from tradewake.llm.language_id import op6_language_mixtures
 from tradewake.llm.license_scan import op4_license_bands
@@ -16,6 +17,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_rendezvous_shards,
+        op2_cotrained_quality,
         op3_minhash_odd_sketches,
         op4_license_bands,
         op5_minimum_bin_slack,
