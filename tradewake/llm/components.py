@@ -22,48 +22,38 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     null ends are left out.
     """
 
-    def minima(edges: DataFrame) -> DataFrame:
-        return edges.groupBy("a").agg(F.min("b").alias("low"))
-
     def symmetric(edges: DataFrame) -> DataFrame:
         return edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def larger_below(edges: DataFrame) -> DataFrame:
+    def larger_below(edges: DataFrame, step: str) -> DataFrame:
         both = symmetric(edges)
-        low = minima(both).select("a", F.least("a", "low").alias("low"))
-        return (
-            both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        )
+        # Written, so that the join back, which can meet a hub, starts from plain shuffles.
+        low = scratch.save(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("low")), step)
+        return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
     def smaller_below(edges: DataFrame) -> DataFrame:
-        low = minima(edges)
-        moved = edges.join(low, "a")
-        return (
-            moved.where("b != low")
-            .select(F.col("b").alias("a"), F.col("low").alias("b"))
-            .union(low.select("a", F.col("low").alias("b")))
+        low = edges.groupBy("a").agg(F.min("b").alias("low"))
+        moved = edges.join(low, "a").where("b != low")
+        return moved.select(F.col("b").alias("a"), F.col("low").alias("b")).union(
+            low.select("a", F.col("low").alias("b"))
         )
 
-    def check_sum(edges: DataFrame) -> tuple:
-        row = edges.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")
-        ).first()
-        return row["n"], row["s"]
+    def settled(edges: DataFrame) -> bool:
+        """Whether every node hangs below one node, which hangs below none."""
+        below = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        above = edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        nodes = below.union(above).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return nodes.where("up > 1 or up = 1 and down = 1").isEmpty()
 
     ends = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = scratch.save(ends.distinct(), f"{name}_0")
-    before = check_sum(edges)
     for round_ in range(1, ROUNDS):
-        if before[0] == 0:
-            break
-        edges = scratch.save(
-            smaller_below(larger_below(edges)).where("a != b").distinct(), f"{name}_{round_}"
-        )
-        scratch.drop(f"{name}_{round_ - 1}")
-        after = check_sum(edges)
-        if after == before:
+        if settled(edges):
             break
-        before = after
+        low = f"{name}_{round_}_low"
+        nearer = smaller_below(larger_below(edges, low)).where("a != b").distinct()
+        edges = scratch.save(nearer, f"{name}_{round_}")
+        scratch.drop(low, f"{name}_{round_ - 1}")
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

@@ -5,6 +5,8 @@
    each of its buckets, so a bucket costs as many pairs as it has members.
 3. An odd sketch (the parity bitmap of all MinHash samples) estimates the similarity of
    a pair from one XOR and a population count; pairs far below the threshold end there.
+   A second parity bitmap of the whole set, with which sets of up to some 2,000 shingles
+   are told apart more sharply, counts the shingles that only one text has.
 4. The rest is decided on the full sets. Confirmed pairs are links, links give components.
 5. A bucket whose members are still in more than one component may hold a link that step
    2 did not look at. Blocks of sketches are compared there, first for each node's best
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tradewake.llm import words as H
 from tradewake.llm.components import components
-from tradewake.llm.shared import Scratch, read_table, small_batches
+from tradewake.llm.shared import Scratch, read_table, row_mark, small_batches
 
 WIDTH = 5
 PERCENT = 75
@@ -41,6 +43,9 @@ BITS = 512
 FLOOR = 0.55
 LIMIT = int(BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - FLOOR) / BITS)))
 
+# Bits of the parity bitmap of the whole set.
+SET_BITS = 1024
+
 # Texts compared with one copy of a hub's text, and sketches in a block.
 CELL = 256
 BLOCK = 2048
@@ -51,9 +56,11 @@ _ROW_FACTORS = H._drawn(BAND_ROWS, 9) | H.U64(1)
 _BAND_SALTS = H._drawn(BANDS, 10)
 
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
+PARITY = [f"p{i}" for i in range(SET_BITS // 64)]
+_KNOWN = ["n_shingles", *SKETCH, *PARITY]
 _SIGNED = (
-    "doc_id long, n_shingles long, high long, low long, "
-    + ", ".join(f"{s} long" for s in SKETCH)
+    "doc_id long, row_mark long, n_shingles long, high long, low long, "
+    + ", ".join(f"{s} long" for s in SKETCH + PARITY)
     + ", bands array<long>"
 )
 
@@ -84,10 +91,29 @@ def samples(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+def _parity(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which of ``bits`` bits are set an odd number of times, as 64-bit numbers."""
+    bit = (hashes % H.U64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def odd_sketch(sampled: np.ndarray) -> np.ndarray:
-    """The parity bitmap of the samples, as 64-bit numbers."""
-    bit = H.mix(sampled.astype(H.U64) ^ _SALTS) % H.U64(BITS)
-    return np.packbits(np.bincount(bit.astype(np.int64), minlength=BITS) & 1).view(np.int64)
+    return _parity(H.mix(sampled.astype(H.U64) ^ _SALTS), BITS)
+
+
+def set_parity(shingles: np.ndarray) -> np.ndarray:
+    return _parity(shingles >> H.U64(32), SET_BITS)
+
+
+def set_limit(shingles: np.ndarray) -> np.ndarray:
+    """How far set parities of similar sets may differ, for sets of so many shingles in sum.
+
+    At the threshold a seventh of the sum is in one set only; the expected distance for
+    so many differences and six deviations.
+    """
+    share = (100 - PERCENT) / (100 + PERCENT) * shingles
+    gone = np.exp(-4 * share / SET_BITS)
+    return SET_BITS / 2 * (1 - np.sqrt(gone)) + 6 * np.sqrt(SET_BITS / 4 * (1 - gone) - share * gone) + 2
 
 
 def band_keys(sampled: np.ndarray) -> np.ndarray:
@@ -101,6 +127,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(n, np.int64)
         digest = np.zeros((n, 2), np.int64)
         sketch = np.zeros((n, len(SKETCH)), np.int64)
+        parity = np.zeros((n, len(PARITY)), np.int64)
         bands = []
         for i, shingles in enumerate(shingle_sets(batch.column("text"))):
             count[i] = len(shingles)
@@ -108,26 +135,35 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest[i] = np.frombuffer(hashlib.md5(shingles.tobytes()).digest(), np.int64)
                 sampled = samples(shingles)
                 sketch[i] = odd_sketch(sampled)
+                parity[i] = set_parity(shingles)
                 bands.append(band_keys(sampled))
         ends = np.concatenate([[0], np.cumsum(np.where(count > 0, BANDS, 0))]).astype(np.int32)
         flat = H.as_long(np.concatenate(bands)) if bands else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("row_mark"),
                 pa.array(count),
                 *(pa.array(np.ascontiguousarray(c)) for c in digest.T),
                 *(pa.array(np.ascontiguousarray(c)) for c in sketch.T),
+                *(pa.array(np.ascontiguousarray(c)) for c in parity.T),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
             ],
-            names=["doc_id", "n_shingles", "high", "low", *SKETCH, "bands"],
+            names=["doc_id", "row_mark", "n_shingles", "high", "low", *SKETCH, *PARITY, "bands"],
         )
 
 
-def sketch_distance(left: str, right: str) -> Column:
-    """How many bits two nodes' sketches differ by."""
-    return sum(
-        (F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in SKETCH), F.lit(0)
-    )
+def near_sketches(left: str, right: str) -> Column:
+    """Whether two nodes' sketches allow that their sets are similar."""
+
+    def differ(columns: list[str]) -> Column:
+        bits = [F.bit_count(F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))) for c in columns]
+        return sum(bits, F.lit(0))
+
+    share = (100 - PERCENT) / (100 + PERCENT) * (F.col(f"{left}.n_shingles") + F.col(f"{right}.n_shingles"))
+    gone = F.exp(-4 * share / SET_BITS)
+    limit = SET_BITS / 2 * (1 - F.sqrt(gone)) + 6 * F.sqrt(SET_BITS / 4 * (1 - gone) - share * gone) + 2
+    return (differ(SKETCH) <= LIMIT) & (differ(PARITY) <= limit)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -159,12 +195,12 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def confirmed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirmed(scratch: Scratch, texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) whose texts' full shingle sets reach the similarity.
 
     A hub a with many partners is split into cells of bounded size, each with its text.
     """
-    cells = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("cells"))
+    cells = scratch.save(pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("cells")), f"cells_{name}")
     members = pairs.join(cells, "a").select(
         "a", F.expr("pmod(xxhash64(b), cells)").alias("cell"), "b", F.lit(False).alias("is_hub")
     )
@@ -174,8 +210,8 @@ def confirmed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
         F.col("a").alias("b"),
         F.lit(True).alias("is_hub"),
     )
-    texts = documents.select(F.col("doc_id").alias("b"), "text")
-    rows = members.union(hubs).join(texts, "b").select("a", "cell", "b", "is_hub", "text")
+    own = texts.withColumnRenamed("doc_id", "b")
+    rows = members.union(hubs).join(own.hint("merge"), "b").select("a", "cell", "b", "is_hub", "text")
     return (
         rows.repartition("a", "cell")
         .sortWithinPartitions("a", "cell", F.desc("is_hub"))
@@ -186,16 +222,22 @@ def confirmed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 def _block_pairs(best_only: bool):
     """Rows of a block pair, those to look up first, to the pairs whose sketches are near."""
 
-    def compare(u: list, v: list) -> pa.RecordBatch:
-        un, uc, us = (np.concatenate(x) for x in zip(*u))
-        vn, vc, vs = (np.concatenate(x) for x in zip(*v))
+    def compare(key: int, u: list, v: list) -> pa.RecordBatch:
+        un, uc, us, ub = (np.concatenate(x) for x in zip(*u))
+        vn, vc, vs, vb = (np.concatenate(x) for x in zip(*v))
+        band = int(np.argmax(ub[0] == key))
         left, right = [], []
         for i in range(len(un)):
-            far = np.bitwise_count((vs ^ us[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-            near = np.flatnonzero((far <= LIMIT) & (vc != uc[i]))
+            bits = np.bitwise_count((vs[:, 1:] ^ us[i, 1:]).view(np.uint64))
+            far = bits[:, : len(SKETCH)].sum(axis=1, dtype=np.int64)
+            parity = bits[:, len(SKETCH) :].sum(axis=1, dtype=np.int64)
+            limit = set_limit(vs[:, 0] + us[i, 0])
+            near = np.flatnonzero((far <= LIMIT) & (parity <= limit) & (vc != uc[i]))
             if best_only and len(near):
                 order = near[np.lexsort((vn[near], far[near], vc[near]))]
                 near = order[np.unique(vc[order], return_index=True)[1]]
+            elif len(near):  # a pair is put out in the first bucket that it shares
+                near = near[~(vb[near, :band] == ub[i, :band]).any(axis=1)]
             left.append(np.full(len(near), un[i]))
             right.append(vn[near])
         a, b = np.concatenate(left), np.concatenate(right)
@@ -208,7 +250,8 @@ def _block_pairs(best_only: bool):
         for batch in batches:
             key = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
             node, component = (batch.column(c).to_numpy() for c in ("node", "component"))
-            sketch = np.stack([batch.column(c).to_numpy() for c in SKETCH], axis=1)
+            sketch = np.stack([batch.column(c).to_numpy() for c in _KNOWN], axis=1)
+            bands = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
             asks = batch.column("asks").to_numpy(zero_copy_only=False)
             cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             for begin, end in zip([0, *cut], [*cut, len(key)]):
@@ -216,19 +259,21 @@ def _block_pairs(best_only: bool):
                     continue
                 if here is None or (key[begin] != here).any():
                     if u and v:
-                        yield compare(u, v)
+                        yield compare(here[0], u, v)
                     here, u, v = key[begin].copy(), [], []
                 first = begin + int(asks[begin:end].sum())
                 for rows, into in ((slice(begin, first), u), (slice(first, end), v)):
                     if rows.start < rows.stop:
-                        into.append((node[rows].copy(), component[rows].copy(), sketch[rows].copy()))
+                        into.append(tuple(x[rows].copy() for x in (node, component, sketch, bands)))
         if u and v:
-            yield compare(u, v)
+            yield compare(here[0], u, v)
 
     return run
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, best_only: bool) -> DataFrame:
+def open_pairs(
+    scratch: Scratch, members: DataFrame, labels: DataFrame, nodes: DataFrame, best_only: bool, name: str
+) -> DataFrame:
     """Pairs of near sketches that share a bucket but not a component.
 
     In a bucket, the members outside its most frequent component are compared with all
@@ -238,21 +283,22 @@ def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, best_onl
     owned = members.join(labels, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("component")
     )
-    mixed = (
+    mixed = scratch.save(
         owned.groupBy("key", "component")
         .agg(F.count("*").alias("n"))
         .groupBy("key")
         .agg(F.max_by("component", "n").alias("main"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
         .where("kinds > 1")
-        .select("key", "main", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+        .select("key", "main", F.ceil(F.col("n") / BLOCK).alias("blocks")),
+        f"mixed_{name}",
     )
     placed = (
         owned.join(mixed, "key")
-        .join(nodes.select("node", *SKETCH), "node")
+        .join(nodes.select("node", *_KNOWN, "bands"), "node")
         .withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
     )
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    rest = ["node", "component", *SKETCH]
+    rest = ["node", "component", *_KNOWN, "bands"]
     asking = placed.where("component != main").select(
         "key", F.col("block").alias("i"), others.alias("j"), *rest, F.lit(True).alias("asks")
     )
@@ -269,33 +315,37 @@ def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, best_onl
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every document row.
+    """``doc_id, row_mark, n_shingles, component_id, kept`` of every document row.
 
     Documents are linked if their shingle sets have a Jaccard similarity of 0.75 or
     more; the component is the smallest id that can be reached over links. Words are
     runs without ASCII white space, with A-Z as a-z. A null or wordless text has an
     empty set and no links. Rows that share an id are one document: what one links to,
     they all link to. A row without an id belongs to the component of a row with the
-    same set and an id, or to none (null), and is then kept. Other columns are not read.
+    same set and an id, or to none (null), and is then kept. ``row_mark`` is a hash of the
+    text. Other columns are not read.
     """
     small_batches(spark)
     scratch = Scratch(spark)
-    texts = documents.select("doc_id", "text")
+    texts = documents.select("doc_id", row_mark()[1], "text")
     signed = scratch.save(texts.mapInArrow(_signatures, _SIGNED), "signed")
 
     filled = signed.where("n_shingles > 0")
     nodes = scratch.save(
         filled.groupBy("high", "low")
-        .agg(F.min("doc_id").alias("node"), F.first(F.struct(*SKETCH, "bands")).alias("x"))
+        .agg(F.min("doc_id").alias("node"), F.first(F.struct(*_KNOWN, "bands")).alias("x"))
         .select("high", "low", "node", "x.*"),
         "nodes",
     )
     known = nodes.where("node is not null")
     banded = known.select("node", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"))
-    members = scratch.save(
-        banded.join(buckets.where("n > 1").drop("n"), "key").select("key", "node", "hub"), "members"
-    )
+    shared = scratch.save(buckets.where("n > 1").drop("n"), "buckets")
+    members = scratch.save(banded.join(shared, "key").select("key", "node", "hub"), "members")
+    # Texts that any pair can ask for; their number grows with the input, so both sides
+    # are shuffled, once for all that follows.
+    asked = members.select(F.col("node").alias("doc_id")).distinct()
+    texts = scratch.save(texts.select("doc_id", "text").join(asked.hint("merge"), "doc_id"), "texts")
 
     # Rows of one document with different texts hold its nodes together.
     held = (
@@ -307,22 +357,26 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     links = scratch.save(held.join(torn, "doc_id").select("a", "b").where("a != b").distinct(), "links_0")
 
     pairs = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    sketches = known.select("node", *SKETCH)
+    sketches = known.select("node", *_KNOWN)
     near = scratch.save(
         pairs.join(sketches.alias("l"), F.col("a") == F.col("l.node"))
         .join(sketches.alias("r"), F.col("b") == F.col("r.node"))
-        .where(sketch_distance("l", "r") <= LIMIT)
+        .where(near_sketches("l", "r"))
         .select("a", "b"),
         "near_0",
     )
-    looked_at = near
+    looked_at, labels = near, None
     for step, best_only in enumerate((True, False, None), 1):
-        links = links.union(scratch.save(confirmed(texts, near), f"links_{step}"))
-        labels = components(scratch, links, f"components_{step}")
+        more = scratch.save(confirmed(scratch, texts, near, str(step)), f"links_{step}")
+        if labels is None or not more.isEmpty():
+            links = links.union(more)
+            labels = components(scratch, links, f"components_{step}")
         if best_only is None:
             break
         near = scratch.save(
-            open_pairs(members, labels, known, best_only).join(looked_at, ["a", "b"], "left_anti"),
+            open_pairs(scratch, members, labels, known, best_only, str(step)).join(
+                looked_at, ["a", "b"], "left_anti"
+            ),
             f"near_{step}",
         )
         if near.isEmpty():
@@ -330,7 +384,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
         looked_at = looked_at.union(near)
 
     found = (
-        signed.select("doc_id", "n_shingles", "high", "low")
+        signed.select("doc_id", "row_mark", "n_shingles", "high", "low")
         .join(nodes.select("high", "low", "node"), ["high", "low"], "left")
         .withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")))
         .join(labels, "node", "left")
@@ -338,12 +392,29 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     component = F.coalesce("component", "node", "doc_id")
     return found.select(
         "doc_id",
+        "row_mark",
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
     )
 
 
+def without_near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """One document of each group of near-duplicates, with all its columns.
+
+    It is the one with the smallest id; of rows that are the same document twice, one
+    stays. Rows without an id, whose set no row with an id has, stay.
+    """
+    key = ["row_id", "row_mark"]
+    verdicts = near_duplicates(spark, documents).where("kept")
+    kept = verdicts.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("row_id"), "row_mark").distinct()
+    rows = documents.select(F.struct(*documents.columns).alias("row"), *row_mark())
+    # What is kept grows with the documents, so it is not left to be broadcast.
+    one = rows.join(kept.hint("merge"), key).dropDuplicates(key)
+    return one.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
+
+
 def op3_minhash_odd_sketches(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate component of every document."""
-    return near_duplicates(spark, read_table(spark, folder, "documents"))
+    found = near_duplicates(spark, read_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
