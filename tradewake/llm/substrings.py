@@ -125,11 +125,14 @@ def repeated_edges(scratch: Scratch, documents: DataFrame, span: int = SPAN, k:
         raise ValueError("a path must have at most 63 edges, one for each bit of its mask")
     texts = documents.select(*row_mark(), "text")
     paths = scratch.save(texts.mapInArrow(_paths(span, k), _PATHS), "paths")
-    shared = (
+    # Written, like all sums that are joined back to what they were taken over: a join of
+    # two plain shuffles is one that adaptive execution can split at a hot key.
+    shared = scratch.save(
         paths.groupBy("minimizer")
         .agg(F.count("*").alias("n"), F.min("path").alias("low"), F.max("path").alias("high"))
         .where("n > 1")
-        .select("minimizer", (F.col("low") != F.col("high")).alias("branches"))
+        .select("minimizer", (F.col("low") != F.col("high")).alias("branches")),
+        "shared",
     )
     repeated = scratch.save(paths.join(shared, "minimizer"), "repeated")
     scratch.drop("paths")
