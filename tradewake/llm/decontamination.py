@@ -146,16 +146,8 @@ def _windows(key: list[str], widths: list[int], pages: dict[int, bytes] | None,
 _WINDOW = "window long, place int, tokens int, slots array<long>"
 
 
-def contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id`` and the evidence, for each item that a document holds.
-
-    ``tokens`` is the length of the item, ``covered`` how many of its tokens the best
-    alignment covers, ``agreement`` the share of agreeing placeholder values there,
-    ``place`` where the item would begin in the document, in tokens. Texts that are null,
-    empty or too short give no row, nor does a benchmark without items. An item of fewer
-    than four plain tokens is never found. Rows with a null id are judged alike and keep
-    the null. Repeated rows count once. Other columns are not read.
-    """
+def _found(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every alignment that shows an item in a document."""
     small_batches(spark)
     scratch = Scratch(spark)
     widths = [WIDTH, *range(WIDTH - 1, LEAST_PLAIN - 1, -1)]
@@ -204,21 +196,42 @@ def contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame
     )
     spans = matches.groupBy(*aligned).agg(covered.alias("covered"), F.max("tokens").alias("tokens"))
     same = [F.col(f"s.{c}").eqNullSafe(F.col(f"v.{c}")) for c in aligned]
-    judged = (
+    return (
         spans.alias("s")
         .join(values.alias("v"), same, "left")
         .select("s.*", F.coalesce("v.agreement", F.lit(1.0)).alias("agreement"))
         .where(F.col("agreement") >= AGREEMENT)
         .where((F.col("covered") >= COVERED) | (F.col("covered") >= COVERED_SHARE * F.col("tokens")))
     )
+def contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, item_id`` and the evidence, for each item that a document holds.
+
+    ``tokens`` is the length of the item, ``covered`` how many of its tokens the best
+    alignment covers, ``agreement`` the share of agreeing placeholder values there,
+    ``place`` where the item would begin in the document, in tokens. Texts that are null,
+    empty or too short give no row, nor does a benchmark without items. An item of fewer
+    than four plain tokens is never found. Rows with a null id are judged alike and keep
+    the null. Repeated rows count once. Other columns are not read.
+    """
     best = F.max(F.struct("covered", "agreement", (-F.col("shift")).alias("back"), "tokens"))
     return (
-        judged.groupBy("doc_id", "item_id")
+        _found(spark, documents, benchmark)
+        .groupBy("doc_id", "item_id")
         .agg(best.alias("b"))
         .select("doc_id", "item_id", "b.tokens", "b.covered", "b.agreement", (-F.col("b.back")).alias("place"))
     )
 
 
+def without_contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that hold no item, with all their columns; see ``contaminated``."""
+    leaks = Scratch(spark).save(
+        _found(spark, documents, benchmark).select(F.col("doc_id").alias("_id"), "mark").distinct(), "leaks"
+    )
+    same = F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("mark"))
+    rows = documents.select(F.struct(*documents.columns).alias("row")).join(leaks, same, "left_anti")
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
+
+
 def op9_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item."""
     return contaminated(

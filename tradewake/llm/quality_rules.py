@@ -109,8 +109,7 @@ def with_statistics(documents: DataFrame) -> DataFrame:
     d = d.select("row", "t", "words", "lines", _placed(F.col("threes")).alias("placed"))
     n = F.size("words").cast("long")
     chars = F.char_length(F.regexp_replace("t", f"{BLANKS}+", "")).cast("long")
-    d = d.select(
-        "row",
+    counts = F.struct(
         n.alias("n_words"),
         chars.alias("word_chars"),
         (F.char_length("t") - F.char_length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -119,6 +118,9 @@ def with_statistics(documents: DataFrame) -> DataFrame:
         _repeat_words(F.col("placed")).cast("long").alias("n_repeat_words"),
         (F.char_length("t") - F.char_length(F.regexp_replace("t", r"\p{Lu}", ""))).cast("long").alias("n_upper"),
     )
+    # Put out by a generator: a later filter would otherwise be pushed below and count
+    # everything anew for each of its terms.
+    d = d.select("row", F.explode(F.array(counts)).alias("c")).select("row", "c.*")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return d.withColumn("base_failed", failed)
 
