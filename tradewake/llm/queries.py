@@ -8,6 +8,7 @@ from tradewake.llm.decontamination import op9_template_decontamination
 from tradewake.llm.language_id import op6_language_mixtures
 from tradewake.llm.license_scan import op4_license_bands
 from tradewake.llm.near_dedup import op3_minhash_odd_sketches
+from tradewake.llm.oracles import ORACLES
 from tradewake.llm.packing import op5_minimum_bin_slack
 from tradewake.llm.quality_rules import op7_robust_outliers
 from tradewake.llm.sharding import op1_rendezvous_shards
@@ -29,4 +30,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
