@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tradewake.llm.chat import CONTROLS, MARKS
+from tradewake.llm.quality_rules import CONSISTENCY, CORE, CUT, LEAST, P, STEPS, SYMBOLS, VECTOR
 from tradewake.llm.sharding import DIGITS, SHARDS
 
 _BLANKS = r"[\x20\x09-\x0D]+"
@@ -78,12 +79,10 @@ def _quoted(text: str) -> str:
 
 
 def _escaped(control: str) -> str:
-    return "".join(f"\\{c}" if c in "[]<>|/" and c in "[]|" else c for c in control)
+    return "".join(f"\\{c}" if c in "[]|" else c for c in control)
 
 
-_CONTROL = "|".join(
-    f"{_escaped(c[0])}\\\\*{_escaped(c[1:])}" for c in CONTROLS
-)
+_CONTROL = "|".join(f"{_escaped(c[0])}\\\\*{_escaped(c[1:])}" for c in CONTROLS)
 _WRITTEN = f"(length({{0}}) + len(regexp_extract_all({{0}}, '{_CONTROL}')))"
 
 OP8 = f"""
@@ -126,9 +125,108 @@ SELECT doc_id, len(words)::BIGINT AS n_words, len(words)::BIGINT - coalesce(n, 0
 FROM d LEFT JOIN kept USING (r)
 """
 
+_X = list(VECTOR)
+_MEANS = [f"m{i}" for i in range(P)]
+_LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
+_WHITE = ", ".join([*_MEANS, *(f"w{i}{j}" for i, j in _LOWER)])
+
+
+def _distance() -> str:
+    parts = [" + ".join(f"w{i}{j} * ({_X[j]} - m{j})" for j in range(i + 1)) for i in range(P)]
+    return " + ".join(f"({part}) * ({part})" for part in parts)
+
+
+def _first_estimate() -> str:
+    columns = [f"quantile_disc({x}, 0.5) AS m{i}" for i, x in enumerate(_X)]
+    for i, (x, least) in enumerate(VECTOR.items()):
+        spread = f"((quantile_disc({x}, 0.75) - quantile_disc({x}, 0.25)) / 1.349)"
+        columns += [f"0.0 AS w{i}{j}" for j in range(i)]
+        columns.append(f"1 / sqrt({spread} * {spread} + {least**2!r}) AS w{i}{i}")
+    return f"SELECT grp, {', '.join(columns)} FROM v GROUP BY grp HAVING count(*) >= {LEAST}"
+
+
+def _next_estimate(k: int) -> str:
+    """The estimate from the core of each group; the factor and its inverse by their formulas."""
+    moments = [f"avg({x}) AS m{i}" for i, x in enumerate(_X)]
+    least = list(VECTOR.values())
+    for i, j in _LOWER:
+        floor = f" + {least[i] ** 2!r}" if i == j else ""
+        moments.append(f"{CONSISTENCY!r} * covar_pop({_X[i]}, {_X[j]}){floor} AS c{i}{j}")
+    factor = []
+    for i, j in _LOWER:
+        rest = " - ".join([f"c{i}{j}", *(f"l{i}{n} * l{j}{n}" for n in range(j))])
+        factor.append(f"sqrt({rest}) AS l{i}{i}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    for i, j in _LOWER:
+        rest = " + ".join(f"l{i}{n} * w{n}{j}" for n in range(j, i))
+        factor.append(f"1 / l{i}{i} AS w{i}{i}" if i == j else f"-({rest}) / l{i}{i} AS w{i}{j}")
+    return f"""
+    d{k} AS MATERIALIZED (
+        SELECT v.*, {_distance()} AS d2 FROM v JOIN e{k - 1} USING (grp)
+    ), core{k} AS MATERIALIZED (
+        SELECT * FROM d{k} JOIN (SELECT grp, quantile_disc(d2, {CORE}) AS radius FROM d{k} GROUP BY grp) USING (grp)
+        WHERE d2 <= radius
+    ), moments{k} AS MATERIALIZED (
+        SELECT grp, {", ".join(moments)} FROM core{k} GROUP BY grp
+    ), e{k} AS MATERIALIZED (
+        SELECT grp, {_WHITE} FROM (SELECT grp, {", ".join(_MEANS)}, {", ".join(factor)} FROM moments{k})
+    )"""
+
+
+def _grp(*parts: str) -> str:
+    named = [f"coalesce('=' || {p}, '-')" for p in parts]
+    return f"concat_ws(chr(10), {', '.join([repr(str(len(parts))), *named])})"
+
+
+OP7 = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents
+), parts AS (
+    SELECT *, list_filter(string_split_regex(t, '{_BLANKS}'), lambda x: x <> '') AS words,
+           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+    FROM d
+), threes AS (
+    SELECT r, i, array_to_string(words[i : i + 2], ' ') AS three
+    FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM parts)
+), repeats AS (
+    SELECT r, count(DISTINCT p)::BIGINT AS n FROM (
+        SELECT r, unnest(range(i, i + 3)) AS p FROM threes
+        JOIN (SELECT r, three FROM threes GROUP BY r, three HAVING count(*) > 1) USING (r, three))
+    GROUP BY r
+), counts AS (
+    SELECT r, doc_id, lang, source, len(words)::BIGINT AS n_words,
+           length(regexp_replace(t, '{_BLANKS}', '', 'g'))::BIGINT AS word_chars,
+           (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
+           (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
+           coalesce(repeats.n, 0) AS n_repeat_words,
+           length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')) AS n_upper,
+           n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+    FROM parts LEFT JOIN repeats USING (r)
+), sound AS MATERIALIZED (
+    SELECT r, lang, source, ln(n_words) AS log_words, ln(word_chars / n_words) AS log_word_length,
+           n_symbols / word_chars AS symbol_share, n_dup_lines / n_lines AS dup_line_share,
+           n_repeat_words / n_words AS repeat_share, n_upper / word_chars AS upper_share,
+           count(*) OVER (PARTITION BY lang, source) AS n, count(*) OVER (PARTITION BY lang) AS n_lang
+    FROM counts WHERE NOT base_failed
+), asked AS MATERIALIZED (
+    SELECT *, CASE WHEN n >= {LEAST} THEN {_grp("lang", "source")} WHEN n_lang >= {LEAST} THEN {_grp("lang")}
+              ELSE {_grp()} END AS own
+    FROM sound
+), v AS MATERIALIZED (
+    SELECT * FROM (SELECT *, unnest([{_grp("lang", "source")}, {_grp("lang")}, {_grp()}]) AS grp FROM sound)
+    WHERE grp IN (SELECT own FROM asked)
+), e0 AS MATERIALIZED ({_first_estimate()}), {", ".join(_next_estimate(k) for k in range(1, STEPS + 1))},
+far AS (
+    SELECT r, {_distance()} > {CUT!r} AS rejected FROM asked JOIN e{STEPS} ON own = grp
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(rejected, false) AS kept
+FROM counts LEFT JOIN far USING (r)
+"""
+
 ORACLES = {
     "op1_rendezvous_shards": OP1,
     "op3_minhash_odd_sketches": OP3,
+    "op7_robust_outliers": OP7,
     "op8_token_level_chat": OP8,
     "op10_debruijn_substrings": OP10,
 }
