@@ -7,7 +7,7 @@ on the join key, the form in which adaptive execution can split a hot key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewake.functions import times, values
@@ -47,35 +47,42 @@ def late_join(
     ``after_seconds`` after it, both ends included. Result: the columns of the
     lines, then ``order`` (the order's columns as a struct).
 
-    An order id that is repeated must not multiply with its lines. Time is cut
-    into buckets as long as the tolerance, and the repeats of an id in one bucket
-    become one row: its latest record with the first and last time. All times a
-    line accepts lie in two neighbouring buckets, and there its accepted range
-    reaches to an end of the bucket, so first and last time decide exactly. A line
-    thus meets at most two rows, whatever the number of repeats; documents keyed by
-    order and line id keep one of them.
+    Where an order is repeated, a line gets the latest of its records that are near
+    enough, and comes out once per order. Repeats must not multiply with the lines: time
+    is cut into buckets as long as the tolerance, and in its bucket a record holds until
+    the next one of its id. The records a line accepts lie in two neighbouring buckets,
+    so it meets at most two, of which the later one is taken.
     """
     width = (before_seconds + after_seconds) * 1_000_000
-    bucket = times.bucket_start(F.unix_micros(F.col(order_at)), width)
-    repeats = orders.where(F.col("id").isNotNull()).groupBy(
-        F.col("id").alias("_oid"), bucket.alias("_bucket")
-    ).agg(
-        F.min(order_at).alias("_first"),
-        F.max(order_at).alias("_last"),
-        F.max(F.struct(F.col(order_at).alias("_at"), F.struct(*orders.columns).alias("order")))["order"]
-        .alias("order"),
+    at = F.unix_micros(F.col(order_at))
+    o = orders.where(F.col("id").isNotNull() & F.col(order_at).isNotNull()).select(
+        F.col("id").alias("_oid"),
+        at.alias("_at"),
+        times.bucket_start(at, width).alias("_bucket"),
+        F.struct(*orders.columns).alias("order"),
     )
-    reach = repeats.withColumn("_slot", F.explode(F.array("_bucket", F.col("_bucket") + width)))
+    following = F.lead("_at").over(Window.partitionBy("_oid", "_bucket").orderBy("_at", "order"))
+    # Of records of one time, the last one holds.
+    held = o.withColumn("_next", following).where("_next is null or _next > _at")
+    reach = held.withColumn("_slot", F.explode(F.array("_bucket", F.col("_bucket") + width)))
 
     lowest = F.unix_micros(F.col(line_at)) - after_seconds * 1_000_000
     highest = F.unix_micros(F.col(line_at)) + before_seconds * 1_000_000
-    slotted = lines.where(F.col("order_id").isNotNull()).withColumn(
-        "_line_slot", times.bucket_start(highest, width)
+    slotted = lines.where(F.col("order_id").isNotNull()).select(
+        F.col("order_id").alias("_order_id"),
+        F.col("id").alias("_line_id"),
+        F.col(line_at).alias("_line_at"),
+        lowest.alias("_lowest"),
+        highest.alias("_highest"),
+        times.bucket_start(highest, width).alias("_line_slot"),
+        F.struct(*lines.columns).alias("line"),
     )
-    in_slot = (F.col("_slot") == F.col("_bucket")) & (F.unix_micros("_first") <= highest)
-    slot_before = (F.col("_slot") != F.col("_bucket")) & (F.unix_micros("_last") >= lowest)
-    same = (F.col("order_id") == F.col("_oid")) & (F.col("_line_slot") == F.col("_slot"))
-    return slotted.join(reach, same & (in_slot | slot_before)).select(*lines.columns, "order")
+    same = (F.col("_order_id") == F.col("_oid")) & (F.col("_line_slot") == F.col("_slot"))
+    near = F.col("_at").between(F.col("_lowest"), F.col("_highest"))
+    latest = F.expr("_next is null or _next > _highest")
+    met = slotted.join(reach, same & near & latest)
+    one = met.groupBy("_order_id", "_line_id").agg(F.max(F.struct("_at", "_line_at", "order", "line")).alias("m"))
+    return one.select(*[F.col("m.line").getField(c).alias(c) for c in lines.columns], "m.order")
 
 
 def late_join_stream(
