@@ -113,7 +113,7 @@ def test_launches_around_midnight_and_bad_records(spark, paths, feed):
     finish(jobs.launch_job(f.stream(), paths, once=True))
     got = sorted((r.MID, r.LOGDATE) for r in tables.launch_table(paths.tables).read(spark).collect())
     assert got == [("a", "2024-01-01"), ("a", "2024-01-02"), ("late", "2024-01-01")]
-    finish(jobs.quarantine_job(f.stream(), schemas.LAUNCH, ["mid", "ts"], paths, "launches", once=True))
+    finish(jobs.quarantine_job(f.stream(), "launches", paths, once=True))
     bad = spark.read.json(paths.table("quarantine/launches"))
     assert sorted(r.problem for r in bad.collect()) == ["malformed", "missing mid", "missing ts"]
 
@@ -134,10 +134,53 @@ def test_order_job_masks_and_keeps_the_latest_record(spark, paths, feed):
     f.send((order("1"), 0), (order("1", order_status="1002"), 1), (order("2", create_time="?"), 2), (order("3", consignee_tel="12"), 3))
     f.send((order("4", total_amount="oops"), 4))
     finish(jobs.order_job(f.stream(), paths, once=True))
-    rows = tables.order_table(paths.tables).read(spark).collect()
+    rows = sorted(tables.order_table(paths.tables).read(spark).collect(), key=lambda r: r.ID)
     assert [(r.ID, r.ORDER_STATUS, r.CONSIGNEE_TEL, r.TOTAL_AMOUNT, r.CREATE_DATE, r.CREATE_HOUR) for r in rows] == [
-        ("1", "1002", "1381****5678", 12.5, "2024-01-01", "12")
+        ("1", "1002", "1381****5678", 12.5, "2024-01-01", "12"),
+        ("3", "1001", None, 12.5, "2024-01-01", "12"),
     ]
+    finish(jobs.quarantine_job(f.stream(), "orders", paths, once=True))
+    bad = spark.read.json(paths.table("quarantine/orders")).collect()
+    assert sorted(r.problem for r in bad) == ["bad create_time", "bad total_amount"]
+
+
+def test_fresh_checkpoint_overwrites_nothing(spark, paths, feed, tmp_path):
+    first, second = feed("users"), feed("more_users")
+    first.send(({"id": "a"}, 0), ({"id": "b", "login_name": "old"}, 1))
+    finish(jobs.user_job(first.stream(), paths, once=True))
+    second.send(({"id": "b", "login_name": "new"}, 2), ({"id": "c"}, 3))
+    again = JobPaths(paths.tables, str(tmp_path / "fresh"), paths.raw_logs)
+    finish(jobs.user_job(second.stream(), again, once=True))
+    stored = {r.id: r.login_name for r in tables.user_table(paths.tables).read(spark).collect()}
+    assert stored == {"a": None, "b": "new", "c": None}
+
+
+def test_malformed_change_records_are_quarantined(spark, paths, feed):
+    f = feed("changes")
+    good = {"entry_type": "ROWDATA", "table": "order_info", "op": "INSERT", "rows": [[{"name": "id", "value": "1"}]]}
+    f.send((good, 0), ("{not json", 1), ("[]", 2))
+    finish(jobs.quarantine_job(f.stream(), "changes", paths, once=True))
+    assert spark.read.json(paths.table("quarantine/changes")).count() == 2
+
+
+def test_all_jobs_run_together(spark, paths, feed):
+    orders, lines = fill_sales(feed)
+    more = {name: feed(name) for name in ("launches", "events", "users")}
+    more["launches"].send((launch("a", 0), 0))
+    more["events"].send(({"mid": "m", "uid": "u", "evid": "coupon", "ts": ms(0)}, 0))
+    more["users"].send(({"id": "u1"}, 0), ("{", 1))
+    of = {
+        config.TOPIC_LAUNCH: more["launches"], config.TOPIC_EVENT: more["events"], config.TOPIC_USER: more["users"],
+        config.TOPIC_ORDER: orders, config.TOPIC_ORDER_LINE: lines,
+    }
+    started = jobs.start_all(spark, lambda topic: of[topic].stream(), paths, show=lambda text: None, once=True)
+    for job in started:
+        finish(job)
+    assert len(started) == 10
+    assert tables.launch_table(paths.tables).read(spark).count() == 1
+    assert tables.order_table(paths.tables).read(spark).count() >= len(SALE_ORDERS)
+    assert tables.user_table(paths.tables).read(spark).count() == 1
+    assert spark.read.json(paths.table("quarantine/users")).count() == 1
 
 
 SALE_ORDERS = [("o1", 1000), ("o2", 1000), ("o3", 1000), ("o4", 1000), ("o5", 1000)]
@@ -201,8 +244,8 @@ def test_sale_state_survives_a_crash_in_the_middle_of_a_batch(spark, paths, feed
     orders.send((order("o"), 5))
     lines.send((line("with", "o"), 5))
 
-    def write_then_fail(self, rows, batch_id, order=()):
-        whole(self, rows, batch_id, order)
+    def write_then_fail(self, rows, batch_id, order=(), writer="batch"):
+        whole(self, rows, batch_id, order, writer)
         raise RuntimeError("lost after the write, before the commit")
 
     monkeypatch.setattr(tables.KeyedTable, "upsert", write_then_fail)

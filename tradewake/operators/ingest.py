@@ -127,14 +127,13 @@ def with_create_time(orders: DataFrame) -> DataFrame:
 
 
 def _prepared(orders: DataFrame, masked: Column) -> DataFrame:
+    """A phone that is absent or too short to mask becomes null; the order stays."""
     with_time = flag(
         with_create_time(orders),
         F.col("create_date").isNull() | F.col("create_hour").isNull(),
         "bad create_time",
     )
-    with_tel = with_time.withColumn("_masked", masked)
-    checked = flag(with_tel, F.col("_masked").isNull(), "bad consignee_tel")
-    return checked.withColumn("consignee_tel", F.col("_masked")).drop("_masked")
+    return with_time.withColumn("consignee_tel", masked)
 
 
 def prepare_orders(orders: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,13 +26,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The same table as a stream of its files."""
-    shape = table(spark, folder, name).schema
-    return spark.readStream.schema(shape).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """The same table as a stream of its files, be it one file or a folder of files."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(table(spark, folder, name).schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 Reader = Callable[[SparkSession, str, str], DataFrame]
 
+# First and last day wanted. The bound is set on the stored time, so it reaches the scan.
+Days = tuple[str, str]
+
+
+def _within(rows: DataFrame, time: str, days: Days | None) -> DataFrame:
+    if days is None:
+        return rows
+    first, last = (F.lit(dt.datetime.fromisoformat(d)).cast("timestamp_ntz") for d in days)
+    return rows.where((F.col(time) >= first) & (F.col(time) < last + F.expr("interval 1 day")))
+
 
 def _millis(at: Column) -> Column:
     # The files hold zone-less times; count from a zone-less epoch.
@@ -42,8 +58,10 @@ def _text(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
 
 
-def _keyed_events(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
-    return read(spark, folder, "events").select(
+def _keyed_events(
+    spark: SparkSession, folder: str, read: Reader = table, days: Days | None = None
+) -> DataFrame:
+    return _within(read(spark, folder, "events"), "ts", days).select(
         "event_id",
         "event_type",
         "value",
@@ -53,9 +71,9 @@ def _keyed_events(spark: SparkSession, folder: str, read: Reader = table) -> Dat
     )
 
 
-def launches(spark: SparkSession, folder: str) -> DataFrame:
+def launches(spark: SparkSession, folder: str, days: Days | None = None) -> DataFrame:
     """Every event as a launch: ``event_id, mid, uid, ts, logDate, logHour``."""
-    return with_log_time(_keyed_events(spark, folder).select("event_id", "mid", "uid", "ts"))
+    return with_log_time(_keyed_events(spark, folder, days=days).select("event_id", "mid", "uid", "ts"))
 
 
 def logs(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
@@ -98,9 +116,9 @@ def events(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
     )
 
 
-def purchases(spark: SparkSession, folder: str) -> DataFrame:
+def purchases(spark: SparkSession, folder: str, days: Days | None = None) -> DataFrame:
     """Purchases as orders with a time of day."""
-    bought = _keyed_events(spark, folder).where(F.col("event_type") == "purchase")
+    bought = _keyed_events(spark, folder, days=days).where(F.col("event_type") == "purchase")
     return with_log_time(bought).select(
         F.col("value").alias("total_amount"),
         F.col("logDate").alias("create_date"),
@@ -108,10 +126,15 @@ def purchases(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def raw_orders(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
-    """Orders as received: all 18 fields, those without a source null, and ``order_at``."""
-    o = read(spark, folder, "orders").join(
-        table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")
+def raw_orders(
+    spark: SparkSession, folder: str, read: Reader = table, days: Days | None = None
+) -> DataFrame:
+    """Orders as received: all 18 fields, those without a source null, and ``order_at``.
+
+    An order whose customer is unknown stays, without what only the customer tells.
+    """
+    o = _within(read(spark, folder, "orders"), "o_orderdate", days).join(
+        table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left"
     )
     known = {
         "id": F.col("o_orderkey").cast("string"),
@@ -139,18 +162,31 @@ def order_records(spark: SparkSession, folder: str, read: Reader = table) -> Dat
     return rows.select(*_records(F.to_json(F.struct(*fields)), F.col("order_at")))
 
 
-def orders(spark: SparkSession, folder: str) -> DataFrame:
+def orders(spark: SparkSession, folder: str, days: Days | None = None) -> DataFrame:
     """Orders with their derived day and hour."""
-    return with_create_time(raw_orders(spark, folder))
+    return with_create_time(raw_orders(spark, folder, days=days))
+
+
+def order_amounts(spark: SparkSession, folder: str, days: Days | None = None) -> DataFrame:
+    """The amount and the day and hour of every order, from the order table alone."""
+    o = _within(table(spark, folder, "orders"), "o_orderdate", days)
+    return with_create_time(
+        o.select(F.col("o_totalprice").alias("total_amount"), _text(F.col("o_orderdate")).alias("create_time"))
+    )
 
 
 def raw_lines(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
-    """Order lines as received, with the part name and the time ``line_at``."""
+    """Order lines as received, with the part name and the time ``line_at``.
+
+    Order and line number repeat in these tables; with part and supplier they do not. A
+    line whose part is unknown stays, without a name.
+    """
     l = read(spark, folder, "lineitem").join(
-        table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey")
+        table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"), "left"
     )
+    key = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
     return l.select(
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"),
+        F.concat_ws("-", *key).alias("id"),
         F.col("l_orderkey").cast("string").alias("order_id"),
         F.col("p_name").alias("sku_name"),
         F.col("l_partkey").cast("string").alias("sku_id"),
@@ -172,11 +208,11 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     return prepare_lines(raw_lines(spark, folder)).drop("problem")
 
 
-def users(spark: SparkSession, folder: str) -> DataFrame:
+def users(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
     """Customers as users; one in ten has no known gender."""
     key = F.col("c_custkey")
     born = F.date_add(F.lit("1960-01-01").cast("date"), ((key * 37) % 15000).cast("int"))
-    return table(spark, folder, "customer").select(
+    return read(spark, folder, "customer").select(
         key.cast("string").alias("id"),
         F.col("c_name").alias("login_name"),
         F.col("c_mktsegment").alias("user_level"),
@@ -185,6 +221,12 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def user_records(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
+    """Users as topic records."""
+    rows = users(spark, folder, read)
+    return rows.select(*_records(F.to_json(F.struct(*rows.columns)), F.timestamp_seconds(F.lit(0))))
+
+
 def change_records(spark: SparkSession, folder: str, read: Reader = table) -> DataFrame:
     """Changes as topic records."""
     line = F.to_json(F.struct("entry_type", "table", "op", "rows"))

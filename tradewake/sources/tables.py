@@ -1,10 +1,12 @@
 """Keyed tables on plain Parquet: idempotent upsert by batch, latest row per key.
 
-A batch is written to its own folder ``batch=<id>`` below the table, split by the
-partition column. A retried batch overwrites exactly its own folder, so nothing is
-lost or doubled, no file is ever written that the same plan reads, and the cost of
-an upsert is the size of the batch, not of the table. Reading keeps, per key, the
-row of the highest batch. ``compact`` merges the batches into a fresh table.
+A batch is written to its own folder ``writer=<id>/batch=<id>`` below the table, split
+by the partition column. A retried batch overwrites exactly its own folder, so nothing
+is lost or doubled, no file is ever written that the same plan reads, and the cost of
+an upsert is the size of the batch, not of the table. A job that starts over with a
+fresh checkpoint is another writer, and so never overwrites what an earlier one stored.
+Reading keeps, per key, the row that was written last. ``compact`` merges the batches
+into a fresh table.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from tradewake import schemas
 from tradewake.operators.dedup import first_per_key, latest_documents
 
 BATCH = "batch"
+WRITER = "writer"
+WRITTEN = "written"
 
 
 @dataclass(frozen=True)
@@ -32,15 +36,16 @@ class KeyedTable:
     key: tuple[str, ...]
     partition: str | None = None
 
-    def upsert(self, rows: DataFrame, batch_id: int, order: Sequence[str] = ()) -> None:
-        """Write the latest row per key of ``rows`` as batch ``batch_id``.
+    def upsert(
+        self, rows: DataFrame, batch_id: int, order: Sequence[str] = (), writer: str = "batch"
+    ) -> None:
+        """Write the latest row per key of ``rows`` as batch ``batch_id`` of ``writer``.
 
         ``order`` names columns of ``rows`` that tell which of two rows is later;
-        they need not belong to the table.
+        they need not belong to the table. Between writers, the time of writing tells.
         """
         latest = latest_documents(rows, self._group(), order).select(*self.schema.names)
-        folder = f"{self.path}/{BATCH}={batch_id}"
-        self._write(latest, folder)
+        self._write(latest, f"{self.path}/{WRITER}={writer}/{BATCH}={batch_id}")
 
     def read(
         self, spark: SparkSession, day: str | None = None, wanted: DataFrame | None = None
@@ -53,7 +58,8 @@ class KeyedTable:
         the shuffle to the latest rows moves wanted keys only. Few wanted keys are
         broadcast by Spark and the table is filtered where it lies.
         """
-        folders = self.path if day is None else f"{self.path}/{BATCH}=*/{self.partition}={day}"
+        days = f"{self.path}/{WRITER}=*/{BATCH}=*/{self.partition}={day}"
+        folders = self.path if day is None else days
         try:
             stored = spark.read.schema(self._stored()).option("basePath", self.path).parquet(folders)
         except AnalysisException as missing:
@@ -62,19 +68,18 @@ class KeyedTable:
             return spark.createDataFrame([], self.schema)
         if wanted is not None:
             stored = stored.join(wanted.select(*self.key), list(self.key), "left_semi")
-        current = first_per_key(stored, self._group(), [F.col(BATCH).desc()])
+        newest = [F.col(c).desc() for c in (WRITTEN, BATCH, WRITER)]
+        current = first_per_key(stored, self._group(), newest)
         return current.select(*self.schema.names)
 
     def compact(self, spark: SparkSession, into: str) -> KeyedTable:
         """Merge all batches into a new table at ``into`` and return it.
 
-        Later batches keep their ids and go to the new table. The old folder stays
-        for readers that still use it.
+        Later batches go to the new table. The old folder stays for readers that still
+        use it.
         """
-        last = spark.read.schema(self._stored()).parquet(self.path).agg(F.max(BATCH)).first()[0]
         target = KeyedTable(into, self.schema, self.key, self.partition)
-        if last is not None:
-            target._write(self.read(spark), f"{into}/{BATCH}={last}")
+        target._write(self.read(spark), f"{into}/{WRITER}=compact/{BATCH}=0")
         return target
 
     def _group(self) -> list[str]:
@@ -83,9 +88,11 @@ class KeyedTable:
         return [*extra, *self.key]
 
     def _stored(self) -> T.StructType:
-        return T.StructType([*self.schema, T.StructField(BATCH, T.LongType())])
+        more = [(WRITTEN, T.LongType()), (WRITER, T.StringType()), (BATCH, T.LongType())]
+        return T.StructType([*self.schema, *[T.StructField(n, kind) for n, kind in more]])
 
     def _write(self, rows: DataFrame, folder: str) -> None:
+        rows = rows.withColumn(WRITTEN, F.unix_micros(F.current_timestamp()))
         if self.partition:
             # Even files: small partitions are merged, a partition that holds most
             # of the rows is split over several tasks.
@@ -135,13 +142,17 @@ def user_table(root: str) -> KeyedTable:
     return KeyedTable(f"{root}/users", schemas.USER, ("id",))
 
 
-def write_raw_logs(rows: DataFrame, folder: str) -> None:
-    """Land raw log lines, one JSON line per record, in a folder per day."""
-    rows.select("value", "log_date").hint("rebalance", "log_date").write.mode("append").partitionBy(
+def write_raw_logs(rows: DataFrame, folder: str, batch_id: int, writer: str = "batch") -> None:
+    """Land raw log lines, one JSON line per record, in a folder per batch and day.
+
+    A retried batch overwrites its own folder.
+    """
+    rows.select("value", "log_date").hint("rebalance", "log_date").write.mode("overwrite").partitionBy(
         "log_date"
-    ).text(folder)
+    ).text(f"{folder}/{WRITER}={writer}/{BATCH}={batch_id}")
 
 
 def read_raw_logs(spark: SparkSession, folder: str) -> DataFrame:
     """Landed log lines with the day they were received on."""
-    return spark.read.schema("value string, log_date string").text(folder)
+    kept = spark.read.schema(f"value string, {WRITER} string, {BATCH} long, log_date string").text(folder)
+    return kept.select("value", "log_date")

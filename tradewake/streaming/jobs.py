@@ -29,8 +29,11 @@ def _start(writer: DataStreamWriter, checkpoint: str, once: bool) -> StreamingQu
     return timed.option("checkpointLocation", checkpoint).start()
 
 
-def _per_batch(rows: DataFrame, write: Callable[[DataFrame, int], None], name: str) -> DataStreamWriter:
-    """Writer that hands each batch to ``write``.
+def _per_batch(rows: DataFrame, write: Callable[[DataFrame, int, str], None], name: str) -> DataStreamWriter:
+    """Writer that hands each batch, its number and the query's id to ``write``.
+
+    The id lives in the checkpoint. A job that restarts from it writes on where it
+    stopped; one with a fresh checkpoint counts its batches anew under another id.
 
     Spark turns adaptive execution off in the session of a stateful stream, where
     the number of state partitions is fixed. What is done with the result of a
@@ -43,47 +46,73 @@ def _per_batch(rows: DataFrame, write: Callable[[DataFrame, int], None], name: s
         before = conf.get("spark.sql.adaptive.enabled")
         conf.set("spark.sql.adaptive.enabled", "true")
         try:
-            write(batch, batch_id)
+            query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            write(batch, batch_id, query)
         finally:
             conf.set("spark.sql.adaptive.enabled", before)
 
     return rows.writeStream.queryName(name).outputMode("append").foreachBatch(run)
 
 
+def flagged_launches(source: DataFrame) -> DataFrame:
+    return ingest.decode_logs(source, schemas.LAUNCH, ["mid", "ts"])
+
+
+def flagged_events(source: DataFrame) -> DataFrame:
+    return ingest.decode_logs(source, schemas.EVENT, ["ts"])
+
+
+def flagged_orders(source: DataFrame) -> DataFrame:
+    return ingest.prepare_orders(ingest.decode(source, schemas.ORDER, ["id"]))
+
+
+def flagged_lines(source: DataFrame) -> DataFrame:
+    return ingest.prepare_lines(ingest.decode(source, schemas.ORDER_LINE, ["id", "order_id"]))
+
+
+def flagged_users(source: DataFrame) -> DataFrame:
+    return ingest.decode(source, schemas.USER, ["id"])
+
+
+def flagged_changes(source: DataFrame) -> DataFrame:
+    """Change records; what is no JSON object of their form has a ``problem``."""
+    wire = schemas.CHANGE.fieldNames()
+    parsed = source.select("*", values.once(F.from_json("value", schemas.CHANGE)).alias("c"))
+    bad = F.col("c").isNull() | F.coalesce(*[F.col(f"c.{n}").cast("string") for n in wire]).isNull()
+    return parsed.select("c.*", F.when(bad, F.lit("malformed")).alias(ingest.PROBLEM), "value")
+
+
 def launch_job(source: DataFrame, paths: JobPaths, once: bool = False, delay: str = "1 day") -> StreamingQuery:
     """First launch per device and day into the launch table."""
-    decoded = metrics.observed(
-        ingest.accepted(ingest.decode_logs(source, schemas.LAUNCH, ["mid", "ts"])), "launches"
-    )
+    decoded = metrics.observed(ingest.accepted(flagged_launches(source)), "launches")
     timed = decoded.withColumn("at", F.timestamp_millis("ts"))
     first = metrics.observed(dedup.first_launch_stream(timed, "at", delay), "first_launches")
     store = tables.launch_table(paths.tables)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        store.upsert(tables.upper_case(batch.select(*schemas.LAUNCH.names)), batch_id)
+    def write(batch: DataFrame, batch_id: int, query: str) -> None:
+        store.upsert(tables.upper_case(batch.select(*schemas.LAUNCH.names)), batch_id, writer=query)
 
     return _start(_per_batch(first, write, "launches"), paths.checkpoint("launches"), once)
 
 
 def order_job(source: DataFrame, paths: JobPaths, once: bool = False) -> StreamingQuery:
     """Orders with masked phone into the order table; the latest record of an id wins."""
-    prepared = ingest.prepare_orders(ingest.decode(source, schemas.ORDER, ["id"]))
-    good = metrics.observed(ingest.accepted(prepared), "orders")
+    good = metrics.observed(ingest.accepted(flagged_orders(source)), "orders")
     store = tables.order_table(paths.tables)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        store.upsert(tables.upper_case(batch), batch_id, ["TIMESTAMP", "OFFSET"])
+    def write(batch: DataFrame, batch_id: int, query: str) -> None:
+        store.upsert(tables.upper_case(batch), batch_id, ["TIMESTAMP", "OFFSET"], query)
 
     return _start(_per_batch(good, write, "orders"), paths.checkpoint("orders"), once)
 
 
 def user_job(source: DataFrame, paths: JobPaths, once: bool = False) -> StreamingQuery:
     """The latest record of every user into the user table."""
-    good = ingest.accepted(ingest.decode(source, schemas.USER, ["id"]))
+    good = ingest.accepted(flagged_users(source))
     store = tables.user_table(paths.tables)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        store.upsert(batch, batch_id, ["timestamp", "offset"])
+    def write(batch: DataFrame, batch_id: int, query: str) -> None:
+        store.upsert(batch, batch_id, ["timestamp", "offset"], query)
 
     return _start(_per_batch(good, write, "users"), paths.checkpoint("users"), once)
 
@@ -97,8 +126,8 @@ def matched_sales(
     salts: int = 4,
 ) -> DataFrame:
     """Lines with their orders from the two streams, joined on source time."""
-    orders = ingest.accepted(ingest.prepare_sale_orders(ingest.decode(order_source, schemas.ORDER, ["id"])))
-    lines = ingest.accepted(ingest.prepare_lines(ingest.decode(line_source, schemas.ORDER_LINE, ["id", "order_id"])))
+    orders = ingest.accepted(flagged_orders(order_source))
+    lines = ingest.accepted(flagged_lines(line_source))
     o = orders.select(
         "id", "order_status", "create_time", "user_id", "create_date", F.col("timestamp").alias("order_at")
     )
@@ -126,7 +155,7 @@ def sale_job(
     users = tables.user_table(paths.tables)
     today = as_of if as_of is not None else F.current_date()
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int, query: str) -> None:
         batch.persist()  # read for its size, its user ids and its rows
         try:
             if not batch.count():
@@ -135,7 +164,7 @@ def sale_job(
             known = users.read(batch.sparkSession, wanted=joins.user_ids(batch))
             full = joins.with_users(batch, known, today)
             doc_id = values.sale_document_id(F.col("order_id"), F.col("order_detail_id"))
-            store.upsert(full.withColumn("doc_id", doc_id), batch_id, ["order_at"])
+            store.upsert(full.withColumn("doc_id", doc_id), batch_id, ["order_at"], query)
         finally:
             batch.unpersist()
 
@@ -154,7 +183,7 @@ def alert_stream(
     Events are first counted per slide and device, in tasks of their own for each
     account and item, and only these counts enter the sliding windows.
     """
-    events = ingest.accepted(ingest.decode_logs(source, schemas.EVENT, ["ts"]))
+    events = ingest.accepted(flagged_events(source))
     timed = events.withColumn("at", F.timestamp_millis("ts")).withWatermark("at", delay)
     return alerts.alerting(alerts.window_state(timed, window_seconds, slide_seconds), threshold)
 
@@ -164,8 +193,8 @@ def alert_job(source: DataFrame, paths: JobPaths, once: bool = False, **options)
     found = metrics.observed(alert_stream(source, **options), "alerts")
     store = tables.alert_table(paths.tables)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        store.upsert(alerts.alert_per_minute(batch), batch_id, ["ts"])
+    def write(batch: DataFrame, batch_id: int, query: str) -> None:
+        store.upsert(alerts.alert_per_minute(batch), batch_id, ["ts"], query)
 
     return _start(_per_batch(found, write, "alerts"), paths.checkpoint("alerts"), once)
 
@@ -184,16 +213,13 @@ def stamped_logs(source: DataFrame, at_millis: Column | None = None) -> DataFram
 def log_landing_job(
     source: DataFrame, paths: JobPaths, at_millis: Column | None = None, once: bool = False
 ) -> StreamingQuery:
-    """Raw log lines to text files in a folder per day."""
-    writer = (
-        stamped_logs(source, at_millis)
-        .select("value", "log_date")
-        .writeStream.queryName("raw_logs")
-        .format("text")
-        .partitionBy("log_date")
-        .option("path", paths.raw_logs)
-    )
-    return _start(writer, paths.checkpoint("raw_logs"), once)
+    """Raw log lines to text files in a folder per batch and day."""
+
+    def write(batch: DataFrame, batch_id: int, query: str) -> None:
+        tables.write_raw_logs(batch, paths.raw_logs, batch_id, query)
+
+    rows = stamped_logs(source, at_millis)
+    return _start(_per_batch(rows, write, "raw_logs"), paths.checkpoint("raw_logs"), once)
 
 
 def log_route_job(
@@ -205,8 +231,7 @@ def log_route_job(
 
 def routed_changes(source: DataFrame) -> DataFrame:
     """Change records given as JSON, as ``topic`` and ``value`` of each passed-on row."""
-    parsed = source.select(values.once(F.from_json("value", schemas.CHANGE)).alias("c")).select("c.*")
-    return changes.after_images(changes.route_changes(parsed))
+    return changes.after_images(changes.route_changes(ingest.accepted(flagged_changes(source))))
 
 
 def change_route_job(source: DataFrame, sink: Sink, paths: JobPaths, once: bool = False) -> StreamingQuery:
@@ -214,11 +239,22 @@ def change_route_job(source: DataFrame, sink: Sink, paths: JobPaths, once: bool
     return _start(sink(routed_changes(source)), paths.checkpoint("change_routes"), once)
 
 
-def quarantine_job(
-    source: DataFrame, schema, required: list[str], paths: JobPaths, name: str, once: bool = False
-) -> StreamingQuery:
-    """Records that do not decode, with the reason, to a folder of JSON lines."""
-    bad = ingest.quarantined(ingest.decode(source, schema, required))
+# How each kind of record is told apart into good and bad ones. A job stores the good rows
+# of this frame, the quarantine the bad ones, so a record is in exactly one of the two.
+FLAGGED: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "launches": flagged_launches,
+    "events": flagged_events,
+    "orders": flagged_orders,
+    "lines": flagged_lines,
+    "users": flagged_users,
+    "changes": flagged_changes,
+    "logs": ingest.stamp,
+}
+
+
+def quarantine_job(source: DataFrame, name: str, paths: JobPaths, once: bool = False) -> StreamingQuery:
+    """The records of a kind (see ``FLAGGED``) that its job cannot use, with the reason, as JSON."""
+    bad = ingest.quarantined(FLAGGED[name](source))
     writer = bad.writeStream.queryName(f"bad_{name}").format("json").option("path", paths.table(f"quarantine/{name}"))
     return _start(writer, paths.checkpoint(f"bad_{name}"), once)
 
@@ -245,14 +281,42 @@ class StageCounts(StreamingQueryListener):
 
 
 def start_all(
-    spark: SparkSession, source: Callable[[str], DataFrame], paths: JobPaths, show: Callable[[str], None] = print
+    spark: SparkSession,
+    source: Callable[[str], DataFrame],
+    paths: JobPaths,
+    show: Callable[[str], None] = print,
+    once: bool = False,
 ) -> list[StreamingQuery]:
-    """All warehouse jobs on one session. ``source`` gives the stream of a topic."""
+    """All warehouse jobs on one session, each with the quarantine of its records.
+
+    ``source`` gives the stream of a topic. With ``once``, the jobs stop at its end.
+    """
     spark.streams.addListener(StageCounts(show))
+    topics = {
+        "launches": config.TOPIC_LAUNCH,
+        "events": config.TOPIC_EVENT,
+        "orders": config.TOPIC_ORDER,
+        "lines": config.TOPIC_ORDER_LINE,
+        "users": config.TOPIC_USER,
+    }
+    return [
+        launch_job(source(config.TOPIC_LAUNCH), paths, once),
+        order_job(source(config.TOPIC_ORDER), paths, once),
+        user_job(source(config.TOPIC_USER), paths, once),
+        alert_job(source(config.TOPIC_EVENT), paths, once),
+        sale_job(source(config.TOPIC_ORDER), source(config.TOPIC_ORDER_LINE), paths, once=once),
+        *[quarantine_job(source(topic), name, paths, once) for name, topic in topics.items()],
+    ]
+
+
+def start_collection(
+    logs: DataFrame, changes_: DataFrame, sink: Callable[[DataFrame], DataStreamWriter], paths: JobPaths, once: bool = False
+) -> list[StreamingQuery]:
+    """The jobs that fill the topics: log landing and routing, change routing, and quarantines."""
     return [
-        launch_job(source(config.TOPIC_LAUNCH), paths),
-        order_job(source(config.TOPIC_ORDER), paths),
-        user_job(source(config.TOPIC_USER), paths),
-        alert_job(source(config.TOPIC_EVENT), paths),
-        sale_job(source(config.TOPIC_ORDER), source(config.TOPIC_ORDER_LINE), paths),
+        log_landing_job(logs, paths, once=once),
+        log_route_job(logs, sink, paths, once=once),
+        change_route_job(changes_, sink, paths, once),
+        quarantine_job(logs, "logs", paths, once),
+        quarantine_job(changes_, "changes", paths, once),
     ]
