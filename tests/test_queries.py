@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare, connect
+from tradewake.plans.oracles import ORACLES
+from tradewake.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -14,9 +15,9 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    result = entry.queries()[name](spark, SF)
+    result = QUERIES[name](spark, SF)
     rows, difference = compare(result, duck, ORACLES[name])
     assert difference is None
 
@@ -26,4 +27,5 @@ def test_entry_has_rows(spark):
 
 
 def test_every_sql_belongs_to_a_query():
-    assert set(ORACLES) <= set(entry.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -22,12 +22,12 @@ _ORDER = """order_info AS (
            CAST(o_custkey AS VARCHAR) AS user_id, o_totalprice AS total_amount, o_orderdate AS order_at,
            strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS create_time,
            strftime(o_orderdate, '%Y-%m-%d') AS create_date, strftime(o_orderdate, '%H') AS create_hour
-    FROM orders JOIN customer ON o_custkey = c_custkey)"""
+    FROM orders LEFT JOIN customer ON o_custkey = c_custkey)"""
 _LINE = """order_detail AS (
-    SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id,
+    SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
            CAST(l_orderkey AS VARCHAR) AS order_id, p_name AS sku_name, CAST(l_partkey AS VARCHAR) AS sku_id,
            l_extendedprice AS sku_price, CAST(l_quantity AS VARCHAR) AS sku_num, l_shipdate AS line_at
-    FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+    FROM lineitem LEFT JOIN part ON l_partkey = p_partkey)"""
 _USER = """user_info AS (
     SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS login_name, c_mktsegment AS user_level,
            DATE '1960-01-01' + CAST((c_custkey * 37) % 15000 AS INTEGER) AS born,
@@ -196,6 +196,9 @@ _LATEST_SALE = f"""SELECT order_id || ':' || order_detail_id AS doc_id, {_SALE_C
         ORDER BY sku_id DESC, sku_price DESC, sku_name DESC) = 1"""
 _LANDED = """'{"type":"' || type || '","mid":"' || mid || '","uid":"' || uid || '","ts":%d}'""" % q.STAMP_MILLIS
 
+_USERS = f"""WITH {_USER} SELECT id, login_name, user_level, strftime(born, '%Y-%m-%d') AS birthday, gender
+    FROM user_info"""
+
 ORACLES: dict[str, str] = {
     "launch_derived": f"WITH {_LAUNCH} SELECT mid, uid, type, ts, log_date, log_hour FROM launch",
     "ingest_stamped": f"WITH {_LAUNCH} SELECT type, mid, uid, CAST({q.STAMP_MILLIS} AS BIGINT) AS ts FROM launch",
@@ -296,4 +299,24 @@ ORACLES: dict[str, str] = {
     "stream_log_routes": f"""WITH {_LAUNCH} SELECT {_LANDED} AS value, CASE WHEN type = 'startup'
         THEN '{config.TOPIC_LAUNCH}' ELSE '{config.TOPIC_EVENT}' END AS topic FROM launch""",
     "stream_change_routes": f"WITH {_CHANGE} SELECT topic, value FROM routed",
+    "late_join_repeats": f"""WITH {_ORDER}, {_LINE}, repeats AS (
+        SELECT * FROM order_info UNION ALL
+        SELECT * REPLACE (order_at - to_days(k) AS order_at, order_status || '-' || k AS order_status)
+        FROM order_info, (VALUES {", ".join(f"({k})" for k in q.REPEAT_DAYS)}) AS t(k))
+        SELECT d.id AS order_detail_id, o.id AS order_id, o.order_status,
+        o.create_time, o.user_id, d.sku_id, d.sku_price, d.sku_name, o.create_date AS dt
+        FROM order_detail d JOIN repeats o ON d.order_id = o.id
+        AND o.order_at BETWEEN d.line_at - INTERVAL {q.AFTER // 86400} DAY AND d.line_at + INTERVAL {q.BEFORE // 86400} DAY
+        QUALIFY row_number() OVER (PARTITION BY d.id, o.id ORDER BY o.order_at DESC) = 1""",
+    "stream_orders": f"""WITH {_ORDER} SELECT id AS "ID", user_id AS "USER_ID",
+        substr(consignee_tel, 1, 4) || '****' || substr(consignee_tel, 8) AS "CONSIGNEE_TEL",
+        order_status AS "ORDER_STATUS", total_amount AS "TOTAL_AMOUNT", create_date AS "CREATE_DATE",
+        create_hour AS "CREATE_HOUR" FROM order_info""",
+    "stream_users": _USERS,
+    "stream_raw_logs": f"""WITH {_LAUNCH} SELECT {_LANDED} AS value,
+        strftime(make_timestamp({q.STAMP_MILLIS} * 1000), '%Y-%m-%d') AS log_date FROM launch""",
+    "quarantine_counts": """SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'bad create_time'
+        WHEN o_orderkey % 11 = 0 THEN 'malformed' ELSE 'stored' END AS place, count(*) AS records
+        FROM orders GROUP BY 1""",
+    "two_checkpoints": _USERS,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tradewake import config, schemas
 from tradewake.functions import values
+from tradewake.functions.times import previous_day
 from tradewake.operators import alerts, changes, dedup, ingest, joins, metrics, search
 from tradewake.plans import reports
 from tradewake.session import configure, shared_folder
@@ -26,6 +27,7 @@ PAGE, PAGE_SIZE = 2, 5
 STAMP_MILLIS = 1_704_200_000_000
 WINDOW, SLIDE = 86_400, 21_600
 BEFORE, AFTER = 300 * 86_400, 100 * 86_400
+REPEAT_DAYS = (150, 350)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,12 +55,19 @@ def _as_of() -> Column:
     return F.lit(AGE_DAY).cast("date")
 
 
-def _sales(spark: SparkSession, folder: str) -> DataFrame:
-    return joins.sale_detail(d.lines(spark, folder), d.orders(spark, folder), d.users(spark, folder), _as_of())
+def _sales(spark: SparkSession, folder: str, day: str | None = None) -> DataFrame:
+    """All sales, or those of the orders of a day, which are all that is read of the orders."""
+    orders = d.orders(spark, folder, (day, day) if day else None)
+    return joins.sale_detail(d.lines(spark, folder), orders, d.users(spark, folder), _as_of())
 
 
-def _first_launches(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup.first_launch_of_day(d.launches(spark, folder))
+# The day asked for, and with the day before.
+ONE_DAY = (DAY, DAY)
+TWO_DAYS = (previous_day(DAY), DAY)
+
+
+def _first_launches(spark: SparkSession, folder: str, days: d.Days | None = None) -> DataFrame:
+    return dedup.first_launch_of_day(d.launches(spark, folder, days))
 
 
 def _launch_rows(first: DataFrame) -> DataFrame:
@@ -100,7 +109,8 @@ def raw_landing(spark, folder):
         F.col("line").alias("value"), F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd").alias("log_date")
     )
     path = shared_folder(spark)
-    tables.write_raw_logs(landed, path)
+    tables.write_raw_logs(landed, path, 0)
+    tables.write_raw_logs(landed, path, 0)  # a retry
     return tables.read_raw_logs(spark, path)
 
 
@@ -194,6 +204,26 @@ def late_join(spark, folder):
     return joins.merge_sale(joined)
 
 
+@query
+def late_join_repeats(spark, folder):
+    """Every order also came twice before, at other times and with other states."""
+    orders = d.orders(spark, folder).select("id", "order_status", "create_time", "user_id", "create_date", "order_at")
+    earlier = [
+        orders.withColumns({
+            "order_at": F.col("order_at") - F.expr(f"interval {days} days"),
+            "order_status": F.concat("order_status", F.lit(f"-{days}")),
+        })
+        for days in REPEAT_DAYS
+    ]
+    joined = joins.late_join(
+        d.lines(spark, folder).select("id", "order_id", "sku_id", "sku_price", "sku_name", "line_at"),
+        orders.union(earlier[0]).union(earlier[1]),
+        BEFORE,
+        AFTER,
+    )
+    return joins.merge_sale(joined)
+
+
 @query
 def user_lookup(spark, folder):
     rows = d.orders(spark, folder).select(F.col("id").alias("order_id"), "user_id")
@@ -269,42 +299,42 @@ def daily_active(spark, folder):
 
 @query
 def active_of_day(spark, folder):
-    return metrics.active_of_day(_first_launches(spark, folder), DAY)
+    return metrics.active_of_day(_first_launches(spark, folder, ONE_DAY), DAY)
 
 
 @query
 def hourly_active(spark, folder):
-    return metrics.active_by_hour(_first_launches(spark, folder), DAY)
+    return metrics.active_by_hour(_first_launches(spark, folder, ONE_DAY), DAY)
 
 
 @query
 def hourly_active_compare(spark, folder):
-    return metrics.compare_active_hours(_first_launches(spark, folder), DAY)
+    return metrics.compare_active_hours(_first_launches(spark, folder, TWO_DAYS), DAY)
 
 
 @query
 def order_amount_day(spark, folder):
-    return metrics.amount_by_day(d.orders(spark, folder))
+    return metrics.amount_by_day(d.order_amounts(spark, folder))
 
 
 @query
 def order_amount_total(spark, folder):
-    return metrics.amount_of_day(d.orders(spark, folder), ORDER_DAY)
+    return metrics.amount_of_day(d.order_amounts(spark, folder, (ORDER_DAY, ORDER_DAY)), ORDER_DAY)
 
 
 @query
 def order_amount_hour(spark, folder):
-    return metrics.amount_by_hour(d.purchases(spark, folder), DAY)
+    return metrics.amount_by_hour(d.purchases(spark, folder, ONE_DAY), DAY)
 
 
 @query
 def hourly_amount_compare(spark, folder):
-    return metrics.compare_amount_hours(d.purchases(spark, folder), DAY)
+    return metrics.compare_amount_hours(d.purchases(spark, folder, TWO_DAYS), DAY)
 
 
 @query
 def kpi_cards(spark, folder):
-    return metrics.kpi_cards(d.launches(spark, folder), d.purchases(spark, folder), DAY)
+    return metrics.kpi_cards(d.launches(spark, folder), d.purchases(spark, folder, ONE_DAY), DAY)
 
 
 @query
@@ -324,41 +354,43 @@ def observed_counts(spark, folder):
 
 @query
 def sql_active_total(spark, folder):
-    launches = tables.upper_case(_first_launches(spark, folder))
+    launches = tables.upper_case(_first_launches(spark, folder, ONE_DAY))
     return sql_reports.run(sql_reports.ACTIVE_TOTAL, DAY, launches=launches)
 
 
 @query
 def sql_active_by_hour(spark, folder):
-    launches = tables.upper_case(_first_launches(spark, folder))
+    launches = tables.upper_case(_first_launches(spark, folder, ONE_DAY))
     return sql_reports.run(sql_reports.ACTIVE_BY_HOUR, DAY, launches=launches)
 
 
 @query
 def sql_amount_total(spark, folder):
-    orders = tables.upper_case(d.orders(spark, folder))
+    orders = tables.upper_case(d.order_amounts(spark, folder, (ORDER_DAY, ORDER_DAY)))
     return sql_reports.run(sql_reports.AMOUNT_TOTAL, ORDER_DAY, orders=orders)
 
 
 @query
 def sql_amount_by_hour(spark, folder):
-    orders = tables.upper_case(d.purchases(spark, folder))
+    orders = tables.upper_case(d.purchases(spark, folder, ONE_DAY))
     return sql_reports.run(sql_reports.AMOUNT_BY_HOUR, DAY, orders=orders)
 
 
 @query
 def realtime_total(spark, folder):
-    return reports.realtime_total(d.launches(spark, folder), d.purchases(spark, folder), DAY)
+    return reports.realtime_total(d.launches(spark, folder), d.purchases(spark, folder, ONE_DAY), DAY)
 
 
 @query
 def realtime_hours_dau(spark, folder):
-    return reports.realtime_hours(_first_launches(spark, folder), d.purchases(spark, folder), "dau", DAY)
+    first, bought = _first_launches(spark, folder, TWO_DAYS), d.purchases(spark, folder, TWO_DAYS)
+    return reports.realtime_hours(first, bought, "dau", DAY)
 
 
 @query
 def realtime_hours_amount(spark, folder):
-    return reports.realtime_hours(_first_launches(spark, folder), d.purchases(spark, folder), "order_amount", DAY)
+    first, bought = _first_launches(spark, folder, TWO_DAYS), d.purchases(spark, folder, TWO_DAYS)
+    return reports.realtime_hours(first, bought, "order_amount", DAY)
 
 
 # --- search ------------------------------------------------------------------
@@ -366,37 +398,37 @@ def realtime_hours_amount(spark, folder):
 
 @query
 def sale_search_page(spark, folder):
-    return search.page(search.hits(_sales(spark, folder), SEARCH_DAY, KEYWORD), KEYWORD, PAGE, PAGE_SIZE)
+    return search.page(search.hits(_sales(spark, folder, SEARCH_DAY), SEARCH_DAY, KEYWORD), KEYWORD, PAGE, PAGE_SIZE)
 
 
 @query
 def sale_search_total(spark, folder):
-    return search.total(search.hits(_sales(spark, folder), SEARCH_DAY, KEYWORD))
+    return search.total(search.hits(_sales(spark, folder, SEARCH_DAY), SEARCH_DAY, KEYWORD))
 
 
 @query
 def age_terms(spark, folder):
-    return search.age_terms(search.hits(_sales(spark, folder), ORDER_DAY))
+    return search.age_terms(search.hits(_sales(spark, folder, ORDER_DAY), ORDER_DAY))
 
 
 @query
 def gender_terms(spark, folder):
-    return search.gender_terms(search.hits(_sales(spark, folder), ORDER_DAY))
+    return search.gender_terms(search.hits(_sales(spark, folder, ORDER_DAY), ORDER_DAY))
 
 
 @query
 def age_share(spark, folder):
-    return search.age_share(search.hits(_sales(spark, folder), ORDER_DAY))
+    return search.age_share(search.hits(_sales(spark, folder, ORDER_DAY), ORDER_DAY))
 
 
 @query
 def gender_share(spark, folder):
-    return search.gender_share(search.hits(_sales(spark, folder), ORDER_DAY))
+    return search.gender_share(search.hits(_sales(spark, folder, ORDER_DAY), ORDER_DAY))
 
 
 @query
 def sale_search_report(spark, folder):
-    return reports.sale_detail(_sales(spark, folder), SEARCH_DAY, PAGE, PAGE_SIZE, KEYWORD)
+    return reports.sale_detail(_sales(spark, folder, SEARCH_DAY), SEARCH_DAY, PAGE, PAGE_SIZE, KEYWORD)
 
 
 # --- tables ------------------------------------------------------------------
@@ -530,3 +562,63 @@ def stream_change_routes(spark, folder):
     out = paths.table("topics")
     _finish(jobs.change_route_job(source, lambda rows: topics.file_sink(rows, out), paths, once=True))
     return spark.read.schema("value string, topic string").json(out)
+
+
+@query
+def stream_orders(spark, folder):
+    """The order table as the order job fills it."""
+    paths = _paths(spark)
+    _finish(jobs.order_job(d.order_records(spark, folder, d.stream_table), paths, once=True))
+    stored = tables.order_table(paths.tables).read(spark)
+    return stored.select("ID", "USER_ID", "CONSIGNEE_TEL", "ORDER_STATUS", "TOTAL_AMOUNT", "CREATE_DATE", "CREATE_HOUR")
+
+
+@query
+def stream_users(spark, folder):
+    """The user table as the user job fills it."""
+    paths = _paths(spark)
+    _finish(jobs.user_job(d.user_records(spark, folder, d.stream_table), paths, once=True))
+    return tables.user_table(paths.tables).read(spark)
+
+
+@query
+def stream_raw_logs(spark, folder):
+    """Landed log lines, as the landing job writes them."""
+    paths = _paths(spark)
+    source = d.log_records(spark, folder, d.stream_table)
+    _finish(jobs.log_landing_job(source, paths, F.lit(STAMP_MILLIS), once=True))
+    return tables.read_raw_logs(spark, paths.raw_logs)
+
+
+@query
+def quarantine_counts(spark, folder):
+    """Orders sent, stored and quarantined; some have no usable time, some are no JSON."""
+    paths = _paths(spark)
+
+    def source() -> DataFrame:
+        sent = d.order_records(spark, folder, d.stream_table)
+        number = F.get_json_object("value", "$.id").cast("long")
+        spoilt = F.when(number % 7 == 0, F.regexp_replace("value", "create_time", "time")).when(
+            number % 11 == 0, F.substring("value", 1, 20)
+        )
+        return sent.withColumn("value", F.coalesce(spoilt, F.col("value")))
+
+    _finish(jobs.order_job(source(), paths, once=True))
+    _finish(jobs.quarantine_job(source(), "orders", paths, once=True))
+    bad = spark.read.schema("problem string, value string").json(paths.table("quarantine/orders"))
+    stored = tables.order_table(paths.tables).read(spark)
+    return stored.select(F.lit("stored").alias("place")).union(bad.select("problem")).groupBy("place").agg(
+        F.count(F.lit(1)).alias("records")
+    )
+
+
+@query
+def two_checkpoints(spark, folder):
+    """Users of two runs with checkpoints of their own into one table; none is lost."""
+    paths = _paths(spark)
+    again = JobPaths(paths.tables, f"{paths.checkpoints}-again", paths.raw_logs)
+    for at, even in ((paths, True), (again, False)):
+        records = d.user_records(spark, folder, d.stream_table)
+        number = F.get_json_object("value", "$.id").cast("long")
+        _finish(jobs.user_job(records.where((number % 2 == 0) == even), at, once=True))
+    return tables.user_table(paths.tables).read(spark)

@@ -23,19 +23,22 @@ def realtime_hours(launches: DataFrame, orders: DataFrame, kind: str, date: str)
     ``kind`` is ``dau`` or ``order_amount``; anything else answers with two empty
     maps. ``launches`` is the table of first launches.
     """
+    before = previous_day(date)
     if kind == "dau":
-        series = [metrics.active_by_hour(launches, d).toDF("hour", "value") for d in (previous_day(date), date)]
+        rows, value = launches.select(F.col("logDate").alias("day"), F.col("logHour").alias("hour")), F.count(F.lit(1))
     elif kind == "order_amount":
-        series = [metrics.amount_by_hour(orders, d).toDF("hour", "value") for d in (previous_day(date), date)]
+        rows = orders.select(F.col("create_date").alias("day"), F.col("create_hour").alias("hour"), "total_amount")
+        value = metrics.money_sum(F.col("total_amount"))
     else:
-        series = [launches.sparkSession.createDataFrame([], "hour string, value bigint")] * 2
-    tagged = [s.withColumn("day", F.lit(tag)) for s, tag in zip(series, ("yesterday", "today"))]
+        rows, value = launches.sparkSession.createDataFrame([], "day string, hour string"), F.count(F.lit(1))
+    # Both days from one scan.
+    by_hour = rows.where(F.col("day").isin(before, date)).groupBy("day", "hour").agg(value.alias("value"))
 
-    def hours(tag: str):
-        entries = F.collect_list(F.when(F.col("day") == tag, F.struct("hour", "value")))
-        return F.map_from_entries(F.array_sort(entries)).alias(tag)
+    def hours(day: str, name: str):
+        entries = F.collect_list(F.when(F.col("day") == day, F.struct("hour", "value")))
+        return F.map_from_entries(F.array_sort(entries)).alias(name)
 
-    both = tagged[0].unionByName(tagged[1]).agg(hours("yesterday"), hours("today"))
+    both = by_hour.agg(hours(before, "yesterday"), hours(date, "today"))
     return both.select(F.to_json(F.struct("yesterday", "today")).alias("json"))
 
 
