@@ -39,6 +39,9 @@ HEADLINE = (
     "sale_search_page",
     "age_share",
     "sale_search_report",
+    "sale_upsert",
+    "user_snapshot",
+    "stream_first_launches",
 )
 
 
@@ -52,6 +55,8 @@ def main() -> None:
         .appName("bench")
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.driver.memory", "8g")
+        # In one process even small shuffles are worth all its threads.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))

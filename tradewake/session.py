@@ -30,9 +30,6 @@ def configure(spark: SparkSession, streaming: bool = False) -> SparkSession:
     """Apply the settings above to a running session."""
     for name, value in SQL_SETTINGS.items():
         spark.conf.set(name, value)
-    if spark.sparkContext.master.startswith("local"):
-        # In one process even small shuffles are worth all its threads.
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     # A listing task takes many folders of a partitioned table instead of one each.
     listers = max(32, 2 * spark.sparkContext.defaultParallelism)
     spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(listers))
