@@ -102,6 +102,47 @@ def suspects(events: DataFrame, buckets: DataFrame, window_seconds: int, at: str
     return events.join(buckets, same, "left_semi")
 
 
+def last_windows(
+    panes: DataFrame, window_seconds: int, slide_seconds: int, threshold: int
+) -> DataFrame:
+    """The last alerting window of each device and minute, as ``mid`` and ``window``.
+
+    Only coupon and view events are put into the sliding windows here, and no lists are
+    built: of up to 12 windows a minute 11 are dropped again.
+    """
+    span = F.window(F.window_time("pane"), f"{window_seconds} seconds", f"{slide_seconds} seconds")
+    telling = panes.where(F.col("evid").isin(COUPON, VIEW))
+    state = telling.groupBy("mid", span.alias("window")).agg(
+        F.size(F.collect_set(F.when(F.col("evid") == COUPON, F.struct("uid")))).alias("accounts"),
+        F.max((F.col("evid") == VIEW).cast("int")).alias("views"),
+    )
+    found = state.where((F.col("accounts") >= threshold) & (F.col("views") == 0))
+    minute = F.date_trunc("minute", "window.end")
+    return found.groupBy("mid", minute.alias("_minute")).agg(F.max("window").alias("window")).drop("_minute")
+
+
+def state_of(panes: DataFrame, windows: DataFrame, window_seconds: int, slide_seconds: int) -> DataFrame:
+    """The state (see :func:`window_state`) of given windows without views."""
+    ends = F.sequence(
+        F.col("window.start") + F.expr(f"interval {slide_seconds} seconds"),
+        F.col("window.end"),
+        F.expr(f"interval {slide_seconds} seconds"),
+    )
+    wanted = windows.select(F.col("mid").alias("_mid"), "window", F.explode(ends).alias("_end"))
+    coupon = F.col("evid") == COUPON
+    same = F.col("mid").eqNullSafe(F.col("_mid")) & (F.col("pane.end") == F.col("_end"))
+    return (
+        panes.join(wanted, same)
+        .groupBy("mid", "window")
+        .agg(
+            F.collect_set(F.when(coupon, F.struct("uid"))).alias("accounts"),
+            F.collect_set(F.when(coupon, F.struct("itemid"))).alias("items"),
+            F.collect_list(F.struct("evid", "n")).alias("event_counts"),
+            F.lit(0).alias("views"),
+        )
+    )
+
+
 def coupon_alerts(
     events: DataFrame,
     window_seconds: int,
@@ -112,7 +153,8 @@ def coupon_alerts(
 ) -> DataFrame:
     """Batch form: all alerts, one per device and minute.
 
-    Only suspect events are expanded into sliding windows. With ``scratch``, a
+    Only suspect events are expanded into sliding windows, and what happened is listed
+    for the last alerting window of each minute only. With ``scratch``, a
     folder all executors share, the list of suspects is written there first. Its
     size is then known when the events are filtered, and as long as it is below
     Spark's broadcast limit the events are filtered where they are read instead of
@@ -124,8 +166,9 @@ def coupon_alerts(
     if scratch is not None:
         buckets.write.mode("overwrite").parquet(scratch)
         buckets = events.sparkSession.read.schema(buckets.schema).parquet(scratch)
-    narrowed = suspects(needed, buckets, window_seconds, at)
-    return alert_per_minute(alerting(window_state(narrowed, window_seconds, slide_seconds, at), threshold))
+    panes = pane_counts(suspects(needed, buckets, window_seconds, at), slide_seconds, at)
+    last = last_windows(panes, window_seconds, slide_seconds, threshold)
+    return alert_per_minute(alerting(state_of(panes, last, window_seconds, slide_seconds), threshold))
 
 
 def alert_per_minute(alerts: DataFrame) -> DataFrame:

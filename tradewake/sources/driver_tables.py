@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,7 +44,7 @@ Days = tuple[str, str]
 def _within(rows: DataFrame, time: str, days: Days | None) -> DataFrame:
     if days is None:
         return rows
-    first, last = (F.lit(dt.datetime.fromisoformat(d)).cast("timestamp_ntz") for d in days)
+    first, last = (F.lit(f"{d} 00:00:00").cast("timestamp_ntz") for d in days)
     return rows.where((F.col(time) >= first) & (F.col(time) < last + F.expr("interval 1 day")))
 
 
