@@ -301,7 +301,7 @@ ORACLES: dict[str, str] = {
     "stream_change_routes": f"WITH {_CHANGE} SELECT topic, value FROM routed",
     "late_join_repeats": f"""WITH {_ORDER}, {_LINE}, repeats AS (
         SELECT * FROM order_info UNION ALL
-        SELECT * REPLACE (order_at - to_days(k) AS order_at, order_status || '-' || k AS order_status)
+        SELECT * EXCLUDE (k) REPLACE (order_at - to_days(k) AS order_at, order_status || '-' || k AS order_status)
         FROM order_info, (VALUES {", ".join(f"({k})" for k in q.REPEAT_DAYS)}) AS t(k))
         SELECT d.id AS order_detail_id, o.id AS order_id, o.order_status,
         o.create_time, o.user_id, d.sku_id, d.sku_price, d.sku_name, o.create_date AS dt
