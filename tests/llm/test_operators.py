@@ -349,6 +349,20 @@ def test_reparameterised_items_are_found(spark, no_documents):
     assert decontamination.contaminated(spark, no_documents, items).count() == 0
 
 
+def test_values_of_other_token_counts_are_found(spark):
+    item = "Anna paid 12 usd for bread while Berta took 3 kg of salt and then Clara sold 7 jars of jam to Dora"
+    doc = "Anna Maria paid 1,200 usd for bread while Eva Lea took 3.5 kg of salt and then Fay-Ann sold 1 700 jars of jam to Gina Lu"
+    plain = [f"q{i}" for i in range(50)]
+    pieces = " ".join(w if i % 10 else f"{w}x more" for i, w in enumerate(plain))  # ten words and one more, again and again
+    mixed = doc.replace("1,200", "40.5").replace("Fay-Ann", "Anna Maria")
+    twice = "Anna Maria met 12 men near the old mill and later Anna Maria met 12 men near the old church"
+    torn = twice.replace("Anna Maria", "Eva", 1).replace("12", "3.5", 1)
+    rows = [(1, f"so {doc} x", "en", "a"), (2, pieces, "en", "a"), (3, mixed, "en", "a"), (4, torn, "en", "a"),
+            (5, " ".join(plain[:10]) + " z" * 99 + " ".join(plain[11:20]), "en", "a")]
+    found = decontamination.contaminated(spark, frame_of(spark, rows), benchmark_of(spark, [item, " ".join(plain), twice]))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 0), (2, 1), (3, 0)}
+
+
 def test_planted_items_are_found_and_nothing_else(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))

@@ -1,18 +1,21 @@
 """Benchmark passages in documents, also with other numbers, names and units.
 
-Texts become templates: numbers, names and units turn into typed placeholders. Windows of
-template tokens are joined by hash. Along one alignment of a document and an item, the
-placeholders' values must agree: what stood for a value of the item once, stands for it
-each time.
+Texts become templates: a number with its separators, a run of names and a unit each turn
+into one typed placeholder. Windows of template tokens are joined by hash. Evidence is added
+up along one alignment of a document and an item, and over alignments a few tokens apart.
+The placeholders' values must agree there: what stood for a value of the item once, stands
+for it each time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tradewake.llm import words as H
@@ -25,6 +28,8 @@ LEAST_PLAIN = 4
 AGREEMENT = 0.9
 # An item is found if so many of its tokens, or so large a share of them, are covered.
 COVERED, COVERED_SHARE = 13, 0.5
+# Alignments at most so many template tokens apart are added up.
+NEIGHBOUR = 8
 
 # Bits of the filter per benchmark window, and at most. It only spares the join rows that
 # cannot match, so its bound costs no result.
@@ -43,6 +48,8 @@ _PLAIN_BYTES = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 SEPARATORS = bytes(b for b in range(256) if b not in _PLAIN_BYTES)
 
 _NUMBER, _NAME, _UNIT = (H.U64(x) for x in (3, 5, 7))
+# One such byte between two digits belongs to the number, such bytes between names to the run.
+_IN_NUMBER, _IN_NAMES = b".,':/-_", b" \t\n\r-'"
 
 
 def _folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,44 +61,107 @@ def _folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(capital, data + np.uint8(32), data), capital
 
 
-def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens and slot values (0 for plain tokens) of all texts, and text bounds.
+def _any_of(data: np.ndarray, listed: bytes) -> np.ndarray:
+    return ~H.word_mask(listed)[data]
 
-    A token is a run of ASCII letters, digits and all other characters beyond ASCII. One
-    that starts with a digit is a number; one of the units is a unit after a number; one
-    that starts with a capital and does not end with one is a name.
+
+class Templates(NamedTuple):
+    """Template tokens of all texts, with their slot values (0 for plain tokens).
+
+    ``begin``: the first word of each token, and the number of words at the end; ``of_word``:
+    the token of each word; ``bounds`` and ``word_bounds``: where each text's begin.
+    """
+
+    token: np.ndarray
+    slot: np.ndarray
+    bounds: np.ndarray
+    begin: np.ndarray
+    word: np.ndarray
+    word_bounds: np.ndarray
+    of_word: np.ndarray
+
+
+def templates(texts: pa.Array) -> Templates:
+    """The template of all texts.
+
+    A word is a run of ASCII letters, digits and all other characters beyond ASCII. One
+    that starts with a digit is a number, with those that follow after one separator (or,
+    three digits, after a space); one of the units is a unit after a number; words that
+    start with a capital and do not end with one are a name, as many as follow each other.
     """
     data, offsets = H.text_buffer(texts)
     is_word = H.word_mask(SEPARATORS)
     empty = np.zeros(0, np.int64)
-    hashes, places, digit, name = [empty.astype(H.U64)], [empty], [empty.astype(bool)], [empty.astype(bool)]
+    hashes, places, stops = [empty.astype(H.U64)], [empty], [empty]
+    digit, name = [empty.astype(bool)], [empty.astype(bool)]
     for at, begin, end in H.word_pieces(data, offsets, is_word):
         piece = data[at : at + (int(end[-1]) if len(end) else 0)]
         small, capital = _folded(piece)
         hashes.append(H.span_hashes(H._BYTE[small], begin, end))
         places.append(begin + at)
+        stops.append(end + at)
         if not len(begin):
             continue
         digit.append((piece[begin] >= 48) & (piece[begin] <= 57))
         lead = np.minimum(begin + 1, len(piece) - 1)
         first = capital[begin] | ((piece[begin] == 0xC3) & capital[lead])
         name.append(first & ~capital[end - 1] & (end - begin > 1))
-    token, digit, name = np.concatenate(hashes), np.concatenate(digit), np.concatenate(name)
-    bounds = np.searchsorted(np.concatenate(places), offsets)
-    after_number = np.zeros(len(token), bool)
+    word, digit, name = np.concatenate(hashes), np.concatenate(digit), np.concatenate(name)
+    place, stop = np.concatenate(places), np.concatenate(stops)
+    word_bounds = np.searchsorted(place, offsets)
+    inner = np.ones(len(word), bool)  # not the first word of its text
+    starts = word_bounds[:-1]
+    inner[starts[starts < len(word)]] = False
+
+    joined = np.zeros(len(word), bool)  # goes with the word before
+    if len(word) > 1:
+        length = stop - place
+        gap, after = place[1:] - stop[:-1], stop[:-1]
+        numeric = np.concatenate([[0], np.cumsum(~((data >= 48) & (data <= 57)))])
+        all_digits = numeric[stop] == numeric[place]
+        one = digit[:-1] & digit[1:] & (gap == 1)
+        at_gap = data[np.minimum(after, len(data) - 1)]
+        last = data[stop[:-1] - 1]
+        one &= (last >= 48) & (last <= 57)
+        thousands = (at_gap == 32) & all_digits[:-1] & (length[:-1] <= 3) & all_digits[1:] & (length[1:] == 3)
+        other = np.concatenate([[0], np.cumsum(~_any_of(data, _IN_NAMES))])
+        named = name[:-1] & name[1:] & (other[place[1:]] == other[after])
+        joined[1:] = (one & (_any_of(at_gap, _IN_NUMBER) | thousands)) | named
+        joined &= inner
+    begin = np.flatnonzero(~joined)
+    of_word = np.cumsum(~joined) - 1
+    begin = np.append(begin, len(word))
+    run = H.span_hashes(word, begin[:-1], begin[1:])
+    digit, name = digit[begin[:-1]], name[begin[:-1]]
+    after_number = np.zeros(len(digit), bool)
     after_number[1:] = digit[:-1]
-    starts = bounds[:-1]
-    after_number[starts[starts < len(token)]] = False
-    unit = after_number & np.isin(token, _unit_hashes())
+    after_number &= inner[begin[:-1]]
+    token = word[begin[:-1]]
+    unit = after_number & np.isin(token, _unit_hashes()) & (np.diff(begin) == 1)
     slot = digit | unit | name
     kind = np.where(digit, _NUMBER, np.where(unit, _UNIT, _NAME))
-    return np.where(slot, kind, token), np.where(slot, token, H.U64(0)), bounds
+    return Templates(
+        np.where(slot, kind, token),
+        np.where(slot, run, H.U64(0)),
+        np.searchsorted(begin[:-1], word_bounds),
+        begin,
+        word,
+        word_bounds,
+        of_word,
+    )
 
 
 def _unit_hashes() -> np.ndarray:
     return H.word_hashes(pa.array(UNITS), SEPARATORS)[0]
 
 
+def _lists(values: np.ndarray, width: int) -> pa.ListArray:
+    """Rows of ``width`` values each, as lists."""
+    return pa.ListArray.from_arrays(
+        pa.array((np.arange(len(values) // width + 1) * width).astype(np.int32)), pa.array(values)
+    )
+
+
 def _windows(key: list[str], widths: list[int], pages: dict[int, bytes] | None, bits: int, whole: bool):
     """Texts to their template windows.
 
@@ -106,48 +176,76 @@ def _windows(key: list[str], widths: list[int], pages: dict[int, bytes] | None,
             for page, content in pages.items():
                 known[page * (_PAGE // 8) : (page + 1) * (_PAGE // 8)] = np.frombuffer(content, np.uint8)
         for batch in batches:
-            token, slot, bounds = templates(batch.column("text"))
-            count = np.diff(bounds)
-            plain = np.concatenate([[0], np.cumsum(slot == 0)])
+            made = templates(batch.column("text"))
+            count, words = np.diff(made.bounds), np.diff(made.word_bounds)
+            plain = np.concatenate([[0], np.cumsum(made.slot == 0)])
             doc_of = np.repeat(np.arange(len(count)), count)
             for width in widths:
-                n = len(token) - width + 1
+                n = len(made.token) - width + 1
                 if n <= 0:
                     continue
                 start = np.arange(n)
-                fits = start + width <= bounds[1:][doc_of[:n]]
+                fits = start + width <= made.bounds[1:][doc_of[:n]]
                 if whole and width < widths[0]:
                     fits &= count[doc_of[:n]] == width
                 fits &= plain[start + width] - plain[start] >= LEAST_PLAIN
-                hashed = H.mix(H.shingle_hashes(token, width) + H.U64(width))
+                hashed = H.mix(H.shingle_hashes(made.token, width) + H.U64(width))
                 if known is not None:
                     bit = (hashed & H.U64(bits - 1)).astype(np.int64)
                     fits &= (known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
                 start = np.flatnonzero(fits)
                 doc = doc_of[start]
-                slots = slot[start[:, None] + np.arange(width)].reshape(-1)
+                each = (start[:, None] + np.arange(width)).reshape(-1)
+                spots = made.begin[each] - np.repeat(made.word_bounds[doc], width)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(k).take(pa.array(doc)) for k in key),
                         pa.array(H.as_long(hashed[start])),
-                        pa.array((start - bounds[doc]).astype(np.int32)),
-                        pa.array(count[doc].astype(np.int32)),
-                        pa.ListArray.from_arrays(
-                            pa.array((np.arange(len(start) + 1) * width).astype(np.int32)),
-                            pa.array(H.as_long(slots)),
-                        ),
+                        pa.array((start - made.bounds[doc]).astype(np.int32)),
+                        pa.array(words[doc].astype(np.int32)),
+                        _lists(spots.astype(np.int32), width),
+                        _lists(np.diff(made.begin)[each].astype(np.int32), width),
+                        _lists(H.as_long(made.slot[each]), width),
                     ],
-                    names=[*key, "window", "place", "tokens", "slots"],
+                    names=[*key, "window", "place", "tokens", "spots", "steps", "slots"],
                 )
 
     return run
 
 
-_WINDOW = "window long, place int, tokens int, slots array<long>"
+_WINDOW = "window long, place int, tokens int, spots array<int>, steps array<int>, slots array<long>"
+
+
+def _evidence(points: DataFrame, group: list[str]) -> DataFrame:
+    """Covered words and agreement of values of each group that suffices for a find."""
+    slotted = F.col("of").isNotNull()
+    summed = (
+        points.groupBy(*group, "of", "to")
+        .agg(F.count("*").alias("n"), F.min(F.struct("word", "begin")).alias("first"), F.max("tokens").alias("tokens"))
+        .groupBy(*group, "of")
+        .agg(
+            F.max("n").alias("most"), F.sum("n").alias("all"), F.min("first").alias("first"), F.max("tokens").alias("tokens")
+        )
+        .groupBy(*group)
+        .agg(
+            F.sum("all").cast("int").alias("covered"),
+            (F.sum(F.when(slotted, F.col("most"))) / F.sum(F.when(slotted, F.col("all")))).alias("agreement"),
+            F.min("first.begin").alias("begin"),
+            F.max("tokens").alias("tokens"),
+        )
+    )
+    return (
+        summed.select(*_PAIR, "begin", "tokens", "covered", F.coalesce("agreement", F.lit(1.0)).alias("agreement"))
+        .where(F.col("agreement") >= AGREEMENT)
+        .where((F.col("covered") >= COVERED) | (F.col("covered") >= COVERED_SHARE * F.col("tokens")))
+    )
+
+
+_PAIR = ["doc_id", "mark", "item_id"]
 
 
 def _found(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Every alignment that shows an item in a document."""
+    """Every alignment, or group of neighbouring ones, that shows an item in a document."""
     small_batches(spark)
     scratch = Scratch(spark)
     widths = [WIDTH, *range(WIDTH - 1, LEAST_PLAIN - 1, -1)]
@@ -172,48 +270,57 @@ def _found(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> D
     hits = (
         documents.select("doc_id", F.xxhash64("text").alias("mark"), "text")
         .mapInArrow(_windows(["doc_id", "mark"], used, pages, bits, False), f"doc_id long, mark long, {_WINDOW}")
-        .select("doc_id", "mark", "window", F.col("place").alias("at"), F.col("slots").alias("own"))
+        .select("doc_id", "mark", "window", F.col("place").alias("at"), F.expr("spots[0]").alias("first"), F.col("slots").alias("own"))
     )
-    aligned = ["doc_id", "mark", "item_id", "shift"]
-    matches = scratch.save(
+    aligned = [*_PAIR, "shift"]
+    # One row for each word of the item that a window covers; a token's value is at its first.
+    words = (
         hits.join(items, "window")
-        .withColumn("shift", F.col("at") - F.col("place"))
-        .select(*aligned, "place", "tokens", "width", "slots", "own"),
-        "matches",
+        .select(
+            *_PAIR,
+            (F.col("at") - F.col("place")).alias("shift"),
+            (F.col("first") - F.expr("spots[0]")).alias("begin"),
+            "tokens",
+            F.explode(F.arrays_zip("spots", "steps", "slots", "own")).alias("v"),
+        )
+        .select(*aligned, "begin", "tokens", "v", F.explode(F.expr("sequence(v.spots, v.spots + v.steps - 1)")).alias("word"))
     )
-    values = (
-        matches.select(*aligned, F.explode(F.arrays_zip("slots", "own")).alias("v"))
-        .where("v.slots != 0")
-        .groupBy(*aligned, F.col("v.slots").alias("of"), F.col("v.own").alias("to"))
-        .count()
-        .groupBy(*aligned, "of")
-        .agg(F.max("count").alias("most"), F.sum("count").alias("all"))
-        .groupBy(*aligned)
-        .agg((F.sum("most") / F.sum("all")).alias("agreement"))
+    valued = (F.col("word") == F.col("v.spots")) & (F.col("v.slots") != 0)
+    points = scratch.save(
+        words.groupBy(*aligned, "word").agg(
+            F.min("begin").alias("begin"),
+            F.max("tokens").alias("tokens"),
+            F.max(F.when(valued, F.col("v.slots"))).alias("of"),
+            F.max(F.when(valued, F.col("v.own"))).alias("to"),
+        ),
+        "points",
     )
-    covered = F.size(
-        F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(place, place + width - 1)"))))
-    )
-    spans = matches.groupBy(*aligned).agg(covered.alias("covered"), F.max("tokens").alias("tokens"))
-    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"v.{c}")) for c in aligned]
-    return (
-        spans.alias("s")
-        .join(values.alias("v"), same, "left")
-        .select("s.*", F.coalesce("v.agreement", F.lit(1.0)).alias("agreement"))
-        .where(F.col("agreement") >= AGREEMENT)
-        .where((F.col("covered") >= COVERED) | (F.col("covered") >= COVERED_SHARE * F.col("tokens")))
+    # Alignments a few tokens apart: each word of the item is taken from the one that
+    # covers most, so that a text that repeats itself is not aligned with itself.
+    near = W.partitionBy(*_PAIR).orderBy("shift")
+    apart = F.coalesce(F.col("shift") - F.lag("shift").over(near) > NEIGHBOUR, F.lit(False))
+    grouped = (
+        points.withColumn("held", F.count("*").over(W.partitionBy(*aligned)))
+        .withColumn("apart", apart.cast("int"))
+        .withColumn("island", F.sum("apart").over(near))
+        .groupBy(*_PAIR, "island", "word")
+        .agg(F.max(F.struct("held", "shift", "begin", "tokens", "of", "to")).alias("p"))
+        .select(*_PAIR, "island", "word", "p.begin", "p.tokens", "p.of", "p.to")
     )
+    return _evidence(points, aligned).union(_evidence(grouped, [*_PAIR, "island"]))
+
+
 def contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id`` and the evidence, for each item that a document holds.
 
-    ``tokens`` is the length of the item, ``covered`` how many of its tokens the best
-    alignment covers, ``agreement`` the share of agreeing placeholder values there,
-    ``place`` where the item would begin in the document, in tokens. Texts that are null,
+    ``tokens`` is the length of the item in words, ``covered`` how many of them the best
+    alignment, or group of neighbouring ones, covers, ``agreement`` the share of agreeing placeholder values there,
+    ``place`` where the item would begin in the document, in words. Texts that are null,
     empty or too short give no row, nor does a benchmark without items. An item of fewer
     than four plain tokens is never found. Rows with a null id are judged alike and keep
     the null. Repeated rows count once. Other columns are not read.
     """
-    best = F.max(F.struct("covered", "agreement", (-F.col("shift")).alias("back"), "tokens"))
+    best = F.max(F.struct("covered", "agreement", (-F.col("begin")).alias("back"), "tokens"))
     return (
         _found(spark, documents, benchmark)
         .groupBy("doc_id", "item_id")
