@@ -363,6 +363,16 @@ def test_values_of_other_token_counts_are_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 0), (2, 1), (3, 0)}
 
 
+def test_items_of_values_few_words_or_no_spaces_are_found(spark):
+    items = ["12 + 7 = 19; 3 * 4 = 12; 8 - 5 = 3; 20 / 4 = 5", "Anna Berta Clara Dora Eva Fay Gina Hanna Ida Jana", "NaCl dissolves", "Paris",
+             "小明有12个苹果，他给了小红3个苹果，又买了7个梨，现在他一共有多少个水果呢？请写出计算过程。", "ประเทศไทยมีกี่จังหวัดและเมืองหลวงชื่ออะไร", "東京の人口は何人ですか。"]
+    near = items[4].replace("12", "1,200").replace("3", "5")
+    texts = [*(f"so then {t} and on" for t in items), f"前文{near}后文", f"前{items[6]}後", f"前文{items[4][:11]}其他的话", "13 + 8 = 21; 2 * 6 = 11; 9 - 4 = 7", "in Parisian NaCl it dissolves"]
+    found = decontamination.contaminated(spark, frame_of(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]), benchmark_of(spark, items))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert got == {*((k, k) for k in range(7)), (7, 4), (8, 6)}
+
+
 def test_planted_items_are_found_and_nothing_else(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))

@@ -1,8 +1,9 @@
 """Benchmark passages in documents, also with other numbers, names and units.
 
 Texts become templates: a number with its separators, a run of names and a unit each turn
-into one typed placeholder. Windows of template tokens are joined by hash. Evidence is added
-up along one alignment of a document and an item, and over alignments a few tokens apart.
+into one typed placeholder. Windows of template tokens, and of the words as they are, are
+joined by hash: the former find other values, the latter also what is mostly values, and
+short items. Evidence is added up along one alignment of a document and an item, and over alignments a few tokens apart.
 The placeholders' values must agree there: what stood for a value of the item once, stands
 for it each time.
 """
@@ -22,12 +23,15 @@ from tradewake.llm import words as H
 from tradewake.llm.shared import Scratch, read_table, small_batches
 
 WIDTH = 8
-# Template tokens of a window that must be no placeholders. A shorter item is one window.
+# Template tokens of a window that must be no placeholders; windows of words have no such
+# bound. A shorter item is one window.
 LEAST_PLAIN = 4
 # Share of an alignment's placeholder values that must agree.
 AGREEMENT = 0.9
 # An item is found if so many of its tokens, or so large a share of them, are covered.
 COVERED, COVERED_SHARE = 13, 0.5
+# One word counts as so many characters of a script without spaces.
+CHARACTERS = 2
 # Alignments at most so many template tokens apart are added up.
 NEIGHBOUR = 8
 
@@ -65,11 +69,45 @@ def _any_of(data: np.ndarray, listed: bytes) -> np.ndarray:
     return ~H.word_mask(listed)[data]
 
 
+# Scripts without spaces (Thai, Lao, Myanmar, Khmer, Chinese, Japanese), as code points in
+# steps of 64, from and up to; and the punctuation and wide forms among them.
+_UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10C0), (0x1780, 0x1800), (0x2E80, 0x3130), (0x31C0, 0xA000), (0xF900, 0xFB00), (0xFF40, 0xFFC0))
+_POINTS = ((0x3000, 0x3005), (0x3008, 0x3021), (0x3030, 0x3031), (0xFF00, 0xFF10), (0xFF1A, 0xFF21), (0xFF3B, 0xFF41), (0xFF5B, 0xFF66))
+
+
+def _cut_characters(piece: np.ndarray, is_word: np.ndarray, begin: np.ndarray, end: np.ndarray):
+    """Begins and ends with each character of an unspaced script as its own word, and which are such."""
+    lead = np.flatnonzero(((piece >= 0xE0) & (piece <= 0xEF)) | (piece == 0xF0))
+    lead = lead[lead + 2 < len(piece)]
+    a, b, c = (piece[lead + k].astype(np.int64) for k in range(3))
+    code = ((a & 15) << 12) | ((b & 63) << 6) | (c & 63)
+    wide = a == 0xF0
+    alone = (wide & (b >= 0xA0)) | (~wide & np.any([(code >= x) & (code < y) for x, y in _UNSPACED], axis=0))
+    point = ~wide & np.any([(code >= x) & (code < y) for x, y in _POINTS], axis=0)
+    if not (alone | point).any():
+        return begin, end, np.zeros(len(begin), bool)
+    inside = is_word[piece]
+    for k in range(3):
+        inside[lead[point] + k] = False
+    starts, single = np.zeros(len(piece) + 1, bool), np.zeros(len(piece) + 1, bool)
+    starts[begin] = True
+    cut = alone & ~point
+    single[lead[cut]] = True
+    starts[lead[cut]] = True
+    starts[lead[cut] + np.where(wide[cut], 4, 3)] = True
+    starts[:-1][1:] |= inside[1:] & ~inside[:-1]
+    starts[:-1] &= inside
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | starts[1:-1]
+    begin = np.flatnonzero(starts[:-1])
+    return begin, np.flatnonzero(ends) + 1, single[begin]
+
+
 class Templates(NamedTuple):
     """Template tokens of all texts, with their slot values (0 for plain tokens).
 
     ``begin``: the first word of each token, and the number of words at the end; ``of_word``:
-    the token of each word; ``bounds`` and ``word_bounds``: where each text's begin.
+    the token of each word; ``single``: whether a word is one character; ``bounds`` and ``word_bounds``: where each text's begin.
     """
 
     token: np.ndarray
@@ -79,12 +117,14 @@ class Templates(NamedTuple):
     word: np.ndarray
     word_bounds: np.ndarray
     of_word: np.ndarray
+    single: np.ndarray
 
 
 def templates(texts: pa.Array) -> Templates:
     """The template of all texts.
 
-    A word is a run of ASCII letters, digits and all other characters beyond ASCII. One
+    A word is a run of ASCII letters, digits and all other characters beyond ASCII, or one
+    character of a script that has no spaces. One
     that starts with a digit is a number, with those that follow after one separator (or,
     three digits, after a space); one of the units is a unit after a number; words that
     start with a capital and do not end with one are a name, as many as follow each other.
@@ -93,10 +133,12 @@ def templates(texts: pa.Array) -> Templates:
     is_word = H.word_mask(SEPARATORS)
     empty = np.zeros(0, np.int64)
     hashes, places, stops = [empty.astype(H.U64)], [empty], [empty]
-    digit, name = [empty.astype(bool)], [empty.astype(bool)]
+    digit, name, single = [empty.astype(bool)], [empty.astype(bool)], [empty.astype(bool)]
     for at, begin, end in H.word_pieces(data, offsets, is_word):
         piece = data[at : at + (int(end[-1]) if len(end) else 0)]
         small, capital = _folded(piece)
+        begin, end, alone = _cut_characters(piece, is_word, begin, end)
+        single.append(alone)
         hashes.append(H.span_hashes(H._BYTE[small], begin, end))
         places.append(begin + at)
         stops.append(end + at)
@@ -148,6 +190,7 @@ def templates(texts: pa.Array) -> Templates:
         word,
         word_bounds,
         of_word,
+        np.concatenate(single),
     )
 
 
@@ -162,10 +205,12 @@ def _lists(values: np.ndarray, width: int) -> pa.ListArray:
     )
 
 
-def _windows(key: list[str], widths: list[int], pages: dict[int, bytes] | None, bits: int, whole: bool):
-    """Texts to their template windows.
+def _windows(
+    key: list[str], widths: list[tuple[bool, int]], pages: dict[int, bytes] | None, bits: int, whole: bool
+):
+    """Texts to their windows, each of (words instead of template tokens, how many).
 
-    ``whole``: a text shorter than the first width is one window. With ``pages``, only
+    ``whole``: a text shorter than the greatest width is one window. With ``pages``, only
     windows are put out whose hash the filter knows.
     """
 
@@ -177,67 +222,87 @@ def _windows(key: list[str], widths: list[int], pages: dict[int, bytes] | None,
                 known[page * (_PAGE // 8) : (page + 1) * (_PAGE // 8)] = np.frombuffer(content, np.uint8)
         for batch in batches:
             made = templates(batch.column("text"))
-            count, words = np.diff(made.bounds), np.diff(made.word_bounds)
+            words = np.diff(made.word_bounds)
             plain = np.concatenate([[0], np.cumsum(made.slot == 0)])
-            doc_of = np.repeat(np.arange(len(count)), count)
-            for width in widths:
-                n = len(made.token) - width + 1
+            singles = np.concatenate([[0], np.cumsum(made.single)])
+            alone = singles[made.word_bounds[1:]] - singles[made.word_bounds[:-1]]
+            need = np.where(2 * alone > words, COVERED * CHARACTERS, COVERED)
+            for exact, width in widths:
+                token, bounds = (made.word, made.word_bounds) if exact else (made.token, made.bounds)
+                count = np.diff(bounds)
+                doc_of = np.repeat(np.arange(len(count)), count)
+                n = len(token) - width + 1
                 if n <= 0:
                     continue
                 start = np.arange(n)
-                fits = start + width <= made.bounds[1:][doc_of[:n]]
-                if whole and width < widths[0]:
+                fits = start + width <= bounds[1:][doc_of[:n]]
+                if whole and width < WIDTH:
                     fits &= count[doc_of[:n]] == width
-                fits &= plain[start + width] - plain[start] >= LEAST_PLAIN
-                hashed = H.mix(H.shingle_hashes(made.token, width) + H.U64(width))
+                if not exact:
+                    fits &= plain[start + width] - plain[start] >= LEAST_PLAIN
+                hashed = H.mix(H.shingle_hashes(token, width) + H.U64(width + 256 * exact))
                 if known is not None:
                     bit = (hashed & H.U64(bits - 1)).astype(np.int64)
                     fits &= (known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
                 start = np.flatnonzero(fits)
                 doc = doc_of[start]
                 each = (start[:, None] + np.arange(width)).reshape(-1)
-                spots = made.begin[each] - np.repeat(made.word_bounds[doc], width)
+                if exact:
+                    # A value counts where the window holds the whole of it.
+                    of = made.of_word[each]
+                    within = (made.begin[of] == each) & (made.begin[of + 1] <= np.repeat(start + width, width))
+                    spots, steps, slots = each, np.ones(len(each)), np.where(within, made.slot[of], H.U64(0))
+                    place = made.of_word[start] - made.bounds[doc]
+                else:
+                    spots, steps, slots = made.begin[each], np.diff(made.begin)[each], made.slot[each]
+                    place = start - made.bounds[doc]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(k).take(pa.array(doc)) for k in key),
                         pa.array(H.as_long(hashed[start])),
-                        pa.array((start - made.bounds[doc]).astype(np.int32)),
+                        pa.array(np.full(len(start), exact)),
+                        pa.array(place.astype(np.int32)),
                         pa.array(words[doc].astype(np.int32)),
-                        _lists(spots.astype(np.int32), width),
-                        _lists(np.diff(made.begin)[each].astype(np.int32), width),
-                        _lists(H.as_long(made.slot[each]), width),
+                        pa.array(need[doc].astype(np.int32)),
+                        _lists((spots - np.repeat(made.word_bounds[doc], width)).astype(np.int32), width),
+                        _lists(steps.astype(np.int32), width),
+                        _lists(H.as_long(slots), width),
                     ],
-                    names=[*key, "window", "place", "tokens", "spots", "steps", "slots"],
+                    names=[*key, "window", "exact", "place", "tokens", "need", "spots", "steps", "slots"],
                 )
 
     return run
 
 
-_WINDOW = "window long, place int, tokens int, spots array<int>, steps array<int>, slots array<long>"
+_WINDOW = (
+    "window long, exact boolean, place int, tokens int, need int, "
+    "spots array<int>, steps array<int>, slots array<long>"
+)
 
 
 def _evidence(points: DataFrame, group: list[str]) -> DataFrame:
     """Covered words and agreement of values of each group that suffices for a find."""
     slotted = F.col("of").isNotNull()
+    # ``size``: the item's words, and how many of them suffice.
     summed = (
         points.groupBy(*group, "of", "to")
-        .agg(F.count("*").alias("n"), F.min(F.struct("word", "begin")).alias("first"), F.max("tokens").alias("tokens"))
+        .agg(F.count("*").alias("n"), F.min(F.struct("word", "begin")).alias("first"), F.max("size").alias("size"))
         .groupBy(*group, "of")
         .agg(
-            F.max("n").alias("most"), F.sum("n").alias("all"), F.min("first").alias("first"), F.max("tokens").alias("tokens")
+            F.max("n").alias("most"), F.sum("n").alias("all"), F.min("first").alias("first"), F.max("size").alias("size")
         )
         .groupBy(*group)
         .agg(
             F.sum("all").cast("int").alias("covered"),
             (F.sum(F.when(slotted, F.col("most"))) / F.sum(F.when(slotted, F.col("all")))).alias("agreement"),
             F.min("first.begin").alias("begin"),
-            F.max("tokens").alias("tokens"),
+            F.max("size").alias("size"),
         )
     )
     return (
-        summed.select(*_PAIR, "begin", "tokens", "covered", F.coalesce("agreement", F.lit(1.0)).alias("agreement"))
+        summed.select(*_PAIR, "begin", "size.*", "covered", F.coalesce("agreement", F.lit(1.0)).alias("agreement"))
         .where(F.col("agreement") >= AGREEMENT)
-        .where((F.col("covered") >= COVERED) | (F.col("covered") >= COVERED_SHARE * F.col("tokens")))
+        .where((F.col("covered") >= F.col("need")) | (F.col("covered") >= COVERED_SHARE * F.col("tokens")))
     )
 
 
@@ -248,14 +313,14 @@ def _found(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> D
     """Every alignment, or group of neighbouring ones, that shows an item in a document."""
     small_batches(spark)
     scratch = Scratch(spark)
-    widths = [WIDTH, *range(WIDTH - 1, LEAST_PLAIN - 1, -1)]
+    widths = [(exact, n) for exact in (False, True) for n in range(WIDTH, 0 if exact else LEAST_PLAIN - 1, -1)]
     items = scratch.save(
         benchmark.select("item_id", "text")
         .mapInArrow(_windows(["item_id"], widths, None, 0, True), f"item_id long, {_WINDOW}")
         .withColumn("width", F.size("slots")),
         "items",
     )
-    sizes = items.groupBy("width").count().collect()  # at most one row per width
+    sizes = items.groupBy("exact", "width").count().collect()  # at most one row per kind of window
     n = sum(r["count"] for r in sizes)
     bits = min(MOST_BITS, 1 << max(20, (FILTER_BITS * n - 1).bit_length()))
     place = F.expr(f"window & {bits - 1}")
@@ -266,7 +331,7 @@ def _found(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> D
     )
     # The filter has a fixed greatest size, 16 MB, whatever the tables hold.
     pages = {r["page"]: bytes(r["content"]) for r in filtered.collect()}
-    used = sorted((r["width"] for r in sizes), reverse=True)
+    used = sorted(((r["exact"], r["width"]) for r in sizes), reverse=True)
     hits = (
         documents.select("doc_id", F.xxhash64("text").alias("mark"), "text")
         .mapInArrow(_windows(["doc_id", "mark"], used, pages, bits, False), f"doc_id long, mark long, {_WINDOW}")
@@ -280,18 +345,23 @@ def _found(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> D
             *_PAIR,
             (F.col("at") - F.col("place")).alias("shift"),
             (F.col("first") - F.expr("spots[0]")).alias("begin"),
-            "tokens",
+            F.struct("tokens", "need").alias("size"),
+            "exact",
             F.explode(F.arrays_zip("spots", "steps", "slots", "own")).alias("v"),
         )
-        .select(*aligned, "begin", "tokens", "v", F.explode(F.expr("sequence(v.spots, v.spots + v.steps - 1)")).alias("word"))
+        .select(*aligned, "begin", "size", "exact", "v", F.explode(F.expr("sequence(v.spots, v.spots + v.steps - 1)")).alias("word"))
     )
     valued = (F.col("word") == F.col("v.spots")) & (F.col("v.slots") != 0)
     points = scratch.save(
         words.groupBy(*aligned, "word").agg(
             F.min("begin").alias("begin"),
-            F.max("tokens").alias("tokens"),
+            F.max("size").alias("size"),
             F.max(F.when(valued, F.col("v.slots"))).alias("of"),
-            F.max(F.when(valued, F.col("v.own"))).alias("to"),
+            # Equal words have equal values, whatever stands before or behind them.
+            F.coalesce(
+                F.max(F.when(valued & F.col("exact"), F.col("v.slots"))),
+                F.max(F.when(valued & ~F.col("exact"), F.col("v.own"))),
+            ).alias("to"),
         ),
         "points",
     )
@@ -304,8 +374,8 @@ def _found(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> D
         .withColumn("apart", apart.cast("int"))
         .withColumn("island", F.sum("apart").over(near))
         .groupBy(*_PAIR, "island", "word")
-        .agg(F.max(F.struct("held", "shift", "begin", "tokens", "of", "to")).alias("p"))
-        .select(*_PAIR, "island", "word", "p.begin", "p.tokens", "p.of", "p.to")
+        .agg(F.max(F.struct("held", "shift", "begin", "size", "of", "to")).alias("p"))
+        .select(*_PAIR, "island", "word", "p.begin", "p.size", "p.of", "p.to")
     )
     return _evidence(points, aligned).union(_evidence(grouped, [*_PAIR, "island"]))
 
@@ -315,9 +385,10 @@ def contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame
 
     ``tokens`` is the length of the item in words, ``covered`` how many of them the best
     alignment, or group of neighbouring ones, covers, ``agreement`` the share of agreeing placeholder values there,
-    ``place`` where the item would begin in the document, in words. Texts that are null,
-    empty or too short give no row, nor does a benchmark without items. An item of fewer
-    than four plain tokens is never found. Rows with a null id are judged alike and keep
+    ``place`` where the item would begin in the document, in words. Texts without
+    words give no row, nor does a benchmark without items. An item of fewer than eight words
+    is found wherever all its words follow each other, a single word included; with other
+    values, an item needs windows with four plain tokens. Rows with a null id are judged alike and keep
     the null. Repeated rows count once. Other columns are not read.
     """
     best = F.max(F.struct("covered", "agreement", (-F.col("begin")).alias("back"), "tokens"))
