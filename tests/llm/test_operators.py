@@ -186,6 +186,29 @@ def test_every_notice_is_found_at_any_place(spark):
         assert r["containment"] == 1.0 and r["place"] == i % 100
 
 
+def test_whole_license_texts_and_short_notices(spark):
+    texts = license_scan.license_texts()
+    assert {"MIT-text", "BSD-text", "Apache-2.0-text", "GPL-3.0-text"} <= set(texts)
+    rows, want = [], set()
+    for k, (name, text) in enumerate(texts.items()):
+        w = text.split()
+        cut = len(w) // 8
+        changed = " ".join(["other", "words"] * (cut // 2) + w[cut:])  # without its opening
+        rows += [(10 * k, f"{' '.join(WORDS[:30])} {text} {' '.join(WORDS[30:60])}", "en", "a"), (10 * k + 1, changed, "en", "a"),
+                 (10 * k + 2, " ".join(w[:cut]), "en", "a")]
+        want |= {(10 * k, name), (10 * k + 1, name)}
+    rows += [(900, "All Rights Reserved", "en", "a"), (901, "by us. All rights reserved. More", "en", "a"), (902, "all rights", "en", "a"), (903, "reserved", "en", "a")]
+    notices = license_scan.SHORT_NOTICES | texts
+    found = {(r["doc_id"], r["license"]): r for r in license_scan.license_notices(spark, frame_of(spark, rows), notices).collect()}
+    short = {(i, "All-rights-reserved") for i in (900, 901)}
+    assert {k for k in found if k[0] >= 900} == short
+    assert {k for k in found if k[0] < 900 and k[1] != "All-rights-reserved"} == want
+    for k, name in enumerate(texts):
+        r = found[10 * k, name]
+        assert r["containment"] == 1.0 and r["place"] == 30
+    assert found[901, "All-rights-reserved"]["place"] == 2
+
+
 # 5: packing
 
 
