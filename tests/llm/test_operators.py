@@ -145,6 +145,17 @@ def test_sketches_keep_pairs_at_the_threshold():
             assert np.bitwise_count(p ^ q).sum() <= near_dedup.set_limit(np.array([len(a) + len(b)]))[0]
 
 
+def test_member_is_found_where_the_hub_is_nearest_but_not_similar(spark):
+    rows = []
+    for s in (2, 41, 114, 138):  # hub and member are near copies; only the member reaches 0.75 with the third
+        hub = [f"s{s}w{j}" for j in range(330)]
+        member = [*hub[:40], f"s{s}m", *hub[41:]]
+        third = [f"s{s}x{j}" if 50 <= j < 131 and (j - 50) % 9 == 0 else w for j, w in enumerate(member)]
+        rows += [(3 * s + k, " ".join(w)) for k, w in enumerate((hub, member, third))]
+    found = near_dedup.near_duplicates(spark, frame_of(spark, [(*r, "en", "a") for r in rows]))
+    assert got(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near_duplicates(rows))
+
+
 def test_one_of_each_group_stays_and_null_ids_stay(spark, edges):
     kept = near_dedup.without_near_duplicates(spark, edges)
     assert kept.columns == edges.columns

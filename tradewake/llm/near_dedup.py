@@ -367,10 +367,11 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     )
     looked_at, labels = near, None
     for step, best_only in enumerate((True, False, None), 1):
-        more = scratch.save(confirmed(scratch, texts, near, str(step)), f"links_{step}")
-        if labels is None or not more.isEmpty():
-            links = links.union(more)
-            labels = components(scratch, links, f"components_{step}")
+        if labels is None or not near.isEmpty():
+            more = scratch.save(confirmed(scratch, texts, near, str(step)), f"links_{step}")
+            if labels is None or not more.isEmpty():
+                links = links.union(more)
+                labels = components(scratch, links, f"components_{step}")
         if best_only is None:
             break
         near = scratch.save(
@@ -379,7 +380,8 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
             ),
             f"near_{step}",
         )
-        if near.isEmpty():
+        # A node's best partner may have been looked at in vain, and another one not at all.
+        if not best_only and near.isEmpty():
             break
         looked_at = looked_at.union(near)
 
