@@ -13,6 +13,7 @@ from tradewake.llm.packing import op5_minimum_bin_slack
 from tradewake.llm.quality_rules import op7_robust_outliers
 from tradewake.llm.sharding import op1_rendezvous_shards
 from tradewake.llm.substrings import op10_debruijn_substrings
+from tradewake.llm.token_counts import op13_token_counts
 
 QUERIES = {
     f.__name__: f
@@ -27,6 +28,7 @@ QUERIES = {
         op8_token_level_chat,
         op9_template_decontamination,
         op10_debruijn_substrings,
+        op13_token_counts,
     )
 }
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tradewake.session import shared_folder
 
-# Rows in one Arrow batch. Texts average a few kB, so a batch stays near a few MB.
+# Rows and bytes in one Arrow batch. Texts average a few kB, so a batch is a few MB; where
+# texts are long it has fewer rows, down to one.
 BATCH_ROWS = 1000
+BATCH_BYTES = 32 << 20
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,8 +21,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts takes in a task."""
+    """Bound what one Arrow batch of whole texts takes in a task.
+
+    Spark reads these settings when a result is computed, so they stay set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 class Scratch:
