@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tradewake.llm import collocations
 from tradewake.llm.chat import CONTROLS, MARKS
 from tradewake.llm.quality_rules import CONSISTENCY, CORE, CUT, LEAST, P, STEPS, SYMBOLS, VECTOR
 from tradewake.llm.sharding import DIGITS, SHARDS
@@ -125,6 +126,47 @@ SELECT doc_id, len(words)::BIGINT AS n_words, len(words)::BIGINT - coalesce(n, 0
 FROM d LEFT JOIN kept USING (r)
 """
 
+OP11 = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, '{collocations.NO_LANG}') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), w AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM pieces
+), total AS (
+    SELECT lang, sum(len(words))::HUGEINT AS n FROM w GROUP BY lang
+), starts AS (
+    SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w
+), f AS (
+    SELECT lang, m, array_to_string(words[i : i + m - 1], ' ') AS p, count(*) AS f
+    FROM starts, range(1, {collocations.LONGEST + 1}) AS t(m)
+    WHERE i + m - 1 <= len(words)
+    GROUP BY ALL HAVING count(*) >= {collocations.LEAST}
+), c AS (
+    SELECT lang, m, p, f AS a, string_split(p, ' ') AS words FROM f WHERE m > 1
+), longer AS (
+    SELECT lang, p, max(a) AS a FROM (
+        SELECT lang, array_to_string(words[1 : m - 1], ' ') AS p, a FROM c
+        UNION ALL SELECT lang, array_to_string(words[2 : m], ' '), a FROM c)
+    GROUP BY lang, p
+), cuts AS (
+    SELECT c.lang, c.p, c.a, total.n, x.f AS l, y.f AS r, k,
+           (1000::HUGEINT * c.a * total.n) // (x.f::HUGEINT * y.f) AS score
+    FROM c JOIN total USING (lang), range(1, {collocations.LONGEST}) AS t(k), f AS x, f AS y
+    WHERE k < c.m AND x.lang = c.lang AND y.lang = c.lang
+      AND x.p = array_to_string(c.words[1 : k], ' ') AND y.p = array_to_string(c.words[k + 1 : c.m], ' ')
+), best AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), ranked AS (
+    SELECT best.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, best.a DESC, p) AS rank
+    FROM best LEFT JOIN longer USING (lang, p)
+    WHERE longer.a IS NULL OR 100 * longer.a < {collocations.PERCENT} * best.a
+)
+SELECT lang, rank, p AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= {collocations.TOP}
+"""
+
 _X = list(VECTOR)
 _MEANS = [f"m{i}" for i in range(P)]
 _LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
@@ -229,4 +271,5 @@ ORACLES = {
     "op7_robust_outliers": OP7,
     "op8_token_level_chat": OP8,
     "op10_debruijn_substrings": OP10,
+    "op11_stripe_collocations": OP11,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tradewake.llm.chat import op8_token_level_chat
+from tradewake.llm.collocations import op11_stripe_collocations
 from tradewake.llm.cotraining import op2_cotrained_quality
 from tradewake.llm.decontamination import op9_template_decontamination
 from tradewake.llm.language_id import op6_language_mixtures
@@ -28,6 +29,7 @@ QUERIES = {
         op8_token_level_chat,
         op9_template_decontamination,
         op10_debruijn_substrings,
+        op11_stripe_collocations,
         op13_token_counts,
     )
 }
