@@ -167,6 +167,47 @@ SELECT lang, rank, p AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
 FROM ranked WHERE rank <= {collocations.TOP}
 """
 
+_CID_CRC = """
+    list_reduce(
+      list_prepend(4294967295, list_transform(range(length(c)), lambda i: ord(c[i + 1])::BIGINT)),
+      lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)]))
+"""
+
+OP12 = f"""
+WITH steps AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+), t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY i) AS own FROM t GROUP BY conv_id
+), planned AS (
+    SELECT own.conv_id, own, xor({_CID_CRC.replace("(c)", "(conv_id::VARCHAR)").replace("ord(c[", "ord((conv_id::VARCHAR)[")}, 4294967295) % 6 AS h
+    FROM own, steps
+), seqs AS (
+    SELECT p.conv_id, list_concat(coalesce(b.own[1 : h], []), p.own[h + 1 :]) AS s
+    FROM planned AS p LEFT JOIN own AS b ON b.conv_id = p.conv_id - p.conv_id % 100
+), prefixes AS (
+    SELECT conv_id, len(s) AS n, unnest(range(0, len(s) + 1)) AS depth, s FROM seqs
+), nodes AS (
+    SELECT depth, s[1 : depth] AS key, min(conv_id) AS conv_id, count(*) AS n_convs,
+           coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '') AS ends
+    FROM prefixes GROUP BY ALL
+), valued AS (
+    SELECT x.*, count(y.depth) AS n_children,
+           (x.n_convs - 1) * coalesce(length(x.key[x.depth].text), 0) AS own
+    FROM nodes AS x LEFT JOIN nodes AS y ON y.depth = x.depth + 1 AND y.key[1 : x.depth] = x.key
+    GROUP BY ALL
+)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children,
+       (SELECT count(*) FROM valued AS y WHERE y.n_children = 0 AND y.key[1 : x.depth] = x.key) AS n_leaves,
+       (SELECT sum(y.own) FROM valued AS y WHERE y.key[1 : x.depth] = x.key)::BIGINT AS saved_tokens,
+       sha256(x.ends) AS ends_sha256
+FROM valued AS x LEFT JOIN nodes AS p ON p.depth = x.depth - 1 AND p.key = x.key[1 : x.depth - 1]
+"""
+
 _X = list(VECTOR)
 _MEANS = [f"m{i}" for i in range(P)]
 _LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
@@ -272,4 +313,5 @@ ORACLES = {
     "op8_token_level_chat": OP8,
     "op10_debruijn_substrings": OP10,
     "op11_stripe_collocations": OP11,
+    "op12_conversation_trie": OP12,
 }

@@ -11,6 +11,7 @@ from tradewake.llm.license_scan import op4_license_bands
 from tradewake.llm.near_dedup import op3_minhash_odd_sketches
 from tradewake.llm.oracles import ORACLES
 from tradewake.llm.packing import op5_minimum_bin_slack
+from tradewake.llm.prefix_trie import op12_conversation_trie
 from tradewake.llm.quality_rules import op7_robust_outliers
 from tradewake.llm.sharding import op1_rendezvous_shards
 from tradewake.llm.substrings import op10_debruijn_substrings
@@ -30,6 +31,7 @@ QUERIES = {
         op9_template_decontamination,
         op10_debruijn_substrings,
         op11_stripe_collocations,
+        op12_conversation_trie,
         op13_token_counts,
     )
 }
