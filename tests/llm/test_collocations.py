@@ -75,6 +75,7 @@ def test_pieces_shards_and_flushes(documents, monkeypatch):
     monkeypatch.setattr(H, "PIECE", 64)
     monkeypatch.setattr(collocations, "HOT", 10**9)
     monkeypatch.setattr(collocations, "CELLS", 2000)
+    monkeypatch.setattr(collocations, "RANGE", 100)
     some = documents.where("doc_id % 4 = 0")
     rows = [(r["lang"], r["text"]) for r in some.collect()]
     assert spark_rows(some, least=4) == brute(rows, 4)
@@ -96,6 +97,14 @@ def test_products_beyond_64_bits(spark):
     assert frame.select(collocations.score()).first()[0] == 1000 * a * n // (left * right)
 
 
+def test_counts_of_more_than_a_byte(spark):
+    """One phrase occurs far more often than an entry of a packed count can say."""
+    text = "hot pair of words here, " * 3000
+    frame = spark.createDataFrame([("en", text), (None, text), ("en", "x " * 5000)], "lang string, text string")
+    rows = [tuple(r) for r in frame.collect()]
+    assert spark_rows(frame) == brute(rows, 100)
+
+
 def test_numbers_shared_by_words_are_noticed(spark, documents, monkeypatch):
     drawn = H._drawn
     calls = []

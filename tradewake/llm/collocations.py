@@ -7,11 +7,12 @@ extension, the ``OWN`` cell the prefix's total, and the greatest cell of a phras
 (and of the phrases that it ends) says whether a longer phrase subsumes it.
 
 1. Words are counted, by their text. A phrase can only be frequent if its words are.
-2. Stripes of one-word prefixes, of frequent words only.
-3. Stripes of longer prefixes, along runs whose neighbouring pairs are all frequent.
+2. Runs of 2, 3, ... words whose two shorter runs may be frequent are counted by the bits
+   of a key. A run cannot be frequent unless all runs with its bits together are.
+3. Stripes are built of the runs that are left, by the words themselves.
 
 What may be frequent is told by bitmaps of a bounded size; a wrong yes costs a row and
-nothing else, since every count is taken over all its occurrences.
+nothing else, since the stripes count all occurrences of what they hold.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ OWN = 0
 
 # Bits of a bitmap: eight for each member, within these bounds (8 MB at most).
 BITS_LEAST, BITS_MOST = 20, 26
+# Runs of a range of keys, at most.
+RANGE = 1 << 21
 # A first word that has at least one in HOT of all words gets SHARDS shards for each of its
 # stripes; there are at most HOT such words.
 HOT, SHARDS = 2000, 64
@@ -52,8 +55,14 @@ SEEDS = 4
 # Parts in which the phrases of a language are ranked first.
 PARTS = 256
 
-_FACTORS = H._drawn(LONGEST + 3, 21) | H.U64(1)
-_STRIPE = "lang string, prefix array<long>, shard int, next array<long>, n array<long>"
+_FACTORS = H._drawn(64, 21) | H.U64(1)
+# Stripes of a range: their languages, their prefixes one after the other, how many cells
+# each has, and all cells.
+_PACKED = (
+    "range int, size int, langs array<string>, prefixes array<long>, cells array<int>, "
+    "next array<long>, n array<long>"
+)
+_CELL = "lang string, prefix array<long>, next long, n long"
 
 
 def lang_salts(langs: pa.Array) -> np.ndarray:
@@ -188,17 +197,157 @@ def run_keys(columns: list[np.ndarray], salt: np.ndarray) -> np.ndarray:
     return total
 
 
-def _bits(bits: int):
-    """Rows (lang, phrase) to the words of the bitmap that they set."""
+def runs_at(numbers: np.ndarray, salts: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The keys of the runs of ``size`` words that end at the given places."""
+    return run_keys([numbers[at - size + 1 + i] for i in range(size)], salts[at])
+
+
+def longer_runs(joined: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """Where a run ends whose two runs of one word less both may be frequent."""
+    return np.flatnonzero(joined[1:] & fit[:-1] & fit[1:]) + 1
+
+
+def likely_runs(numbers: np.ndarray, joined: np.ndarray, salts: np.ndarray, filters: list[Bitmap]) -> list[np.ndarray]:
+    """For runs of 1, 2, ... words: whether the one that ends at a place may be frequent."""
+    fits: list[np.ndarray] = []
+    for size, likely in enumerate(filters, 1):
+        at = longer_runs(joined, fits[-1]) if fits else np.arange(len(numbers))
+        fit = np.zeros(len(numbers), bool)
+        fit[at] = likely.holds(runs_at(numbers, salts, at, size))
+        fits.append(fit)
+    return fits
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys once, in order, with the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _run_counts(seed: int, filters: list[Bitmap], range_bits: int):
+    """Texts to counts of runs one word longer than the filters know of.
+
+    A run is told by the upper bits of its key: a range and the 32 bits after it. Counts
+    are bytes; a larger one takes several entries.
+    """
+    size = len(filters) + 1
+
+    def packed(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        entries = (n + 254) // 255
+        last = np.cumsum(entries) - 1
+        low = np.repeat((keys >> H.U64(32 - range_bits)).astype(np.uint32), entries)
+        part = np.full(len(low), 255, np.uint8)
+        part[last] = n - 255 * (entries - 1)
+        where = np.repeat((keys >> H.U64(64 - range_bits)).astype(np.int32), entries)
+        first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+        bounds = list(zip(first, [*first[1:], len(where)]))
+        for begin in range(0, len(bounds), 1 << 12):
+            some = bounds[begin : begin + (1 << 12)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(where[[x for x, _ in some]]),
+                    pa.array([low[x:y].tobytes() for x, y in some], pa.binary()),
+                    pa.array([part[x:y].tobytes() for x, y in some], pa.binary()),
+                ],
+                names=["range", "low", "n"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(seed)
+        keys, counts, rows = [], [], 0
+        for batch in batches:
+            for numbers, joined, langs, old, *_ in reader.read(batch, size - 1):
+                salts = reader.salts()[langs]
+                at = longer_runs(joined, likely_runs(numbers, joined, salts, filters)[-1])
+                key, n = np.unique(runs_at(numbers, salts, at[at >= old], size), return_counts=True)
+                keys.append(key)
+                counts.append(n)
+                rows += len(key)
+            if rows > 2 * CELLS:
+                key, n = _added(keys, counts)
+                keys, counts, rows = [key], [n], len(key)
+                if rows > CELLS:
+                    yield from packed(key, n)
+                    keys, counts, rows = [], [], 0
+        if rows:
+            yield from packed(*_added(keys, counts))
+
+    return run
+
+
+def _frequent(least: int, range_bits: int, bits: int):
+    """Counts by range, in order of ranges, to the words of the bitmap of frequent runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            key, n = _added(lows, counts)
+            known = H.U64(here) << H.U64(32) | key[n >= least].astype(H.U64)
+            place = known >> H.U64(range_bits + 32 - bits)
+            at, first = np.unique(place >> H.U64(6), return_index=True)
+            bit = H.U64(1) << (place & H.U64(63))
+            words = np.bitwise_or.reduceat(bit, first) if len(first) else bit
+            return pa.RecordBatch.from_arrays([pa.array(H.as_long(at)), pa.array(H.as_long(words))], names=["at", "word"])
+
+        here, lows, counts, rows, added = None, [], [], 0, 0
+        for batch in batches:
+            for where, low, n in zip(*(batch.column(c) for c in ("range", "low", "n"))):
+                if where.as_py() != here:
+                    if lows:
+                        yield out()
+                    here, lows, counts, rows, added = where.as_py(), [], [], 0, 0
+                lows.append(np.frombuffer(low.as_buffer(), np.uint32).copy())
+                counts.append(np.frombuffer(n.as_buffer(), np.uint8).astype(np.int64))
+                rows += len(lows[-1])
+                if rows > 2 * added + CELLS:
+                    low, n = _added(lows, counts)
+                    lows, counts, rows, added = [low], [n], len(low), len(low)
+        if lows:
+            yield out()
+
+    return run
+
+
+def frequent_runs(texts: DataFrame, seed: int, filters: list[Bitmap], least: int, total: int) -> Bitmap:
+    """A bitmap of the runs one word longer than the filters know of that are frequent.
+
+    Tasks pack the counts of a range of keys into one row, five bytes for a run, and
+    ranges are added up apart. Ranges get smaller as the ``total`` of words grows.
+    """
+    range_bits = range_bits_of(total)
+    bits = bitmap_bits(total // least)
+    rows = texts.mapInArrow(_run_counts(seed, filters, range_bits), "range int, low binary, n binary")
+    dealt = rows.repartition("range").sortWithinPartitions("range")
+    return collected(dealt.mapInArrow(_frequent(least, range_bits, bits), "at long, word long"), bits)
+
+
+def range_bits_of(total: int) -> int:
+    """How many of a key's upper bits name its range, for so many words."""
+    return min(24, max(6, (total // RANGE).bit_length()))
+
+
+def bitmap_bits(members: int) -> int:
+    return min(BITS_MOST, max(BITS_LEAST, (8 * members).bit_length()))
+
+
+def collected(rows: DataFrame, bits: int) -> Bitmap:
+    """The bitmap of (at, word) rows: at most one row for each 64 of its bits."""
+    words = rows.groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    return Bitmap(bits, words.column("at").to_numpy(), words.column("word").to_numpy().view(H.U64))
+
+
+def _word_bits(bits: int):
+    """Rows (lang, number) to the words of the bitmap that they set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             lang = batch.column("lang").dictionary_encode()
-            numbers = batch.column("phrase").flatten().to_numpy().view(H.U64).reshape(batch.num_rows, -1)
-            keys = run_keys(list(numbers.T), lang_salts(lang.dictionary)[lang.indices.to_numpy()])
-            place = np.unique(keys >> H.U64(64 - bits))
+            salts = lang_salts(lang.dictionary)[lang.indices.to_numpy()]
+            place = np.unique(run_keys([batch.column("number").to_numpy().view(H.U64)], salts) >> H.U64(64 - bits))
             at, first = np.unique(place >> H.U64(6), return_index=True)
             words = np.bitwise_or.reduceat(H.U64(1) << (place & H.U64(63)), first)
             yield pa.RecordBatch.from_arrays([pa.array(H.as_long(at)), pa.array(H.as_long(words))], names=["at", "word"])
@@ -206,14 +355,6 @@ def _bits(bits: int):
     return run
 
 
-def bitmap(phrases: DataFrame) -> Bitmap:
-    """The bitmap of (lang, phrase) rows with phrases of one length; see BITS_MOST for its size."""
-    bits = min(BITS_MOST, max(BITS_LEAST, (8 * phrases.count()).bit_length()))
-    rows = phrases.select("lang", "phrase").mapInArrow(_bits(bits), "at long, word long")
-    words = rows.groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    return Bitmap(bits, words.column("at").to_numpy(), words.column("word").to_numpy().view(H.U64))
-
-
 def combined(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Equal rows of the columns added up. The last column is sorted within the others.
 
@@ -231,8 +372,8 @@ def combined(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray]
 class Stripes:
     """Cells of stripes whose prefixes have ``size`` words, combined as they come."""
 
-    def __init__(self, size: int, hot: np.ndarray):
-        self.size, self.hot = size, hot
+    def __init__(self, size: int, hot: np.ndarray, range_bits: int):
+        self.size, self.hot, self.range_bits = size, hot, range_bits
         self.held: list[tuple] = []
         self.rows = 0
 
@@ -253,95 +394,128 @@ class Stripes:
         return self.rows > CELLS // 2
 
     def out(self, langs: dict[str, int]) -> Iterator[pa.RecordBatch]:
-        """The stripes as rows of ``_STRIPE``, those of hot first words in shards."""
+        """The stripes, packed by ranges of their keys; those of hot first words in shards."""
         if not self.held:
             return
         self.combine()
         ((lang, *prefix, following), n), self.held, self.rows = self.held[0], [], 0
         at = np.minimum(np.searchsorted(self.hot, prefix[0]), max(len(self.hot) - 1, 0))
         is_hot = self.hot[at] == prefix[0] if len(self.hot) else np.zeros(len(n), bool)
-        shard = np.where(is_hot, (following % H.U64(SHARDS)).astype(np.int32), np.int32(0))
-        order = np.lexsort((shard, run_keys([lang.astype(H.U64), *prefix], np.zeros(len(n), H.U64))))
-        lang, shard, following, n = lang[order], shard[order], following[order], n[order]
+        shard = np.where(is_hot, following % H.U64(SHARDS), H.U64(0))
+        key = run_keys([*prefix, shard], lang_salts(pa.array(list(langs), pa.string()))[lang])
+        where = (key >> H.U64(64 - self.range_bits)).astype(np.int32)
+        order = np.lexsort((key, where))
+        lang, following, n, key, where = (x[order] for x in (lang, following, n, key, where))
         prefix = [p[order] for p in prefix]
-        new = np.ones(len(n), bool)
-        new[1:] = np.any([c[1:] != c[:-1] for c in (lang, shard, *prefix)], axis=0)
-        first = np.flatnonzero(new)
-        bound = np.append(first, len(n)).astype(np.int32)
-        flat = np.stack([H.as_long(p[first]) for p in prefix], axis=1).ravel()
-        parts = np.arange(len(first) + 1, dtype=np.int32) * self.size
-        stripes = pa.RecordBatch.from_arrays(
+        new = np.append(True, np.any([c[1:] != c[:-1] for c in (key, lang, *prefix)], axis=0))
+        stripe = np.flatnonzero(new)  # where each stripe begins
+        row = np.flatnonzero(np.append(True, where[1:] != where[:-1]))  # where each range begins
+        first = np.searchsorted(stripe, row)  # the first stripe of each range
+        length = np.diff(np.append(stripe, len(n)))
+        flat = np.stack([H.as_long(p[stripe]) for p in prefix], axis=1).ravel()
+
+        def lists(bounds: np.ndarray, end: int, values: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.append(bounds, end).astype(np.int32)), pa.array(values))
+
+        named = pa.array(list(langs), pa.string()).take(pa.array(lang[stripe]))
+        yield pa.RecordBatch.from_arrays(
             [
-                pa.array(list(langs), pa.string()).take(pa.array(lang[first])),
-                pa.ListArray.from_arrays(pa.array(parts), pa.array(flat)),
-                pa.array(shard[first].astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(bound), pa.array(H.as_long(following))),
-                pa.ListArray.from_arrays(pa.array(bound), pa.array(n)),
+                pa.array(where[row]),
+                pa.array(np.full(len(row), self.size, np.int32)),
+                pa.ListArray.from_arrays(pa.array(np.append(first, len(stripe)).astype(np.int32)), named),
+                lists(first * self.size, len(flat), flat),
+                lists(first, len(stripe), length.astype(np.int32)),
+                lists(row, len(n), H.as_long(following)),
+                lists(row, len(n), n),
             ],
-            names=["lang", "prefix", "shard", "next", "n"],
+            names=["range", "size", "langs", "prefixes", "cells", "next", "n"],
         )
-        for begin in range(0, stripes.num_rows, 1 << 15):
-            yield stripes.slice(begin, 1 << 15)
 
 
-def _stripes(seed: int, sizes: list[int], likely: Bitmap, hot: np.ndarray):
-    """Texts to stripes with prefixes of the given sizes.
-
-    For size 1 ``likely`` tells of words, for larger ones of pairs; ``sizes`` is [1] or
-    starts at 2.
-    """
-    width = min(sizes)
+def _stripes(seed: int, filters: list[Bitmap], hot: np.ndarray, range_bits: int):
+    """Texts to packed stripes; ``filters`` tell which runs of 1, 2, ... words may be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(seed)
-        stripes = {size: Stripes(size, hot) for size in sizes}
+        stripes = [Stripes(size, hot, range_bits) for size in range(1, len(filters))]
         for batch in batches:
-            for numbers, joined, langs, old, *_ in reader.read(batch, max(sizes)):
-                salts = reader.salts()[langs]
-
-                def place(k: int) -> list[np.ndarray]:
-                    """The numbers of the k words that end at each place from the k-th on."""
-                    return [numbers[i : len(numbers) - k + 1 + i] for i in range(k)]
-
-                # fit[e]: the run that ends at word e may be frequent, for runs of some size.
-                fit = np.zeros(len(numbers), bool)
-                fit[width - 1 :] = likely.holds(run_keys(place(width), salts[width - 1 :]))
-                if width > 1:
-                    fit &= joined
-                pair = joined & (fit if width > 1 else fit & np.append(False, fit[:-1]))
-                for size in sizes:
-                    at = np.flatnonzero(fit)
-                    at = at[(at >= old) & (at >= size - 1)]
+            for numbers, joined, langs, old, *_ in reader.read(batch, len(stripes)):
+                fits = likely_runs(numbers, joined, reader.salts()[langs], filters)
+                for stripe, own, longer in zip(stripes, fits, fits[1:]):
+                    size = stripe.size
+                    at = old + np.flatnonzero(own[old:])
                     prefix = [numbers[at - size + 1 + i] for i in range(size)]
-                    stripes[size].add(langs[at], prefix, np.full(len(at), OWN, H.U64))
-                    fit = np.append(False, fit[:-1]) & pair
-                    at = np.flatnonzero(fit)
-                    at = at[at >= old]
+                    stripe.add(langs[at], prefix, np.full(len(at), OWN, H.U64))
+                    at = old + np.flatnonzero(longer[old:])
                     prefix = [numbers[at - size + i] for i in range(size)]
-                    stripes[size].add(langs[at], prefix, numbers[at])
-            for stripe in stripes.values():
+                    stripe.add(langs[at], prefix, numbers[at])
+            for stripe in stripes:
                 if stripe.full():
                     yield from stripe.out(reader.langs)
-        for stripe in stripes.values():
+        for stripe in stripes:
             yield from stripe.out(reader.langs)
 
     return run
 
 
+def _merge(least: int):
+    """Packed stripes, in order of ranges and sizes, to the cells that reach ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs: dict[str, int] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            columns, n = combined([np.concatenate(x) for x in zip(*held)], np.concatenate(counts))
+            enough = np.flatnonzero(n >= least)
+            lang, *prefix, following = (c[enough] for c in columns)
+            flat = np.stack([H.as_long(p) for p in prefix], axis=1).ravel()
+            bounds = np.arange(len(enough) + 1, dtype=np.int32) * len(prefix)
+            cells = pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(langs), pa.string()).take(pa.array(lang)),
+                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)),
+                    pa.array(H.as_long(following)),
+                    pa.array(n[enough]),
+                ],
+                names=["lang", "prefix", "next", "n"],
+            )
+            for begin in range(0, cells.num_rows, 1 << 15):
+                yield cells.slice(begin, 1 << 15)
+
+        here, held, counts, rows, added = None, [], [], 0, 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                where, size, named, prefixes, cells, following, n = (batch.column(c)[i] for c in range(7))
+                size = size.as_py()
+                if (where.as_py(), size) != here:
+                    if held:
+                        yield from out()
+                    here, held, counts, rows, added = (where.as_py(), size), [], [], 0, 0
+                named = named.values.dictionary_encode()
+                codes = np.array([langs.setdefault(x, len(langs)) for x in named.dictionary.to_pylist()], np.int64)
+                length = cells.values.to_numpy()
+                parts = prefixes.values.to_numpy().view(H.U64).reshape(-1, size)
+                lang = np.repeat(codes[named.indices.to_numpy()], length)
+                held.append((lang, *(np.repeat(p, length) for p in parts.T), following.values.to_numpy().view(H.U64).copy()))
+                counts.append(n.values.to_numpy().copy())
+                rows += len(counts[-1])
+                if rows > 2 * added + CELLS:
+                    columns, n = combined([np.concatenate(x) for x in zip(*held)], np.concatenate(counts))
+                    held, counts, rows, added = [tuple(columns)], [n], len(n), len(n)
+        if held:
+            yield from out()
+
+    return run
+
+
 def merged(stripes: DataFrame, least: int) -> DataFrame:
     """``lang, prefix, next, n``: the cells of all stripes that reach ``least``.
 
-    Stripes move whole; their elements are added up where they arrive.
+    Stripes move whole, many of a range together, and are added up element by element
+    where they arrive, a range at a time.
     """
-    dealt = stripes.repartition("lang", "prefix", "shard")
-    cell = F.explode(F.arrays_zip("next", "n")).alias("cell")
-    cells = dealt.select("lang", "prefix", "shard", cell).select("lang", "prefix", "shard", "cell.next", "cell.n")
-    return (
-        cells.groupBy("lang", "prefix", "shard", "next")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= least)
-        .select("lang", "prefix", "next", "n")
-    )
+    dealt = stripes.repartition("range").sortWithinPartitions("range", "size")
+    return dealt.mapInArrow(_merge(least), _CELL)
 
 
 def counted_words(scratch: Scratch, texts: DataFrame, least: int) -> tuple[DataFrame, int]:
@@ -374,14 +548,12 @@ def cells(spark: SparkSession, documents: DataFrame, least: int = LEAST, longest
     # At most HOT words can have so large a share.
     often = single.where(F.col("n") * HOT >= total).select("number").distinct().toArrow()
     hot = np.sort(often.column("number").to_numpy().view(H.U64))
-    likely = bitmap(single.select("lang", F.array("number").alias("phrase")))
-    first = scratch.save(merged(texts.mapInArrow(_stripes(seed, [1], likely, hot), _STRIPE), least), "cells_1")
-    if longest == 2:
-        return words, first
-    pairs = first.where(F.col("next") != OWN).select("lang", F.concat("prefix", F.array("next")).alias("phrase"))
-    sizes = list(range(2, longest))
-    more = texts.mapInArrow(_stripes(seed, sizes, bitmap(pairs), hot), _STRIPE)
-    return words, first.union(scratch.save(merged(more, least), "cells_2"))
+    bits = bitmap_bits(total // least)
+    filters = [collected(single.select("lang", "number").mapInArrow(_word_bits(bits), "at long, word long"), bits)]
+    while len(filters) < longest:
+        filters.append(frequent_runs(texts, seed, filters, least, total))
+    stripes = texts.mapInArrow(_stripes(seed, filters, hot, range_bits_of(total)), _PACKED)
+    return words, scratch.save(merged(stripes, least), "cells")
 
 
 def score() -> Column:
