@@ -401,8 +401,10 @@ def test_report_has_total_breakdown_and_page(spark):
 
 
 def test_upsert_is_idempotent_and_last_write_wins(spark, tmp_path):
-    store = tables.user_table(str(tmp_path))
-    assert store.read(spark).count() == 0
+    store = tables.user_table(str(tmp_path / "users"))
+    with pytest.raises(ValueError, match="no table"):
+        store.read(spark)
+    assert store.create(spark).read(spark).count() == 0
     user = lambda i, level: (i, "n", level, "1990-01-01", "M")
     frame = lambda *users: spark.createDataFrame(list(users), schemas.USER)
     store.upsert(frame(user("1", "a"), user("2", "a")), 0)
@@ -434,10 +436,12 @@ def test_day_filter_reads_one_partition(spark, tmp_path):
     store = tables.sale_table(str(tmp_path))
     docs = sales(spark).withColumn("doc_id", F.col("order_detail_id"))
     store.upsert(docs.unionByName(docs.withColumn("dt", F.lit("2020-01-02"))), 0)
-    one_day = store.read(spark).where("dt = '2020-01-02'")
+    one_day = store.read(spark, "2020-01-02")
     plan = one_day._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(dt" in plan
-    assert one_day.count() == store.read(spark, "2020-01-02").count() == 6
+    assert "EqualTo(dt,2020-01-02)" in plan
+    assert all("part=2020-01" in f for f in one_day.inputFiles())
+    assert one_day.count() == store.read(spark).where("dt = '2020-01-02'").count() == 6
+    assert store.read(spark, "1999-01-02").count() == 0
 
 
 def test_topic_sinks_and_sources_name_the_connector(spark):

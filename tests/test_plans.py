@@ -5,6 +5,7 @@ import re
 import pytest
 
 from tradewake.plans.queries import QUERIES
+from tradewake.sources import driver_tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,10 +13,8 @@ OF_EVENTS = (
     "active_of_day hourly_active hourly_active_compare order_amount_hour hourly_amount_compare sql_active_total "
     "sql_active_by_hour sql_amount_by_hour realtime_hours_dau realtime_hours_amount"
 ).split()
-OF_ORDERS = (
-    "order_amount_total sql_amount_total sale_search_page sale_search_total age_terms gender_terms age_share "
-    "gender_share sale_search_report"
-).split()
+OF_ORDERS = "order_amount_total sql_amount_total".split()
+OF_SALES = "sale_search_page sale_search_total age_terms gender_terms age_share gender_share sale_breakdowns".split()
 
 
 def plan_of(spark, name):
@@ -37,3 +36,20 @@ def test_hours_of_two_days_come_from_one_scan(spark, name):
 def test_amounts_read_no_customers(spark):
     for name in ("order_amount_day", "order_amount_total", "sql_amount_total"):
         assert "customer.parquet" not in plan_of(spark, name)
+
+
+def test_day_bounds_the_orders_of_sales(spark):
+    heads = driver_tables.order_heads(spark, SF, ("1997-10-08", "1997-10-08"))
+    plan = heads._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan and "o_totalprice" not in plan
+
+
+@pytest.mark.parametrize("name", OF_SALES)
+def test_lines_meet_a_days_orders_where_they_lie(spark, name):
+    """Neither all orders nor all lines are shuffled, and lines are named after the join."""
+    plan = plan_of(spark, name)
+    assert "orders.parquet" not in plan
+    lines = plan.index("lineitem.parquet")
+    above = plan[:lines].splitlines()[-8:]
+    assert any("BroadcastHashJoin [l_orderkey" in line for line in plan.splitlines())
+    assert not any("Exchange hashpartitioning(l_orderkey" in line for line in above)

@@ -94,10 +94,12 @@ def late_join_stream(
     order_at: str = "order_at",
     delay: str = "10 seconds",
     salts: int = 4,
+    unmatched: bool = False,
 ) -> DataFrame:
     """Streaming form of :func:`late_join`. Both inputs wait ``delay`` for stragglers.
 
-    State on either side is dropped once the tolerance has passed. With
+    With ``unmatched``, a line without an order comes out too, with a null ``order``, as
+    soon as no order that is still to come can be near enough. State on either side is dropped once the tolerance has passed. With
     ``salts > 1`` the lines of an order id are spread over that many tasks and the
     orders copied to each, so one id cannot fill a single state partition.
     """
@@ -114,7 +116,7 @@ def late_join_stream(
         F.col(line_at) - F.expr(f"interval {after_seconds} seconds"),
         F.col(line_at) + F.expr(f"interval {before_seconds} seconds"),
     )
-    return l.join(o, same & near).select(*lines.columns, "order")
+    return l.join(o, same & near, "left_outer" if unmatched else "inner").select(*lines.columns, "order")
 
 
 def with_users(rows: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:

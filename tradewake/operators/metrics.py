@@ -120,6 +120,20 @@ def kpi_cards(launches: DataFrame, orders: DataFrame, day: str) -> DataFrame:
     return cards.select("c.*")
 
 
+def kpi_cards_of_counts(figures: DataFrame, orders: DataFrame, day: str) -> DataFrame:
+    """The same cards from the stored counts ``day, active, new`` of the day.
+
+    No launch is read: neither the day's nor those of earlier days.
+    """
+    counts = figures.where(F.col("day") == day).agg(
+        F.coalesce(F.sum("active"), F.lit(0)).cast("double").alias("dau"),
+        F.coalesce(F.sum("new"), F.lit(0)).cast("double").alias("new_mid"),
+    )
+    devices = F.explode(F.array(*[_card(name, F.col(name)) for name in ("dau", "new_mid")])).alias("c")
+    amount = amount_of_day(orders, day).select(_card("order_amount", F.col("amount")).alias("c"))
+    return counts.select(devices).unionByName(amount).select("c.*")
+
+
 def _card(name: str, value: Column) -> Column:
     return F.struct(
         F.lit(name).alias("id"), F.lit(config.CARD_NAMES[name]).alias("name"), value.alias("value")

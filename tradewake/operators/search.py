@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewake import config
 from tradewake.functions import values
+from tradewake.operators.paging import PLACE, SortedRows, check_page, sorted_rows
 from tradewake.schemas import SALE_DETAIL
 
 
@@ -35,8 +36,7 @@ def _hit_order(found: DataFrame, keyword: str):
 
 def page(found: DataFrame, keyword: str, number: int, size: int) -> DataFrame:
     """Page ``number`` (from 1) of the hits: best match first, then by ids."""
-    if number < 1 or size < 1:
-        raise ValueError("pages are numbered from 1 and hold at least one row")
+    check_page(number, size)
     return found.orderBy(*_hit_order(found, keyword)).offset((number - 1) * size).limit(size)
 
 
@@ -60,13 +60,28 @@ def gender_terms(found: DataFrame, size: int = config.GENDER_BUCKETS) -> DataFra
     return _terms(found, "user_gender", size)
 
 
-def _shares(found: DataFrame) -> DataFrame:
-    """One row with the number of hits and all shares."""
-    counts = found.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("user_age") < 20).alias("_under"),
-        F.count_if(F.col("user_age") >= 30).alias("_from"),
-        F.count_if(F.col("user_gender") == "M").alias("_male"),
+def breakdown(found: DataFrame) -> DataFrame:
+    """``user_age, user_gender, kind, hits``: hits by age, by gender and in all, from one pass.
+
+    ``kind`` is 1 for a row of an age, 2 for one of a gender, 3 for the number of all hits,
+    which is missing when there are none.
+    """
+    sets = [["user_age"], ["user_gender"], []]
+    hits_ = F.count(F.lit(1)).alias("hits")
+    return found.groupingSets(sets, "user_age", "user_gender").agg(F.grouping_id().alias("kind"), hits_)
+
+
+def _shares(counted: DataFrame) -> DataFrame:
+    """One row with the number of hits and all shares, from a :func:`breakdown`."""
+
+    def hits_of(condition: str):
+        return F.coalesce(F.sum(F.when(F.expr(condition), F.col("hits"))), F.lit(0).cast("bigint"))
+
+    counts = counted.agg(
+        hits_of("kind = 3").alias("total"),
+        hits_of("kind = 1 and user_age < 20").alias("_under"),
+        hits_of("kind = 1 and user_age >= 30").alias("_from"),
+        hits_of("kind = 2 and user_gender = 'M'").alias("_male"),
     )
     shares = counts.select(
         "total",
@@ -97,45 +112,69 @@ def age_share(found: DataFrame) -> DataFrame:
 
     The band from 20 to 30 is what the two rounded shares leave of 100.
     """
-    return _shares(found).select(F.inline(_options(**_AGE)))
+    return _shares(breakdown(found)).select(F.inline(_options(**_AGE)))
 
 
 def gender_share(found: DataFrame) -> DataFrame:
     """Share of ``M``, and the rest of 100 for everyone else: ``(name, value)``."""
-    return _shares(found).select(F.inline(_options(**_GENDER)))
+    return _shares(breakdown(found)).select(F.inline(_options(**_GENDER)))
+
+
+def breakdowns(
+    found: DataFrame, age_size: int = config.AGE_BUCKETS, gender_size: int = config.GENDER_BUCKETS
+) -> DataFrame:
+    """``part, name, value``: all terms, shares and the total of the hits from one pass over them."""
+    # A row for each age and gender, however many hits there are.
+    counted = breakdown(found)
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("hits"), "user_age", "user_gender"))
+    known = counted.where("kind = 1 and user_age is not null or kind = 2 and user_gender is not null or kind = 3")
+    size = F.when(F.col("kind") == 1, age_size).when(F.col("kind") == 2, gender_size).otherwise(1)
+    part = F.element_at(F.array(F.lit("age"), F.lit("gender"), F.lit("total")), F.col("kind").cast("int"))
+    name = F.when(F.col("kind") == 1, F.col("user_age").cast("string")).otherwise(F.col("user_gender"))
+    terms = known.withColumn("_rank", rank).where(F.col("_rank") <= size).select(
+        part.alias("part"), name.alias("name"), F.col("hits").cast("double").alias("value")
+    )
+    shares = _shares(counted)
+    return (
+        terms.union(shares.select(F.lit("age share"), F.inline(_options(**_AGE))))
+        .union(shares.select(F.lit("gender share"), F.inline(_options(**_GENDER))))
+    )
 
 
-def report(found: DataFrame, keyword: str, number: int, size: int) -> DataFrame:
-    """The search answer as one JSON text: ``{total, stat, detail}``.
+def stored_hits(found: DataFrame, keyword: str, path: str) -> SortedRows:
+    """The hits in their order, written once: every page and breakdown reads them there."""
+    return sorted_rows(found, _hit_order(found, keyword), path)
 
-    Two reductions of the hits, to one row of counts and to one page, meet in a
-    final aggregate; no more than a page of documents is ever gathered.
-    """
-    documents = F.struct(*SALE_DETAIL.names)
-    rank = F.struct(_closeness(keyword).alias("c"), F.col("order_id"), F.col("order_detail_id"))
-    one_page = page(found, keyword, number, size).agg(
-        F.collect_list(F.struct(rank.alias("rank"), documents.alias("doc"))).alias("docs")
-    )
-    best_first = F.array_sort(
-        "docs",
-        lambda a, b: F.when(a["rank"]["c"] > b["rank"]["c"], F.lit(-1))
-        .when(a["rank"]["c"] < b["rank"]["c"], F.lit(1))
-        .when(a["rank"] < b["rank"], F.lit(-1))
-        .when(a["rank"] > b["rank"], F.lit(1))
-        .when(a["doc"] < b["doc"], F.lit(-1))
-        .when(a["doc"] > b["doc"], F.lit(1))
-        .otherwise(F.lit(0)),
-    )
-    detail = one_page.select(F.transform(best_first, lambda d: d["doc"]).alias("detail"))
-    stat = F.array(
+
+def _stat():
+    return F.array(
         F.struct(_options(**_AGE).alias("options"), F.lit(config.AGE_TITLE).alias("title")),
         F.struct(_options(**_GENDER).alias("options"), F.lit(config.GENDER_TITLE).alias("title")),
     )
-    counted = _shares(found).select("total", stat.alias("stat"))
-    parts = counted.unionByName(detail, allowMissingColumns=True)
-    merged = parts.agg(
+
+
+def report(kept: SortedRows, number: int, size: int) -> DataFrame:
+    """The search answer as one JSON text: ``{total, stat, detail}``.
+
+    ``kept`` are the stored hits: the shares come from one pass over them, the documents
+    from the ranges that the page lies in. No more than a page is ever gathered.
+    """
+    documents = F.struct(*SALE_DETAIL.names)
+    one_page = kept.page(number, size).agg(F.collect_list(F.struct(F.col(PLACE).alias("p"), documents.alias("doc"))).alias("docs"))
+    detail = one_page.select(F.transform(F.array_sort("docs"), lambda d: d["doc"]).alias("detail"))
+    counted = _shares(breakdown(kept.rows())).select("total", _stat().alias("stat"))
+    merged = counted.unionByName(detail, allowMissingColumns=True).agg(
         F.max("total").alias("total"),
         F.first("stat", ignorenulls=True).alias("stat"),
         F.first("detail", ignorenulls=True).alias("detail"),
     )
     return merged.select(F.to_json(F.struct("total", "stat", "detail")).alias("json"))
+
+
+def ranked_page(hits_: DataFrame, sales: DataFrame, number: int, size: int, path: str) -> DataFrame:
+    """A page of scored hits (``dt, doc_id, score``) with their sales: best first, then by id.
+
+    Only the page's ids are looked up in ``sales``.
+    """
+    best = sorted_rows(hits_, [F.desc("score"), F.col("doc_id")], path).page(number, size)
+    return best.join(sales, ["dt", "doc_id"]).drop(PLACE)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tradewake import config
+from tradewake.operators import relevance
 from tradewake.plans import queries as q
 
 _LAUNCH = """launch AS (
@@ -199,6 +200,26 @@ _LANDED = """'{"type":"' || type || '","mid":"' || mid || '","uid":"' || uid ||
 _USERS = f"""WITH {_USER} SELECT id, login_name, user_level, strftime(born, '%Y-%m-%d') AS birthday, gender
     FROM user_info"""
 
+def _report(hits: str) -> str:
+    return f"""WITH {hits}, {_SHARES}, page AS ({_PAGE}) SELECT '{{"total":' || total ||
+        ',"stat":[{{"options":[' || {_option(config.AGE_UNDER_20, "under_20")} || ',' ||
+        {_option(config.AGE_FROM_30, "from_30")} || ',' || {_option(config.AGE_20_TO_30, "between_bands")} ||
+        '],"title":"{config.AGE_TITLE}"}},{{"options":[' || {_option(config.GENDER_MALE, "male")} || ',' ||
+        {_option(config.GENDER_FEMALE, "female")} || '],"title":"{config.GENDER_TITLE}"}}],"detail":[' ||
+        (SELECT coalesce(string_agg({_DOCUMENT}, ',' ORDER BY {_HIT_ORDER}), '') FROM page) || ']}}' AS json FROM shares"""
+
+
+_BM25 = f"""latest AS ({_LATEST_SALE}), doc AS (
+    SELECT dt, doc_id, {_WORDS} AS words FROM latest WHERE dt IN ('{q.SEARCH_DAY}', '{q.ORDER_DAY}')), size AS (
+    SELECT dt, count(*) AS docs, sum(len(words)) AS words FROM doc GROUP BY dt), posting AS (
+    SELECT dt, word, doc_id, count(*) AS n, any_value(length) AS length
+    FROM (SELECT dt, doc_id, len(words) AS length, unnest(words) AS word FROM doc) GROUP BY ALL), df AS (
+    SELECT dt, word, count(*) AS df FROM posting GROUP BY ALL), scored AS (
+    SELECT dt, word, doc_id, ln(1 + (docs - df + 0.5) / (df + 0.5)) * n
+           / (n + {relevance.K1} * (1 - {relevance.B} + {relevance.B} * length * docs / size.words)) AS score
+    FROM posting JOIN df USING (dt, word) JOIN size USING (dt))"""
+_RANKED = tuple(q.RANKED_KEYWORD.lower().split())
+
 ORACLES: dict[str, str] = {
     "launch_derived": f"WITH {_LAUNCH} SELECT mid, uid, type, ts, log_date, log_hour FROM launch",
     "ingest_stamped": f"WITH {_LAUNCH} SELECT type, mid, uid, CAST({q.STAMP_MILLIS} AS BIGINT) AS ts FROM launch",
@@ -269,12 +290,56 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT '{config.AGE_20_TO_30}', between_bands FROM shares""",
     "gender_share": f"""WITH {_DAY_HITS}, {_SHARES} SELECT '{config.GENDER_MALE}' AS name, male AS value FROM shares
         UNION ALL SELECT '{config.GENDER_FEMALE}', female FROM shares""",
-    "sale_search_report": f"""WITH {_HITS}, {_SHARES}, page AS ({_PAGE}) SELECT '{{"total":' || total ||
-        ',"stat":[{{"options":[' || {_option(config.AGE_UNDER_20, "under_20")} || ',' ||
-        {_option(config.AGE_FROM_30, "from_30")} || ',' || {_option(config.AGE_20_TO_30, "between_bands")} ||
-        '],"title":"{config.AGE_TITLE}"}},{{"options":[' || {_option(config.GENDER_MALE, "male")} || ',' ||
-        {_option(config.GENDER_FEMALE, "female")} || '],"title":"{config.GENDER_TITLE}"}}],"detail":[' ||
-        (SELECT coalesce(string_agg({_DOCUMENT}, ',' ORDER BY {_HIT_ORDER}), '') FROM page) || ']}}' AS json FROM shares""",
+    "sale_search_report": _report(_HITS),
+    "sale_table_report": _report(f"{_SALE}, latest AS ({_LATEST_SALE}), {_hits('latest')}"),
+    "sale_search_ranked": f"""WITH {_SALE}, {_BM25}, best AS (
+        SELECT dt, doc_id, round(sum(score), {relevance.DIGITS}) AS score FROM scored
+        WHERE dt = '{q.SEARCH_DAY}' AND word IN {_RANKED} GROUP BY ALL HAVING count(*) = {len(_RANKED)}
+        ORDER BY score DESC, doc_id LIMIT {2 * q.PAGE_SIZE})
+        SELECT doc_id, score, {_SALE_COLUMNS} FROM best JOIN latest USING (dt, doc_id)""",
+    "sale_word_scores": f"""WITH {_SALE}, {_BM25}
+        SELECT dt, word, doc_id, round(score, {relevance.DIGITS}) AS score FROM scored""",
+    "sale_breakdowns": f"""WITH {_DAY_HITS}, {_SHARES}, ages AS (
+        SELECT user_age, count(*) AS n FROM hits GROUP BY 1 ORDER BY n DESC, user_age LIMIT {config.AGE_BUCKETS})
+        SELECT 'age' AS part, CAST(user_age AS VARCHAR) AS name, CAST(n AS DOUBLE) AS value FROM ages
+        UNION ALL SELECT 'gender', user_gender, CAST(count(*) AS DOUBLE) FROM hits WHERE user_gender IS NOT NULL GROUP BY 2
+        UNION ALL SELECT 'total', NULL, CAST(total AS DOUBLE) FROM shares WHERE total > 0
+        UNION ALL SELECT 'age share', '{config.AGE_UNDER_20}', under_20 FROM shares
+        UNION ALL SELECT 'age share', '{config.AGE_FROM_30}', from_30 FROM shares
+        UNION ALL SELECT 'age share', '{config.AGE_20_TO_30}', between_bands FROM shares
+        UNION ALL SELECT 'gender share', '{config.GENDER_MALE}', male FROM shares
+        UNION ALL SELECT 'gender share', '{config.GENDER_FEMALE}', female FROM shares""",
+    "sale_page_deep": f"""WITH {_SALE} SELECT {_SALE_COLUMNS} FROM sale ORDER BY order_id, order_detail_id, create_time,
+        user_id, sku_id, user_gender NULLS FIRST, user_age, user_level, sku_price, sku_name, dt
+        LIMIT {q.PAGE_SIZE} OFFSET {(q.DEEP_PAGE - 1) * q.PAGE_SIZE}""",
+    "order_upsert_out_of_order": f"""WITH {_ORDER} SELECT id AS "ID", user_id AS "USER_ID",
+        CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'later' ELSE order_status END AS "ORDER_STATUS",
+        create_date AS "CREATE_DATE" FROM order_info""",
+    "dated_targets": f"""WITH {_SALE}, latest AS ({_LATEST_SALE.replace("FROM sale", f"FROM sale WHERE dt = '{q.ORDER_DAY}'")})
+        SELECT doc_id, CASE WHEN user_gender = 'M' THEN 'again' ELSE order_status END AS order_status,
+        'sale_detail-' || CASE WHEN user_gender = 'M' THEN '{q.RUN_DAYS[1]}' ELSE '{q.RUN_DAYS[0]}' END AS target FROM latest""",
+    "user_lookup_buckets": f"""WITH {_ORDER}, {_USER} SELECT o.id AS order_id, o.user_id, u.gender AS user_gender,
+        coalesce({_AGE}, 0) AS user_age, u.user_level FROM order_info o LEFT JOIN user_info u ON o.user_id = u.id
+        WHERE create_date = '{q.ORDER_DAY}'""",
+    "new_devices_incremental": f"""WITH {_LAUNCH} SELECT log_date, count(*) AS new_mid FROM (
+        SELECT mid, min(log_date) AS log_date FROM launch GROUP BY mid) GROUP BY log_date""",
+    "kpi_cards_stored": f"WITH {_CARDS} SELECT id, name, value FROM cards",
+    "stream_late_launches": f"""WITH {_LAUNCH} SELECT DISTINCT mid AS "MID", log_date AS "LOGDATE" FROM launch""",
+    "stream_launch_figures": f"""WITH {_LAUNCH}, first AS (SELECT mid, min(log_date) AS day FROM launch GROUP BY mid)
+        SELECT log_date AS day, count(DISTINCT launch.mid) AS active, (SELECT count(*) FROM first WHERE day = log_date) AS "new"
+        FROM launch GROUP BY log_date""",
+    "late_rows_counted": f"""WITH {_LAUNCH} SELECT 'dedupeWithinWatermark' AS operator, count(*) AS rows FROM launch
+        WHERE event_id % 5 = 0 AND ts <= (SELECT max(ts) FROM launch WHERE event_id % 5 <> 0) - 86400000""",
+    "sale_expiry_audit": f"""WITH {_ORDER}, {_LINE}, mark AS (
+        SELECT least((SELECT max(order_at) FROM order_info), (SELECT max(line_at) FROM order_detail))
+               - INTERVAL {q.AUDIT_DAYS} DAY - INTERVAL 12 HOUR AS at), line AS (
+        SELECT d.order_id, d.id, bool_or(o.id IS NOT NULL) AS matched,
+               bool_or(d.line_at + INTERVAL {q.AUDIT_DAYS} DAY < mark.at) AS over
+        FROM order_detail d CROSS JOIN mark LEFT JOIN order_info o ON d.order_id = o.id AND o.order_at BETWEEN
+             d.line_at - INTERVAL {q.AUDIT_DAYS} DAY AND d.line_at + INTERVAL {q.AUDIT_DAYS} DAY
+        GROUP BY 1, 2)
+        SELECT CASE WHEN matched THEN 'matched' WHEN over THEN 'expired' ELSE 'waiting' END AS place, count(*) AS lines
+        FROM line GROUP BY 1""",
     "wide_upsert": f"""WITH {_FIRST} SELECT mid AS "MID", uid AS "UID", log_date AS "LOGDATE", log_hour AS "LOGHOUR",
         ts AS "TS" FROM first_launch""",
     "order_upsert": f"""WITH {_ORDER} SELECT id AS "ID", user_id AS "USER_ID", order_status AS "ORDER_STATUS",

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from tradewake import config, schemas
 from tradewake.functions import values
 from tradewake.functions.times import previous_day
-from tradewake.operators import alerts, changes, dedup, ingest, joins, metrics, search
+from tradewake.operators import alerts, changes, dedup, ingest, joins, metrics, paging, relevance, search
 from tradewake.plans import reports
 from tradewake.session import configure, shared_folder
 from tradewake.config import JobPaths
 from tradewake.sources import driver_tables as d
-from tradewake.sources import sql_reports, tables, topics
+from tradewake.sources import launch_store, sale_index, sql_reports, tables, topics
 from tradewake.streaming import jobs
 
 # Parameters with results on these tables.
@@ -24,6 +24,10 @@ ORDER_DAY = "1997-08-23"
 AGE_DAY = "2001-08-01"
 SEARCH_DAY, KEYWORD = "1997-10-08", "Blue"
 PAGE, PAGE_SIZE = 2, 5
+DEEP_PAGE = 10_000
+RANKED_KEYWORD = "Blue widget"
+RUN_DAYS = ("2024-01-02", "2024-01-03")
+AUDIT_DAYS = 40
 STAMP_MILLIS = 1_704_200_000_000
 WINDOW, SLIDE = 86_400, 21_600
 BEFORE, AFTER = 300 * 86_400, 100 * 86_400
@@ -55,10 +59,24 @@ def _as_of() -> Column:
     return F.lit(AGE_DAY).cast("date")
 
 
-def _sales(spark: SparkSession, folder: str, day: str | None = None) -> DataFrame:
-    """All sales, or those of the orders of a day, which are all that is read of the orders."""
-    orders = d.orders(spark, folder, (day, day) if day else None)
-    return joins.sale_detail(d.lines(spark, folder), orders, d.users(spark, folder), _as_of())
+def _sales(spark: SparkSession, folder: str) -> DataFrame:
+    """All sales."""
+    return joins.sale_detail(d.lines(spark, folder), d.orders(spark, folder), d.users(spark, folder), _as_of())
+
+
+def _day_sales(spark: SparkSession, folder: str, day: str) -> DataFrame:
+    """The sales of a day's orders, which are written first, so that their size is known.
+
+    Where they are few, the lines are neither shuffled nor named before they meet them.
+    """
+    path = shared_folder(spark)
+    d.order_heads(spark, folder, (day, day)).write.parquet(path)
+    lines = d.lines_of(spark, folder, spark.read.parquet(path))
+    return joins.sale_columns(joins.with_users(lines.withColumnRenamed("create_date", "dt"), d.users(spark, folder), _as_of()))
+
+
+def _documents(sales: DataFrame) -> DataFrame:
+    return sales.withColumn("doc_id", values.sale_document_id(F.col("order_id"), F.col("order_detail_id")))
 
 
 # The day asked for, and with the day before.
@@ -398,37 +416,89 @@ def realtime_hours_amount(spark, folder):
 
 @query
 def sale_search_page(spark, folder):
-    return search.page(search.hits(_sales(spark, folder, SEARCH_DAY), SEARCH_DAY, KEYWORD), KEYWORD, PAGE, PAGE_SIZE)
+    return search.page(search.hits(_day_sales(spark, folder, SEARCH_DAY), SEARCH_DAY, KEYWORD), KEYWORD, PAGE, PAGE_SIZE)
 
 
 @query
 def sale_search_total(spark, folder):
-    return search.total(search.hits(_sales(spark, folder, SEARCH_DAY), SEARCH_DAY, KEYWORD))
+    return search.total(search.hits(_day_sales(spark, folder, SEARCH_DAY), SEARCH_DAY, KEYWORD))
 
 
 @query
 def age_terms(spark, folder):
-    return search.age_terms(search.hits(_sales(spark, folder, ORDER_DAY), ORDER_DAY))
+    return search.age_terms(search.hits(_day_sales(spark, folder, ORDER_DAY), ORDER_DAY))
 
 
 @query
 def gender_terms(spark, folder):
-    return search.gender_terms(search.hits(_sales(spark, folder, ORDER_DAY), ORDER_DAY))
+    return search.gender_terms(search.hits(_day_sales(spark, folder, ORDER_DAY), ORDER_DAY))
 
 
 @query
 def age_share(spark, folder):
-    return search.age_share(search.hits(_sales(spark, folder, ORDER_DAY), ORDER_DAY))
+    return search.age_share(search.hits(_day_sales(spark, folder, ORDER_DAY), ORDER_DAY))
 
 
 @query
 def gender_share(spark, folder):
-    return search.gender_share(search.hits(_sales(spark, folder, ORDER_DAY), ORDER_DAY))
+    return search.gender_share(search.hits(_day_sales(spark, folder, ORDER_DAY), ORDER_DAY))
 
 
 @query
 def sale_search_report(spark, folder):
-    return reports.sale_detail(_sales(spark, folder, SEARCH_DAY), SEARCH_DAY, PAGE, PAGE_SIZE, KEYWORD)
+    return reports.sale_detail(_day_sales(spark, folder, SEARCH_DAY), SEARCH_DAY, PAGE, PAGE_SIZE, KEYWORD)
+
+
+def _stored_sales(spark, folder) -> tables.KeyedTable:
+    store = tables.sale_table(shared_folder(spark))
+    store.upsert(_documents(_sales(spark, folder)), 0)
+    return store
+
+
+@query
+def sale_breakdowns(spark, folder):
+    """Terms, shares and total of a day from one pass over its sales."""
+    return search.breakdowns(search.hits(_day_sales(spark, folder, ORDER_DAY), ORDER_DAY))
+
+
+@query
+def sale_page_deep(spark, folder):
+    """A page far behind in all sales; only the range that it lies in is read for it."""
+    sales = _sales(spark, folder)
+    order = [F.col(c) for c in ("order_id", "order_detail_id", *[c for c in sales.columns if not c.startswith("order_")])]
+    return paging.sorted_rows(sales, order, shared_folder(spark)).page(DEEP_PAGE, PAGE_SIZE).drop(paging.PLACE)
+
+
+@query
+def sale_table_report(spark, folder):
+    """The report from the stored sale table."""
+    sales = _stored_sales(spark, folder).read(spark, SEARCH_DAY)
+    return reports.sale_detail(sales.drop("doc_id"), SEARCH_DAY, PAGE, PAGE_SIZE, KEYWORD, shared_folder(spark))
+
+
+def _index(spark, folder) -> tuple[tables.KeyedTable, sale_index.SaleIndex]:
+    store = _stored_sales(spark, folder)
+    index = sale_index.SaleIndex(f"{store.path}-index")
+    index.refresh(store, spark, [SEARCH_DAY, ORDER_DAY])
+    return store, index
+
+
+@query
+def sale_search_ranked(spark, folder):
+    """The best sales of a day by BM25, from the stored index."""
+    store, index = _index(spark, folder)
+    found = index.ranked(spark, SEARCH_DAY, RANKED_KEYWORD)
+    return search.ranked_page(found, store.read(spark, SEARCH_DAY), 1, 2 * PAGE_SIZE, shared_folder(spark))
+
+
+@query
+def sale_word_scores(spark, folder):
+    """The BM25 score of every word of every sale of two days, each day by its own figures."""
+    _, index = _index(spark, folder)
+    stored = spark.read.parquet(f"{index.path}/postings")
+    scores = relevance.word_scores(stored, spark.read.parquet(f"{index.path}/sizes"))
+    day = F.date_format("dt", "yyyy-MM-dd").alias("dt")  # read from folder names as a date
+    return scores.select(day, "word", "doc_id", F.round("score", relevance.DIGITS).alias("score"))
 
 
 # --- tables ------------------------------------------------------------------
@@ -457,23 +527,75 @@ def order_upsert(spark, folder):
 
 @query
 def sale_upsert(spark, folder):
-    store = tables.sale_table(shared_folder(spark))
-    sales = _sales(spark, folder)
-    doc_id = values.sale_document_id(F.col("order_id"), F.col("order_detail_id"))
-    store.upsert(sales.withColumn("doc_id", doc_id), 0)
-    return store.read(spark)
+    return _stored_sales(spark, folder).read(spark)
 
 
 @query
 def sale_table_search(spark, folder):
     """Search in the stored sale table; only the day's folders are listed and read."""
-    store = tables.sale_table(shared_folder(spark))
-    sales = _sales(spark, folder)
-    doc_id = values.sale_document_id(F.col("order_id"), F.col("order_detail_id"))
-    store.upsert(sales.withColumn("doc_id", doc_id), 0)
+    store = _stored_sales(spark, folder)
     return search.page(search.hits(store.read(spark, SEARCH_DAY), SEARCH_DAY, KEYWORD).drop("doc_id"), KEYWORD, 1, PAGE_SIZE)
 
 
+@query
+def order_upsert_out_of_order(spark, folder):
+    """Records of one order in three batches; the latest by its source's time stays."""
+    store = tables.order_table(shared_folder(spark))
+    rows = tables.upper_case(d.orders(spark, folder))
+    store.upsert(rows, 0, ["ORDER_AT"])
+
+    def moved(some: DataFrame, days: int, status: str) -> DataFrame:
+        at = F.col("ORDER_AT") + F.expr(f"interval {days} days")
+        return some.withColumns({"ORDER_AT": at, "ORDER_STATUS": F.lit(status)})
+
+    store.upsert(moved(rows.where("cast(ID as long) % 3 = 0"), 1, "later"), 1, ["ORDER_AT"])
+    store.upsert(moved(rows, -1, "earlier"), 2, ["ORDER_AT"])
+    return store.read(spark).select("ID", "USER_ID", "ORDER_STATUS", "CREATE_DATE")
+
+
+@query
+def dated_targets(spark, folder):
+    """Sales stored by the runs of two days; under the alias the newer run's row holds."""
+    store = tables.dated_sales(shared_folder(spark))
+    sales = _documents(_day_sales(spark, folder, ORDER_DAY))
+    first, second = RUN_DAYS
+    store.upsert(sales, first, 0)
+    store.upsert(sales.where("user_gender = 'M'").withColumn("order_status", F.lit("again")), second, 1)
+    return store.alias(spark).select("doc_id", "order_status", "target")
+
+
+@query
+def user_lookup_buckets(spark, folder):
+    """Users of a day's orders from the stored users; only the buckets of their ids are read."""
+    store = tables.user_table(shared_folder(spark))
+    store.upsert(d.users(spark, folder), 0)
+    rows = d.order_heads(spark, folder, (ORDER_DAY, ORDER_DAY)).select(F.col("_key").cast("string").alias("order_id"), "user_id")
+    return joins.with_users(rows, store.read(spark, wanted=joins.user_ids(rows)), _as_of())
+
+
+def _launch_batches(spark, folder) -> launch_store.LaunchStore:
+    """All launches in three batches, of which each has some of every day."""
+    store = launch_store.launch_store(shared_folder(spark)).create(spark)
+    rows = d.launches(spark, folder)
+    for batch_id in (2, 1, 0):
+        store.add(_launch_rows(rows.where(F.col("event_id") % 3 == batch_id)), 2 - batch_id)
+    return store
+
+
+@query
+def new_devices_incremental(spark, folder):
+    """New devices per day, kept up to date batch by batch."""
+    figures = _launch_batches(spark, folder).figures(spark)
+    return figures.where("new > 0").select(F.col("day").alias("log_date"), F.col("new").alias("new_mid"))
+
+
+@query
+def kpi_cards_stored(spark, folder):
+    """The cards of a day from its stored counts; no launch is read for them."""
+    figures = _launch_batches(spark, folder).figures(spark, DAY)
+    return metrics.kpi_cards_of_counts(figures, d.purchases(spark, folder, ONE_DAY), DAY)
+
+
 @query
 def alert_upsert(spark, folder):
     store = tables.alert_table(shared_folder(spark))
@@ -516,6 +638,76 @@ def stream_first_launches(spark, folder):
     return tables.launch_table(paths.tables).read(spark).select("MID", "LOGDATE")
 
 
+def _in_two_runs(spark, folder, run) -> None:
+    """Hand ``run`` a stream of the launches, twice: one in five only comes the second time."""
+    topic = f"{shared_folder(spark)}/topic"
+    records = d.log_records(spark, folder)
+    for late in (False, True):
+        records.where((F.col("offset") % 5 == 0) == late).write.mode("append").parquet(topic)
+        run(topics.file_source(spark, topic))
+
+
+@query
+def stream_late_launches(spark, folder):
+    """Device-days of the launch job, where one launch in five comes after all others."""
+    paths = _paths(spark)
+    _in_two_runs(spark, folder, lambda source: _finish(jobs.launch_job(source, paths, once=True)))
+    return tables.launch_table(paths.tables).read(spark).select("MID", "LOGDATE")
+
+
+@query
+def stream_launch_figures(spark, folder):
+    """Active and new devices per day, as the same job counts them."""
+    paths = _paths(spark)
+    _in_two_runs(spark, folder, lambda source: _finish(jobs.launch_job(source, paths, once=True)))
+    return launch_store.launch_store(paths.tables).figures(spark)
+
+
+@query
+def late_rows_counted(spark, folder):
+    """How many of these launches a dedup that waits a day finds too late to look at."""
+    paths, counts = _paths(spark), []
+
+    def run(source: DataFrame) -> None:
+        timed = jobs.decoded_launches(source).withColumn("at", F.timestamp_millis("ts"))
+        first = dedup.first_launch_stream(timed, "at", "1 day", salts=1)
+        writing = first.writeStream.format("noop").option("checkpointLocation", paths.checkpoint("late"))
+        query_ = writing.trigger(availableNow=True).start()
+        _finish(query_)
+        counts.append(jobs.late_rows(spark, query_))
+
+    _in_two_runs(spark, folder, run)
+    return counts[0].union(counts[1]).groupBy("operator").agg(F.sum("rows").alias("rows"))
+
+
+@query
+def sale_expiry_audit(spark, folder):
+    """Order lines that met their order, that waited in vain, and that still wait."""
+    paths = _paths(spark)
+    job = jobs.sale_job(
+        d.order_records(spark, folder, d.stream_table),
+        d.line_records(spark, folder, d.stream_table),
+        paths,
+        _as_of(),
+        once=True,
+        before_seconds=AUDIT_DAYS * 86_400,
+        after_seconds=AUDIT_DAYS * 86_400,
+        delay=f"{AUDIT_DAYS} days 12 hours",
+    )
+    _finish(job)
+    key = ["order_id", "id"]
+    sent = d.lines(spark, folder).select(*key).distinct()
+    sales = tables.sale_table(paths.tables).read(spark)
+    matched = sales.select("order_id", F.col("order_detail_id").alias("id")).distinct()
+    expired = tables.unmatched_table(paths.tables).read(spark).select(*key).distinct().join(matched, key, "left_anti")
+    places = {"matched": matched, "expired": expired}
+    told = sent.withColumn("place", F.lit("waiting"))
+    for place, rows in places.items():
+        mark = rows.withColumn("_mark", F.lit(place))
+        told = told.join(mark, key, "left").withColumn("place", F.coalesce("_mark", "place")).drop("_mark")
+    return told.groupBy("place").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query
 def stream_alerts(spark, folder):
     """Alerts of the windows that are closed an hour before the last event."""

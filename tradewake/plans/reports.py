@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradewake.functions.times import previous_day
 from tradewake.operators import metrics, search
+from tradewake.session import shared_folder
 
 
 def realtime_total(launches: DataFrame, orders: DataFrame, date: str) -> DataFrame:
@@ -42,6 +43,11 @@ def realtime_hours(launches: DataFrame, orders: DataFrame, kind: str, date: str)
     return both.select(F.to_json(F.struct("yesterday", "today")).alias("json"))
 
 
-def sale_detail(sales: DataFrame, date: str, page: int, size: int, keyword: str) -> DataFrame:
-    """Search in the sale table: ``{total, stat, detail}``."""
-    return search.report(search.hits(sales, date, keyword), keyword, page, size)
+def sale_detail(sales: DataFrame, date: str, page: int, size: int, keyword: str, path: str | None = None) -> DataFrame:
+    """Search in the sale table: ``{total, stat, detail}``.
+
+    The hits are read from the table once and kept, in order, in a fresh folder ``path``,
+    by default below ``spark.checkpoint.dir``.
+    """
+    found = search.hits(sales, date, keyword)
+    return search.report(search.stored_hits(found, keyword, path or shared_folder(sales.sparkSession)), page, size)

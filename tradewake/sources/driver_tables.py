@@ -166,6 +166,37 @@ def orders(spark: SparkSession, folder: str, days: Days | None = None) -> DataFr
     return with_create_time(raw_orders(spark, folder, days=days))
 
 
+def order_heads(spark: SparkSession, folder: str, days: Days | None = None) -> DataFrame:
+    """What a sale takes from its order, from the order table alone."""
+    o = _within(table(spark, folder, "orders"), "o_orderdate", days)
+    made = o.select(
+        F.col("o_orderkey").alias("_key"),
+        F.col("o_orderstatus").alias("order_status"),
+        F.col("o_custkey").cast("string").alias("user_id"),
+        _text(F.col("o_orderdate")).alias("create_time"),
+    )
+    return with_create_time(made).select("_key", "order_status", "create_time", "user_id", "create_date")
+
+
+def lines_of(spark: SparkSession, folder: str, orders: DataFrame) -> DataFrame:
+    """The lines of given orders (their number as ``_key``), with what :func:`lines` gives.
+
+    The lines meet their orders first, where they lie if the orders are few, and only
+    what is left is named.
+    """
+    met = table(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("_key"))
+    named = met.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    key = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    return named.select(
+        F.concat_ws("-", *key).alias("order_detail_id"),
+        F.col("l_orderkey").cast("string").alias("order_id"),
+        *[c for c in orders.columns if c != "_key"],
+        F.col("l_partkey").cast("string").alias("sku_id"),
+        F.col("p_name").alias("sku_name"),
+        F.col("l_extendedprice").cast("double").alias("sku_price"),
+    )
+
+
 def order_amounts(spark: SparkSession, folder: str, days: Days | None = None) -> DataFrame:
     """The amount and the day and hour of every order, from the order table alone."""
     o = _within(table(spark, folder, "orders"), "o_orderdate", days)

@@ -18,8 +18,9 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQue
 from tradewake import config, schemas
 from tradewake.config import JobPaths
 from tradewake.functions import values
-from tradewake.operators import alerts, changes, dedup, ingest, joins, metrics
+from tradewake.operators import alerts, changes, ingest, joins, metrics
 from tradewake.sources import tables
+from tradewake.sources.launch_store import launch_store
 from tradewake.sources.topics import Sink
 
 
@@ -58,6 +59,10 @@ def flagged_launches(source: DataFrame) -> DataFrame:
     return ingest.decode_logs(source, schemas.LAUNCH, ["mid", "ts"])
 
 
+def decoded_launches(source: DataFrame) -> DataFrame:
+    return ingest.accepted(flagged_launches(source))
+
+
 def flagged_events(source: DataFrame) -> DataFrame:
     return ingest.decode_logs(source, schemas.EVENT, ["ts"])
 
@@ -82,23 +87,25 @@ def flagged_changes(source: DataFrame) -> DataFrame:
     return parsed.select("c.*", F.when(bad, F.lit("malformed")).alias(ingest.PROBLEM), "value")
 
 
-def launch_job(source: DataFrame, paths: JobPaths, once: bool = False, delay: str = "1 day") -> StreamingQuery:
-    """First launch per device and day into the launch table."""
-    decoded = metrics.observed(ingest.accepted(flagged_launches(source)), "launches")
-    timed = decoded.withColumn("at", F.timestamp_millis("ts"))
-    first = metrics.observed(dedup.first_launch_stream(timed, "at", delay), "first_launches")
-    store = tables.launch_table(paths.tables)
+def launch_job(source: DataFrame, paths: JobPaths, once: bool = False) -> StreamingQuery:
+    """First launch per device and day into the launch store.
+
+    No state and no watermark: a batch is compared with what is stored for its own days,
+    so a launch is kept however late it comes.
+    """
+    decoded = metrics.observed(decoded_launches(source), "launches")
+    store = launch_store(paths.tables).create(source.sparkSession)
 
     def write(batch: DataFrame, batch_id: int, query: str) -> None:
-        store.upsert(tables.upper_case(batch.select(*schemas.LAUNCH.names)), batch_id, writer=query)
+        store.add(batch, batch_id, query)
 
-    return _start(_per_batch(first, write, "launches"), paths.checkpoint("launches"), once)
+    return _start(_per_batch(decoded, write, "launches"), paths.checkpoint("launches"), once)
 
 
 def order_job(source: DataFrame, paths: JobPaths, once: bool = False) -> StreamingQuery:
     """Orders with masked phone into the order table; the latest record of an id wins."""
     good = metrics.observed(ingest.accepted(flagged_orders(source)), "orders")
-    store = tables.order_table(paths.tables)
+    store = tables.order_table(paths.tables).create(source.sparkSession)
 
     def write(batch: DataFrame, batch_id: int, query: str) -> None:
         store.upsert(tables.upper_case(batch), batch_id, ["TIMESTAMP", "OFFSET"], query)
@@ -109,7 +116,7 @@ def order_job(source: DataFrame, paths: JobPaths, once: bool = False) -> Streami
 def user_job(source: DataFrame, paths: JobPaths, once: bool = False) -> StreamingQuery:
     """The latest record of every user into the user table."""
     good = ingest.accepted(flagged_users(source))
-    store = tables.user_table(paths.tables)
+    store = tables.user_table(paths.tables).create(source.sparkSession)
 
     def write(batch: DataFrame, batch_id: int, query: str) -> None:
         store.upsert(batch, batch_id, ["timestamp", "offset"], query)
@@ -125,16 +132,20 @@ def matched_sales(
     delay: str = "10 seconds",
     salts: int = 4,
 ) -> DataFrame:
-    """Lines with their orders from the two streams, joined on source time."""
+    """Lines with their orders from the two streams, joined on source time.
+
+    A line whose order can no longer come has a null order.
+    """
     orders = ingest.accepted(flagged_orders(order_source))
     lines = ingest.accepted(flagged_lines(line_source))
     o = orders.select(
         "id", "order_status", "create_time", "user_id", "create_date", F.col("timestamp").alias("order_at")
     )
     l = lines.select("id", "order_id", "sku_id", "sku_price", "sku_name", F.col("timestamp").alias("line_at"))
-    joined = joins.late_join_stream(l, o, before_seconds, after_seconds, delay=delay, salts=salts)
+    joined = joins.late_join_stream(l, o, before_seconds, after_seconds, delay=delay, salts=salts, unmatched=True)
     # The order's time tells which of two records of one order is the later.
-    return joins.merge_sale(joined, F.col("order.order_at"))
+    line = F.when(F.col("order").isNull(), F.struct("order_id", "id", "sku_id", "sku_name", "line_at"))
+    return joins.merge_sale(joined, F.col("order.order_at"), line.alias("unmatched"))
 
 
 def sale_job(
@@ -147,12 +158,15 @@ def sale_job(
 ) -> StreamingQuery:
     """Sale details with the user as known when the batch runs, into the sale table.
 
-    ``as_of`` is the day ages are counted to, by default the current one; ``limits``
-    go to :func:`matched_sales`.
+    Lines that stay without an order go to the table of unmatched lines. ``as_of`` is the
+    day ages are counted to, by default the current one; ``limits`` go to
+    :func:`matched_sales`.
     """
-    sales = metrics.observed(matched_sales(order_source, line_source, **limits), "sales")
-    store = tables.sale_table(paths.tables)
-    users = tables.user_table(paths.tables)
+    spark = order_source.sparkSession
+    joined = metrics.observed(matched_sales(order_source, line_source, **limits), "sales")
+    store = tables.sale_table(paths.tables).create(spark)
+    users = tables.user_table(paths.tables).create(spark)
+    expired = tables.unmatched_table(paths.tables).create(spark)
     today = as_of if as_of is not None else F.current_date()
 
     def write(batch: DataFrame, batch_id: int, query: str) -> None:
@@ -160,15 +174,20 @@ def sale_job(
         try:
             if not batch.count():
                 return
-            # The size is known now: Spark broadcasts the ids if they are few.
-            known = users.read(batch.sparkSession, wanted=joins.user_ids(batch))
-            full = joins.with_users(batch, known, today)
+            lines = batch.where("unmatched is not null").select("unmatched.*")
+            day = F.date_format("line_at", "yyyy-MM-dd").alias("day")
+            expired.upsert(lines.select("*", day), batch_id, ["line_at"], query)
+            sales = batch.where("unmatched is null")
+            # The size is known now: Spark broadcasts the ids if they are few, and only
+            # the buckets that hold them are read.
+            known = users.read(batch.sparkSession, wanted=joins.user_ids(sales))
+            full = joins.with_users(sales, known, today)
             doc_id = values.sale_document_id(F.col("order_id"), F.col("order_detail_id"))
             store.upsert(full.withColumn("doc_id", doc_id), batch_id, ["order_at"], query)
         finally:
             batch.unpersist()
 
-    return _start(_per_batch(sales, write, "sales"), paths.checkpoint("sales"), once)
+    return _start(_per_batch(joined, write, "sales"), paths.checkpoint("sales"), once)
 
 
 def alert_stream(
@@ -191,7 +210,7 @@ def alert_stream(
 def alert_job(source: DataFrame, paths: JobPaths, once: bool = False, **options) -> StreamingQuery:
     """Coupon alerts, one per device and minute, into the alert table."""
     found = metrics.observed(alert_stream(source, **options), "alerts")
-    store = tables.alert_table(paths.tables)
+    store = tables.alert_table(paths.tables).create(source.sparkSession)
 
     def write(batch: DataFrame, batch_id: int, query: str) -> None:
         store.upsert(alerts.alert_per_minute(batch), batch_id, ["ts"], query)
@@ -259,8 +278,26 @@ def quarantine_job(source: DataFrame, name: str, paths: JobPaths, once: bool = F
     return _start(writer, paths.checkpoint(f"bad_{name}"), once)
 
 
+def late_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """``operator, rows``: what each stateful operator dropped as later than its watermark.
+
+    The counts are those of the query's progress reports, one row for each operator. An
+    aggregation counts what it has combined, other operators count the rows themselves.
+    """
+    counts: dict[tuple[int, str], int] = {}
+    for progress in query.recentProgress:
+        for place, operator in enumerate(progress.stateOperators):
+            key = (place, operator.operatorName)
+            counts[key] = counts.get(key, 0) + operator.numRowsDroppedByWatermark
+    rows = [(name, n) for (_, name), n in sorted(counts.items())]
+    return spark.createDataFrame(rows, "operator string, rows long")
+
+
 class StageCounts(StreamingQueryListener):
-    """Prints the counts that :func:`metrics.observed` took, per query and batch."""
+    """Prints the counts that :func:`metrics.observed` took, per query and batch.
+
+    Rows that a stateful operator dropped as too late are printed as well.
+    """
 
     def __init__(self, show: Callable[[str], None] = print):
         self._show = show
@@ -272,6 +309,10 @@ class StageCounts(StreamingQueryListener):
         progress = event.progress
         for stage, row in progress.observedMetrics.items():
             self._show(json.dumps({"query": progress.name, "batch": progress.batchId, "stage": stage, "rows": row.rows}))
+        for operator in progress.stateOperators:
+            if operator.numRowsDroppedByWatermark:
+                late = {"late": operator.operatorName, "rows": operator.numRowsDroppedByWatermark}
+                self._show(json.dumps({"query": progress.name, "batch": progress.batchId, **late}))
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -309,6 +350,22 @@ def start_all(
     ]
 
 
+def compacted(spark: SparkSession, paths: JobPaths, into: str) -> JobPaths:
+    """Merge every stored table into a fresh one below ``into``; jobs go on from there.
+
+    To be called between runs of the jobs: their checkpoints stay, so their next batches
+    are later than what is merged.
+    """
+    store = launch_store(paths.tables)
+    kept = [store.launches, store.devices, store.counts]
+    kept += [make(paths.tables) for make in (tables.order_table, tables.sale_table, tables.alert_table)]
+    kept += [tables.user_table(paths.tables), tables.unmatched_table(paths.tables)]
+    for table in kept:
+        name = table.path.removeprefix(paths.tables).lstrip("/")
+        table.create(spark).compact(spark, f"{into.rstrip('/')}/{name}")
+    return JobPaths(into, paths.checkpoints, paths.raw_logs)
+
+
 def start_collection(
     logs: DataFrame, changes_: DataFrame, sink: Callable[[DataFrame], DataStreamWriter], paths: JobPaths, once: bool = False
 ) -> list[StreamingQuery]:
