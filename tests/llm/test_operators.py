@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on the small tables and on edge cases."""
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -224,8 +225,10 @@ def test_whole_license_texts_and_short_notices(spark):
 
 
 def test_packing_round_trip(spark, documents, rows):
+    special = spark.createDataFrame([(-1, "a <|endoftext|> b"), (-2, "x<|endoftext|><|endoftext|>\n é")], "doc_id long, text string")
+    documents = documents.select("doc_id", "text").union(special)
+    rows = [*rows, *(tuple(r) for r in special.collect())]
     whole = Tokenizer.from_file(tokens.VOCABULARY)
-    whole.encode_special_tokens = True
     ids = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
     pieces = defaultdict(list)
     bins = defaultdict(list)
@@ -269,11 +272,23 @@ def test_plan_fills_windows_as_well_as_can_be():
 def test_encoder_agrees_with_the_tokenizers_library():
     encoder = tokens.Encoder()
     odd = ["", " ", "\n\n a  b\t c", "<|endoftext|> x", "日本語 と emoji 😀", "naïve café “quoted” – x", "a  b\r\n  c", "Ünïcode ĳ ǅ Ж"]
+    plain = Tokenizer.from_file(tokens.VOCABULARY)
+    assert 50256 in plain.encode("a <|endoftext|> b", add_special_tokens=False).ids
     for text in [*odd, *(t or "" for _, t in EDGES)]:
-        ids = encoder.exact.encode(text, add_special_tokens=False).ids
+        ids = plain.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == ids
 
 
+def test_encoder_cuts_long_texts_without_a_trace(monkeypatch):
+    monkeypatch.setattr(tokens, "STEP", 5)
+    encoder, plain = tokens.Encoder(), Tokenizer.from_file(tokens.VOCABULARY)
+    parts = ["<|endoftext|>", " ", "\n", "  ", "a", "it's", "<|", "é", "日", "😀", "12", ".", "\t", "\r\n"]
+    rng = np.random.default_rng(5)
+    for _ in range(2000):
+        text = "".join(rng.choice(parts, rng.integers(0, 25)))
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 # 6: languages
 
 
@@ -355,9 +370,29 @@ def test_mask_covers_assistant_texts(spark):
     assert chat.unescape(encoder.exact.decode(ids[mask == 1].tolist(), skip_special_tokens=False)) == "yes </s>no"
     assert (ids[ids >= first] - first).tolist() == [0, 1, 2] * 5
     assert sum(formatted[None]["loss_mask"]) == 1
-    digest = {r["conv_id"]: r for r in chat.conversation_digests(spark, turns).collect()}
+    digests = lambda turns: chat.conversation_digests(spark, chat.format_conversations(spark, turns)).collect()
+    digest = {r["conv_id"]: r for r in digests(turns)}
     assert (digest[1]["n_turns"], digest[1]["loss_chars"]) == (5, 10)
-    assert chat.conversation_digests(spark, turns.limit(0)).count() == 0
+    assert digests(turns.limit(0)) == []
+
+
+def test_long_conversations_are_cut_at_turns_and_read_back(spark, monkeypatch):
+    """One conversation in many parts, one text longer than a part, repeated turns."""
+    monkeypatch.setattr(chat, "PART_IDS", 50)
+    rows = [(7, i, ("user", "assistant")[i % 2], f"</s> turn {i} é😀 " * (1 + i % 3)) for i in range(300)]
+    rows += [(8, 0, "assistant", "[INST]" * 3000), (8, 1, "user", "x"), (7, 299, "assistant", "y"), (None, 0, "assistant", "z")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    parts = chat.format_conversations(spark, turns)
+    sizes = [(r["conv_id"], len(r["ids"])) for r in parts.collect()]
+    assert sum(c == 7 for c, _ in sizes) > 50 and max(n for c, n in sizes if c == 7) < 150
+    got = {r["conv_id"]: r for r in chat.conversation_digests(spark, parts).collect()}
+    for conv, n in ((8, 2), (None, 1)):
+        own = [r for r in rows if r[0] == conv]
+        said = "".join(f"{role}\n{text}\n" for _, _, role, text in own)
+        assert (got[conv]["n_turns"], got[conv]["turns_sha256"]) == (n, hashlib.sha256(said.encode()).hexdigest())
+    assert got[7]["n_turns"] == 301
+    trained = sorted((r for r in rows if r[0] == 7 and r[2] == "assistant"), key=lambda r: r[1])
+    assert got[7]["loss_chars"] == sum(len(r[3]) for r in trained)
 
 
 # 9: decontamination

@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
-from tradewake.llm.shared import read_table, small_batches
+from tradewake.llm.shared import Scratch, numbered, read_table, small_batches
 from tradewake.llm.tokens import RANKS, VOCABULARY, Encoder
 
 # The marks of this template, in the order of their ids.
@@ -61,7 +62,8 @@ def _segments(vocabulary: str, ranks: str | None):
     """Turns to turns with the ids of their role and text, each encoded on its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, ranks)
+        # No control string is left after escaping, so all is text.
+        encoder = Encoder(vocabulary, ranks, plain_text=True)
 
         def ids(texts: pa.Array) -> pa.Array:
             return pa.array([encoder.ids(escape(t.as_py() or "")) for t in texts], pa.binary())
@@ -110,48 +112,36 @@ def assemble(parts: list[tuple[bytes, bytes, bool]], first_mark: int) -> tuple[n
     return ids, np.cumsum(change[:-1]).astype(np.int8)
 
 
-def _by_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, tuple[bytes, bytes, bool]]]:
-    for batch in batches:
-        columns = [batch.column(c) for c in ("conv_id", "role_ids", "text_ids", "trained")]
-        for conv, role, text, trained in zip(*columns):
-            yield conv.as_py(), (role.as_py(), text.as_py(), trained.as_py())
+# Ids at which a part ends, at the next turn's end.
+PART_IDS = 1 << 16
 
-
-def _in_order(turns: DataFrame) -> DataFrame:
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "order_role", "order_text")
-
-
-# Ids and mask values put out in one row.
-PART_TURNS = 4096
+_PART = "conv_id long, part long, ids array<long>, loss_mask array<tinyint>"
 
 
 def _formatted(first_mark: int):
+    """Turns, in order of parts, to one row for each part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(conv, part, parts):
-            ids, mask = assemble(parts, first_mark)
-            return pa.RecordBatch.from_pylist(
-                [{"conv_id": conv, "part": part, "ids": ids.tolist(), "loss_mask": mask.tolist()}],
-                schema=kind,
+        def out(key, turns) -> pa.RecordBatch:
+            ids, mask = assemble(turns, first_mark)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (ids.astype(np.int64), mask)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), *lists],
+                names=["conv_id", "part", "ids", "loss_mask"],
             )
 
-        kind = pa.schema(
-            [
-                ("conv_id", pa.int64()),
-                ("part", pa.int64()),
-                ("ids", pa.list_(pa.int64())),
-                ("loss_mask", pa.list_(pa.int8())),
-            ]
-        )
-        here, part, parts = None, 0, []
-        for conv, turn in _by_turn(batches):
-            if parts and (conv != here or len(parts) == PART_TURNS):
-                yield out(here, part, parts)
-                part = part + 1 if conv == here else 0
-                parts = []
-            here = conv
-            parts.append(turn)
-        if parts:
-            yield out(here, part, parts)
+        here, turns = None, []
+        for batch in batches:
+            columns = [batch.column(c) for c in ("conv_id", "part", "role_ids", "text_ids", "trained")]
+            for conv, part, role, text, trained in zip(*columns):
+                key = (conv.as_py(), part.as_py())
+                if turns and key != here:
+                    yield out(here, turns)
+                    turns = []
+                here = key
+                turns.append((role.as_py(), text.as_py(), trained.as_py()))
+        if turns:
+            yield out(here, turns)
 
     return run
 
@@ -163,26 +153,33 @@ def format_conversations(
 
     Rows are ordered by turn; equal turns by hashes of role and text, so the order is
     stable. A null role or text is empty; a null turn comes first; rows without a
-    conv_id form one conversation. Repeated rows are repeated turns. A conversation of
-    more than 4096 turns gives several parts, so no row grows without bound. Texts of
-    the assistant are under the mask, nothing else. Other columns are not read.
+    conv_id form one conversation. Repeated rows are repeated turns. A conversation is
+    cut at turns into parts of some 65,536 ids, of which each is assembled by itself, so
+    neither a row nor a task grows with a conversation, only with one very long text.
+    Texts of the assistant are under the mask, nothing else. Other columns are not read.
     """
     first = Encoder(vocabulary, None).exact.get_vocab_size()
-    return _in_order(encoded_turns(spark, turns, vocabulary, ranks)).mapInArrow(
-        _formatted(first), "conv_id long, part long, ids array<long>, loss_mask array<tinyint>"
-    )
+    scratch = Scratch(spark)
+    encoded = scratch.save(encoded_turns(spark, turns, vocabulary, ranks), "encoded")
+    size = (F.octet_length("role_ids") + F.octet_length("text_ids")) / 4 + len(MARKS)
+    order = ["turn", "order_role", "order_text"]
+    placed = numbered(scratch, encoded.withColumn("size", size.cast("long")), ["conv_id"], order, "start", "turns", "size")
+    parts = placed.withColumn("part", F.floor(F.col("start") / PART_IDS))
+    dealt = parts.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "start")
+    return dealt.mapInArrow(_formatted(first), _PART)
 
 
 class Reader:
     """Reads assembled ids back, turn by turn, into digests of what they say."""
 
-    def __init__(self, encoder: Encoder, first_mark: int):
-        self.decode = lambda ids: encoder.exact.decode(ids.tolist(), skip_special_tokens=False)
+    def __init__(self, tokenizer: Tokenizer, first_mark: int):
+        self.decode = lambda ids: tokenizer.decode(ids.tolist(), skip_special_tokens=False)
         self.first_mark = first_mark
         self.turns = self.loss_chars = self.chars = 0
         self.whole, self.loss = hashlib.sha256(), hashlib.sha256()
 
     def read(self, ids: np.ndarray, mask: np.ndarray) -> None:
+        """A part: whole turns, and the mask that lies on them."""
         marks = np.flatnonzero(ids >= self.first_mark)
         for begin, middle, end in marks.reshape(-1, 3):
             role, text = self.decode(ids[begin + 1 : middle]), self.decode(ids[middle + 1 : end])
@@ -196,51 +193,53 @@ class Reader:
             self.loss.update(text.encode())
 
 
+_DIGEST = (
+    "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+)
+
+
 def _digests(vocabulary: str, first_mark: int):
+    """Parts, in order, to one row for each conversation."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, None)
-        rows: list[tuple] = []
-        here, reader = None, None
+        tokenizer = Tokenizer.from_file(vocabulary)
+        here, reader, rows = None, None, []
 
-        def batch_of(rows):
-            columns = list(zip(*rows))
+        def out() -> pa.RecordBatch:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=names
-            )
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-        def row(conv, r):
+        def row(conv, r: Reader) -> tuple:
             return conv, r.turns, r.whole.hexdigest(), r.loss_chars, r.loss.hexdigest(), r.chars
 
-        # A turn at a time goes through the assembled form, so a long conversation is no burden.
-        for conv, turn in _by_turn(batches):
-            if reader is None or conv != here:
-                if reader is not None:
-                    rows.append(row(here, reader))
-                    if len(rows) == 1000:
-                        yield batch_of(rows)
-                        rows = []
-                here, reader = conv, Reader(encoder, first_mark)
-            reader.read(*assemble([turn], first_mark))
+        for batch in batches:
+            ids, masks = batch.column("ids"), batch.column("loss_mask")
+            for i, conv in enumerate(batch.column("conv_id").to_pylist()):
+                if reader is None or conv != here:
+                    if reader is not None:
+                        rows.append(row(here, reader))
+                    here, reader = conv, Reader(tokenizer, first_mark)
+                reader.read(ids[i].values.to_numpy(), masks[i].values.to_numpy())
+            if rows:
+                yield out()
+                rows = []
         if reader is not None:
             rows.append(row(here, reader))
-        if rows:
-            yield batch_of(rows)
+            yield out()
 
     return run
 
 
-def conversation_digests(
-    spark: SparkSession, turns: DataFrame, vocabulary: str = VOCABULARY, ranks: str | None = RANKS
-) -> DataFrame:
-    """Counts and digests of every conversation, read back from its assembled ids."""
-    first = Encoder(vocabulary, None).exact.get_vocab_size()
-    return _in_order(encoded_turns(spark, turns, vocabulary, ranks)).mapInArrow(
-        _digests(vocabulary, first),
-        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
-        "formatted_chars long",
-    )
+def conversation_digests(spark: SparkSession, parts: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Counts and digests of every conversation, read back from ``format_conversations``' rows.
+
+    Parts of a conversation are read one after the other, as its digest needs.
+    """
+    small_batches(spark)
+    first = Tokenizer.from_file(vocabulary).get_vocab_size()
+    dealt = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return dealt.mapInArrow(_digests(vocabulary, first), _DIGEST)
 
 
 def with_control_conversation(spark: SparkSession, turns: DataFrame) -> DataFrame:
@@ -253,4 +252,6 @@ def with_control_conversation(spark: SparkSession, turns: DataFrame) -> DataFram
 
 def op8_token_level_chat(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and conversation -7, formatted and read back."""
-    return conversation_digests(spark, with_control_conversation(spark, read_table(spark, folder, "conversations")))
+    turns = with_control_conversation(spark, read_table(spark, folder, "conversations"))
+    parts = Scratch(spark).save(format_conversations(spark, turns), "formatted")
+    return conversation_digests(spark, parts)

@@ -56,16 +56,24 @@ class Scratch:
 
 
 def numbered(
-    scratch: Scratch, rows: DataFrame, group: Sequence[str], order: Sequence[str], to: str, name: str
+    scratch: Scratch,
+    rows: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    to: str,
+    name: str,
+    weight: str | None = None,
 ) -> DataFrame:
     """Number the rows of each group from 0, in ``order``, without gaps.
 
-    No group meets in one task: the rows are dealt by ranges of (group, order), each
-    chunk numbers its own part, and the chunks' counts give the first number of each.
+    With ``weight``, a column of whole numbers, a row's number is the sum of the weights
+    before it. No group meets in one task: the rows are dealt by ranges of (group, order),
+    each chunk numbers its own part, and the chunks' sums give the first number of each.
     Rows equal in ``order`` are told apart by their place in the input, so a value that
-    repeats without end is split as well.
+    repeats without end is split as well. Null is a group like any other.
     """
     keys = [*group, *order]
+    step = F.col(weight) if weight else F.lit(1)
     placed = scratch.save(
         rows.withColumn("_place", F.monotonically_increasing_id())
         .repartitionByRange(*keys, "_place")
@@ -76,16 +84,20 @@ def numbered(
     before = W.partitionBy(*group).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     first = (
         placed.groupBy(*part)
-        .agg(F.count("*").alias("_n"))
+        .agg(F.sum(step).alias("_n"))
         .withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+        .select("_first", *[F.col(c).alias(f"_of_{c}") for c in part])
     )
-    within = F.row_number().over(W.partitionBy(*part).orderBy(*order, "_place")) - 1
+    same = F.lit(True)
+    for c in part:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    earlier = W.partitionBy(*part).orderBy(*order, "_place").rowsBetween(W.unboundedPreceding, -1)
+    within = F.coalesce(F.sum(step).over(earlier), F.lit(0))
     return (
         placed.withColumn("_within", within)
-        .join(first, part)
+        .join(first, same)
         .withColumn(to, (F.col("_first") + F.col("_within")).cast("long"))
-        .drop("_place", "_chunk", "_first", "_within")
+        .drop("_place", "_chunk", "_first", "_within", *[f"_of_{c}" for c in part])
     )
 
 
