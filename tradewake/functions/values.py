@@ -72,18 +72,23 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_A_WORD), "")
 
 
-def last_of_each(entries: Column, name: str) -> Column:
-    """Entries of an array of structs without those whose ``name`` comes again later.
+def latest_first(entries: Column, name: str) -> Column:
+    """Name and place of every entry of an array of structs: by name, later places first."""
+    return F.array_sort(F.transform(entries, lambda e, i: F.struct(e[name].alias("name"), (-i).alias("back"))))
 
-    ``entries`` has to be a plain column: it is read again for every entry.
+
+def last_of_each(entries: Column, ordered: Column) -> Column:
+    """The entries without those whose name is null or comes again later, in order.
+
+    ``ordered`` is the :func:`latest_first` of ``entries``. Both have to be plain columns,
+    as they are looked up by place: one sort and one pass, however often names repeat.
     """
-    return F.filter(
-        entries,
-        lambda entry, i: ~F.exists(
-            F.slice(entries, i + F.lit(2), F.size(entries)),
-            lambda later: later[name].eqNullSafe(entry[name]),
-        ),
+    first = F.filter(
+        ordered,
+        lambda x, k: x["name"].isNotNull() & ~F.coalesce(F.get(ordered, k - 1)["name"] == x["name"], F.lit(False)),
     )
+    places = F.array_sort(F.transform(first, lambda x: -x["back"]))
+    return F.transform(places, lambda i: F.get(entries, i))
 
 
 def once(value: Column) -> Column:

@@ -56,12 +56,20 @@ def window_state(
 def alerting(state: DataFrame, threshold: int) -> DataFrame:
     """Windows with at least ``threshold`` coupon accounts and no view, as alerts.
 
-    ``events`` lists every event of the window; its order is not defined.
+    ``events`` says of every event of the window how often it happened; a device that
+    floods the input has no longer list than others.
     """
-    events = F.flatten(
-        F.transform(
-            "event_counts", lambda e: F.array_repeat(e["evid"], e["n"].cast("int"))
-        )
+    kinds = F.array_sort(F.array_distinct(F.transform("event_counts", lambda e: e["evid"])))
+    events = F.transform(
+        kinds,
+        lambda kind: F.struct(
+            kind.alias("evid"),
+            F.aggregate(
+                F.filter("event_counts", lambda e: e["evid"].eqNullSafe(kind)),
+                F.lit(0).cast("bigint"),
+                lambda total, e: total + e["n"],
+            ).alias("n"),
+        ),
     )
     return state.where((F.size("accounts") >= threshold) & (F.col("views") == 0)).select(
         "mid",

@@ -35,14 +35,13 @@ def route_changes(changes: DataFrame) -> DataFrame:
     )
 
 
-def after_image(columns: Column) -> Column:
-    """JSON object of a row's columns. A repeated name keeps its last value."""
-    named = F.filter(values.last_of_each(columns, "name"), lambda c: c["name"].isNotNull())
-    return F.to_json(F.map_from_entries(named))
-
-
 def after_images(routed: DataFrame) -> DataFrame:
-    """One ``(topic, value)`` record per changed row."""
-    return routed.select("topic", F.explode("rows").alias("row")).select(
-        "topic", after_image(F.col("row")).alias("value")
-    )
+    """One ``(topic, value)`` record per changed row: the JSON object of its columns.
+
+    A repeated name keeps its last value; a column without a name is left out.
+    """
+    rows = routed.select("topic", F.explode("rows").alias("row"))
+    # Put out by a generator, so that what is looked up is not sorted anew each time.
+    ordered = rows.select("topic", "row", values.once(values.latest_first(F.col("row"), "name")).alias("ordered"))
+    last = values.last_of_each(F.col("row"), F.col("ordered"))
+    return ordered.select("topic", F.to_json(F.map_from_entries(last)).alias("value"))

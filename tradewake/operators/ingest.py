@@ -88,8 +88,10 @@ def stamp(records: DataFrame, at_millis: Column | None = None) -> DataFrame:
     """
     now = (at_millis if at_millis is not None else F.unix_millis(F.current_timestamp())).cast("bigint")
     given = F.map_entries(F.from_json("value", "map<string,variant>"))
-    fields = F.map_from_entries(values.last_of_each(F.col("_g"), "key"))
-    rows = records.select("*", values.once(given).alias("_g")).select("*", values.once(fields).alias("_f"))
+    fields = F.map_from_entries(values.last_of_each(F.col("_g"), F.col("_o")))
+    rows = records.select("*", values.once(given).alias("_g"))
+    rows = rows.select("*", values.once(values.latest_first(F.col("_g"), "key")).alias("_o"))
+    rows = rows.select("*", values.once(fields).alias("_f"))
     others = F.map_filter("_f", lambda name, _: name != "ts")
     return rows.select(
         *[

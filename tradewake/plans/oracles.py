@@ -71,18 +71,19 @@ def _windows(window: int, slide: int) -> str:
     SELECT mid, start_s, count(DISTINCT uid) FILTER (evid = 'coupon') AS accounts,
            coalesce(array_to_string(list_sort(list(DISTINCT uid) FILTER (evid = 'coupon')), ','), '') AS uids,
            coalesce(array_to_string(list_sort(list(DISTINCT itemid) FILTER (evid = 'coupon')), ','), '') AS items,
-           array_to_string(list_sort(list(evid)), ',') AS event_list,
+           array_to_string(list_sort(list_transform(map_entries(histogram(evid)), lambda e: e.key || ':' || e.value)),
+               ',') AS event_list,
            count(*) AS events, CAST(max(CASE WHEN evid = 'clickItem' THEN 1 ELSE 0 END) AS INTEGER) AS views
     FROM slot GROUP BY mid, start_s)"""
 
 
-def _alerts(window: int, slide: int, threshold: int, closed: str = "true") -> str:
+def _alerts(window: int, slide: int, threshold: int) -> str:
     return f"""WITH {_windows(window, slide)}, alert AS (
     SELECT *, (start_s + {window}) * 1000 AS end_ms, make_timestamp((start_s + {window}) * 1000000) AS end_at
     FROM state WHERE accounts >= {threshold} AND views = 0)
     SELECT strftime(end_at, '%Y-%m-%d') AS day, mid || '-' || strftime(end_at, '%H:%M') AS doc_id, mid, uids,
            items AS item_ids, event_list AS events, CAST(end_ms AS BIGINT) AS ts
-    FROM alert WHERE {closed}
+    FROM alert
     QUALIFY row_number() OVER (PARTITION BY mid, date_trunc('minute', end_at) ORDER BY end_at DESC) = 1"""
 
 
@@ -353,8 +354,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN user_level = 'BUILDING' THEN 'VIP' ELSE user_level END AS user_level,
         strftime(born, '%Y-%m-%d') AS birthday, gender FROM user_info""",
     "stream_first_launches": f"""WITH {_LAUNCH} SELECT DISTINCT mid AS "MID", log_date AS "LOGDATE" FROM launch""",
-    "stream_alerts": _alerts(q.WINDOW, q.SLIDE, config.ALERT_ACCOUNTS,
-                             "end_at <= (SELECT max(ts) FROM event) - INTERVAL 1 HOUR"),
+    "stream_alerts": _alerts(q.WINDOW, q.SLIDE, config.ALERT_ACCOUNTS),
     "stream_sales": f"""WITH {_SALE}, times AS (
         SELECT d.id, d.order_id, d.sku_id, d.sku_price FROM order_detail d JOIN order_info o ON d.order_id = o.id
         AND o.order_at BETWEEN d.line_at - INTERVAL {q.AFTER // 86400} DAY AND d.line_at + INTERVAL {q.BEFORE // 86400} DAY),

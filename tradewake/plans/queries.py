@@ -283,7 +283,7 @@ def _alert_columns(found: DataFrame) -> DataFrame:
         "mid",
         F.array_join("uids", ",").alias("uids"),
         F.array_join("itemIds", ",").alias("item_ids"),
-        _joined("events").alias("events"),
+        _joined(F.transform("events", lambda e: F.concat_ws(":", e["evid"], e["n"]))).alias("events"),
         "ts",
     )
 
@@ -710,10 +710,24 @@ def sale_expiry_audit(spark, folder):
 
 @query
 def stream_alerts(spark, folder):
-    """Alerts of the windows that are closed an hour before the last event."""
+    """Alerts of all windows: two later records of another device close them."""
     paths = _paths(spark)
-    source = d.event_records(spark, folder, d.stream_table)
-    _finish(jobs.alert_job(source, paths, once=True, window_seconds=WINDOW, slide_seconds=SLIDE, delay="1 hour"))
+    topic = f"{shared_folder(spark)}/topic"
+    records = d.event_records(spark, folder)
+    records.write.parquet(topic)
+
+    def run() -> None:
+        source = topics.file_source(spark, topic)
+        _finish(jobs.alert_job(source, paths, once=True, window_seconds=WINDOW, slide_seconds=SLIDE, delay="1 hour"))
+
+    run()
+    for step in (1, 2):
+        # The first one lets go of the panes, the second one of the windows.
+        at = F.max("timestamp") + F.expr(f"interval {2 * step * WINDOW} seconds")
+        line = F.to_json(F.struct(F.lit("closing").alias("mid"), F.lit("addCart").alias("evid"), F.unix_millis("timestamp").alias("ts")))
+        last = records.agg(at.alias("timestamp")).select(line.alias("value"), "timestamp", F.lit(0).cast("bigint").alias("offset"))
+        last.write.mode("append").parquet(topic)
+        run()
     return _alert_columns(tables.alert_table(paths.tables).read(spark))
 
 

@@ -67,7 +67,8 @@ COUPON_ALERT = _record(
     mid=T.StringType(),
     uids=T.ArrayType(T.StringType()),
     itemIds=T.ArrayType(T.StringType()),
-    events=T.ArrayType(T.StringType()),
+    # Each event with how often it happened.
+    events=T.ArrayType(_record(evid=T.StringType(), n=T.LongType())),
     ts=T.LongType(),
 )
 
