@@ -25,12 +25,6 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     def symmetric(edges: DataFrame) -> DataFrame:
         return edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def larger_below(edges: DataFrame, step: str) -> DataFrame:
-        both = symmetric(edges)
-        # Written, so that the join back, which can meet a hub, starts from plain shuffles.
-        low = scratch.save(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("low")), step)
-        return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-
     def smaller_below(edges: DataFrame) -> DataFrame:
         low = edges.groupBy("a").agg(F.min("b").alias("low"))
         moved = edges.join(low, "a").where("b != low")
@@ -38,24 +32,44 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
             low.select("a", F.col("low").alias("b"))
         )
 
-    def settled(edges: DataFrame) -> bool:
-        """Whether every node hangs below one node, which hangs below none."""
-        below = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
-        above = edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
-        nodes = below.union(above).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        return nodes.where("up > 1 or up = 1 and down = 1").isEmpty()
-
     ends = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = scratch.save(ends.distinct(), f"{name}_0")
     for round_ in range(1, ROUNDS):
-        if settled(edges):
+        both = symmetric(edges)
+        # Written, so that the join back, which can meet a hub, starts from plain shuffles.
+        around = scratch.save(
+            both.groupBy("a").agg(
+                F.min(F.least("a", "b")).alias("low"), F.count_if(F.col("b") < F.col("a")).alias("up"), F.count("*").alias("n")
+            ),
+            f"{name}_{round_}_low",
+        )
+        # Settled: every node hangs below one node at most, which hangs below none.
+        if around.where("up > 1 or up = 1 and n > 1").isEmpty():
             break
-        low = f"{name}_{round_}_low"
-        nearer = smaller_below(larger_below(edges, low)).where("a != b").distinct()
+        larger = both.where("b > a").join(around.select("a", "low"), "a")
+        larger_below = larger.select(F.col("b").alias("a"), F.col("low").alias("b"))
+        nearer = smaller_below(larger_below).where("a != b").distinct()
         edges = scratch.save(nearer, f"{name}_{round_}")
-        scratch.drop(low, f"{name}_{round_ - 1}")
+        scratch.drop(f"{name}_{round_}_low", f"{name}_{round_ - 1}")
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def extended(scratch: Scratch, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """The components (as of :func:`components`) with more links.
+
+    Links are drawn between the components that their ends are in, so what has been found
+    is not looked at again, and only components that meet are named anew.
+    """
+    of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("_a"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("_b"))
+    met = links.join(of_a, "a", "left").join(of_b, "b", "left")
+    between = met.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a != b")
+    moved = scratch.save(components(scratch, between, name), f"{name}_moved")
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    known = labels.join(to, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    new = moved.join(labels.select("node"), "node", "left_anti").select("node", "component")
+    return scratch.save(known.union(new), f"{name}_labels")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewake.llm import words as H
-from tradewake.llm.components import components
+from tradewake.llm.components import components, extended
 from tradewake.llm.shared import Scratch, read_table, row_mark, small_batches
 
 WIDTH = 5
@@ -211,7 +211,9 @@ def confirmed(scratch: Scratch, texts: DataFrame, pairs: DataFrame, name: str) -
         F.lit(True).alias("is_hub"),
     )
     own = texts.withColumnRenamed("doc_id", "b")
-    rows = members.union(hubs).join(own.hint("merge"), "b").select("a", "cell", "b", "is_hub", "text")
+    # Written, so that texts are read where they lie if few of them are asked for.
+    asked = scratch.save(members.union(hubs), f"asked_{name}")
+    rows = asked.join(own, "b").select("a", "cell", "b", "is_hub", "text")
     return (
         rows.repartition("a", "cell")
         .sortWithinPartitions("a", "cell", F.desc("is_hub"))
@@ -273,8 +275,8 @@ def _block_pairs(best_only: bool):
 
 def open_pairs(
     scratch: Scratch, members: DataFrame, labels: DataFrame, nodes: DataFrame, best_only: bool, name: str
-) -> DataFrame:
-    """Pairs of near sketches that share a bucket but not a component.
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs of near sketches that share a bucket but not a component, and such buckets' members.
 
     In a bucket, the members outside its most frequent component are compared with all
     members of other components, block by block; a block pair holds 2 x BLOCK sketches.
@@ -292,10 +294,10 @@ def open_pairs(
         .select("key", "main", F.ceil(F.col("n") / BLOCK).alias("blocks")),
         f"mixed_{name}",
     )
-    placed = (
-        owned.join(mixed, "key")
-        .join(nodes.select("node", *_KNOWN, "bands"), "node")
-        .withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+    # Written for its size as well: what is still open is mostly little.
+    still = scratch.save(owned.join(mixed, "key"), f"open_{name}")
+    placed = still.join(nodes.select("node", *_KNOWN, "bands"), "node").withColumn(
+        "block", F.expr("pmod(xxhash64(node), blocks)")
     )
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     rest = ["node", "component", *_KNOWN, "bands"]
@@ -305,13 +307,14 @@ def open_pairs(
     asked = placed.select(
         "key", others.alias("i"), F.col("block").alias("j"), *rest, F.lit(False).alias("asks")
     )
-    return (
+    pairs = (
         asking.union(asked)
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j", F.desc("asks"))
         .mapInArrow(_block_pairs(best_only), "a long, b long")
         .distinct()
     )
+    return pairs, still.select("key", "node")
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
@@ -348,13 +351,13 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
     texts = scratch.save(texts.select("doc_id", "text").join(asked.hint("merge"), "doc_id"), "texts")
 
     # Rows of one document with different texts hold its nodes together.
-    held = (
-        signed.where("doc_id is not null")
-        .join(nodes.select("high", "low", "node"), ["high", "low"], "left")
-        .select("doc_id", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("a"))
+    differ = F.expr("min(high) != max(high) or min(low) != max(low)").alias("differ")
+    torn = signed.where("doc_id is not null").groupBy("doc_id").agg(differ).where("differ").select("doc_id")
+    own = signed.join(scratch.save(torn, "torn"), "doc_id").select("doc_id", "n_shingles", "high", "low")
+    held = own.join(nodes.select("high", "low", "node"), ["high", "low"], "left").select(
+        F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("a"), F.col("doc_id").alias("b")
     )
-    torn = held.groupBy("doc_id").agg(F.min("a").alias("b"), F.max("a").alias("c")).where("b != c")
-    links = scratch.save(held.join(torn, "doc_id").select("a", "b").where("a != b").distinct(), "links_0")
+    links = scratch.save(held.where("a != b").distinct(), "links_0")
 
     pairs = members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     sketches = known.select("node", *_KNOWN)
@@ -365,25 +368,19 @@ def near_duplicates(spark: SparkSession, documents: DataFrame) -> DataFrame:
         .select("a", "b"),
         "near_0",
     )
-    looked_at, labels = near, None
-    for step, best_only in enumerate((True, False, None), 1):
-        if labels is None or not near.isEmpty():
-            more = scratch.save(confirmed(scratch, texts, near, str(step)), f"links_{step}")
-            if labels is None or not more.isEmpty():
-                links = links.union(more)
-                labels = components(scratch, links, f"components_{step}")
-        if best_only is None:
-            break
-        near = scratch.save(
-            open_pairs(scratch, members, labels, known, best_only, str(step)).join(
-                looked_at, ["a", "b"], "left_anti"
-            ),
-            f"near_{step}",
-        )
-        # A node's best partner may have been looked at in vain, and another one not at all.
-        if not best_only and near.isEmpty():
-            break
+    links = links.union(scratch.save(confirmed(scratch, texts, near, "1"), "links_1"))
+    labels = scratch.save(components(scratch, links, "components_1"), "labels_1")
+    looked_at = near
+    # A node's best partner may have been looked at in vain, and another one not at all.
+    for step, best_only in ((2, True), (3, False)):
+        pairs, members = open_pairs(scratch, members, labels, known, best_only, str(step))
+        near = scratch.save(pairs.join(looked_at, ["a", "b"], "left_anti"), f"near_{step}")
+        if near.isEmpty():
+            continue
         looked_at = looked_at.union(near)
+        more = scratch.save(confirmed(scratch, texts, near, str(step)), f"links_{step}")
+        if not more.isEmpty():
+            labels = extended(scratch, labels, more, f"components_{step}")
 
     found = (
         signed.select("doc_id", "row_mark", "n_shingles", "high", "low")
