@@ -73,12 +73,12 @@ def base_counts(rows):
     return out
 
 
-def verdicts(counts, texts, groups, least, cut, core, steps, floor, consistency):
-    """Whether each document is kept, by a plain minimum covariance determinant."""
+def vectors(counts, texts):
+    """The statistics of each document that passes the base rules, by its place."""
     sound = [k for k, c in enumerate(counts) if not c[6]]
     upper = {k: sum(ch.isupper() for ch in texts[k]) for k in sound}
     lines = {k: sum(1 for x in texts[k].split("\n") if x.strip(" \t\n\x0b\x0c\r")) for k in sound}
-    x = {
+    return {
         k: np.array([
             np.log(counts[k][1]),
             np.log(counts[k][2] / counts[k][1]),
@@ -89,37 +89,28 @@ def verdicts(counts, texts, groups, least, cut, core, steps, floor, consistency)
         ])
         for k in sound
     }
-    pair, lang = defaultdict(list), defaultdict(list)
-    for k in sound:
-        pair[groups[k]].append(k)
-        lang[groups[k][0]].append(k)
-
-    def estimate(members):
-        rows = np.array([x[k] for k in members])
-        ranked = np.sort(rows, axis=0)
-        at = lambda q: ranked[max(0, int(np.ceil(q * len(ranked))) - 1)]
-        mean, cov = at(0.5), np.diag(((at(0.75) - at(0.25)) / 1.349) ** 2 + floor**2)
-        for _ in range(steps):
-            d = rows - mean
-            d2 = np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
-            near = rows[d2 <= np.sort(d2)[max(0, int(np.ceil(core * len(d2))) - 1)]]
-            mean = near.mean(axis=0)
-            cov = consistency * np.cov(near.T, bias=True) + np.diag(floor**2)
-        return mean, np.linalg.inv(cov)
-
-    known = {}
-    out = [False] * len(counts)
-    for k in sound:
-        key = groups[k] if len(pair[groups[k]]) >= least else (groups[k][0],) if len(lang[groups[k][0]]) >= least else ()
-        members = pair[key] if len(key) == 2 else lang[key[0]] if key else sound
-        if len(members) < least:
-            out[k] = True
-            continue
-        if key not in known:
-            known[key] = estimate(members)
-        mean, inverse = known[key]
-        out[k] = bool((x[k] - mean) @ inverse @ (x[k] - mean) <= cut)
-    return out
+
+
+def least_determinant(rows, core, factor, floor, starts=60, seed=1):
+    """(log determinant, mean, covariance) of the best of many random small starts."""
+    draw = np.random.default_rng(seed)
+    h = max(1, int(np.ceil(core * len(rows))))
+    best = None
+    for _ in range(starts):
+        near, last = rows[draw.choice(len(rows), rows.shape[1] + 2, replace=False)], None
+        while True:
+            mean, cov = near.mean(axis=0), factor * np.cov(near.T, bias=True) + np.diag(floor**2)
+            if len(near) >= h:  # not the few of the start
+                det = np.linalg.slogdet(cov)[1]
+                if last is not None and det >= last[0] - 1e-9:
+                    break
+                last = (det, mean, cov)
+            away = rows - mean
+            d2 = np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov), away)
+            near = rows[d2 <= np.sort(d2)[h - 1]]
+        if best is None or last[0] < best[0]:
+            best = last
+    return best
 
 
 TOKEN = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")

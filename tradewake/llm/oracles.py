@@ -4,7 +4,20 @@ from __future__ import annotations
 
 from tradewake.llm import collocations
 from tradewake.llm.chat import CONTROLS, MARKS
-from tradewake.llm.quality_rules import CONSISTENCY, CORE, CUT, LEAST, P, STEPS, SYMBOLS, VECTOR
+from tradewake.llm.quality_rules import (
+    CORE,
+    CUT,
+    FALL,
+    FIRST_CORE,
+    FIRST_STEPS,
+    LEAST,
+    MOST,
+    STARTS,
+    SYMBOLS,
+    VECTOR,
+    P,
+    consistency,
+)
 from tradewake.llm.sharding import DIGITS, SHARDS
 
 _BLANKS = r"[\x20\x09-\x0D]+"
@@ -219,22 +232,13 @@ def _distance() -> str:
     return " + ".join(f"({part}) * ({part})" for part in parts)
 
 
-def _first_estimate() -> str:
-    columns = [f"quantile_disc({x}, 0.5) AS m{i}" for i, x in enumerate(_X)]
-    for i, (x, least) in enumerate(VECTOR.items()):
-        spread = f"((quantile_disc({x}, 0.75) - quantile_disc({x}, 0.25)) / 1.349)"
-        columns += [f"0.0 AS w{i}{j}" for j in range(i)]
-        columns.append(f"1 / sqrt({spread} * {spread} + {least**2!r}) AS w{i}{i}")
-    return f"SELECT grp, {', '.join(columns)} FROM v GROUP BY grp HAVING count(*) >= {LEAST}"
-
-
-def _next_estimate(k: int) -> str:
-    """The estimate from the core of each group; the factor and its inverse by their formulas."""
+def _formulas(share: float) -> tuple[str, str, str]:
+    """Moments of the nearest share, the factor and its inverse, and the determinant's logarithm."""
     moments = [f"avg({x}) AS m{i}" for i, x in enumerate(_X)]
     least = list(VECTOR.values())
     for i, j in _LOWER:
         floor = f" + {least[i] ** 2!r}" if i == j else ""
-        moments.append(f"{CONSISTENCY!r} * covar_pop({_X[i]}, {_X[j]}){floor} AS c{i}{j}")
+        moments.append(f"{consistency(share)!r} * covar_pop({_X[i]}, {_X[j]}){floor} AS c{i}{j}")
     factor = []
     for i, j in _LOWER:
         rest = " - ".join([f"c{i}{j}", *(f"l{i}{n} * l{j}{n}" for n in range(j))])
@@ -242,26 +246,78 @@ def _next_estimate(k: int) -> str:
     for i, j in _LOWER:
         rest = " + ".join(f"l{i}{n} * w{n}{j}" for n in range(j, i))
         factor.append(f"1 / l{i}{i} AS w{i}{i}" if i == j else f"-({rest}) / l{i}{i} AS w{i}{j}")
+    return ", ".join(moments), ", ".join(factor), " + ".join(f"2 * ln(l{i}{i})" for i in range(P))
+
+
+def _estimate(name: str, measured: str, share: float) -> str:
+    """The estimates of each start from the nearest share."""
+    moments, factor, log_det = _formulas(share)
     return f"""
-    d{k} AS MATERIALIZED (
-        SELECT v.*, {_distance()} AS d2 FROM v JOIN e{k - 1} USING (grp)
-    ), core{k} AS MATERIALIZED (
-        SELECT * FROM d{k} JOIN (SELECT grp, quantile_disc(d2, {CORE}) AS radius FROM d{k} GROUP BY grp) USING (grp)
+    {name}_d AS MATERIALIZED ({measured}), {name}_core AS MATERIALIZED (
+        SELECT * FROM {name}_d JOIN (
+            SELECT grp, start, quantile_disc(d2, {share}) AS radius FROM {name}_d GROUP BY ALL) USING (grp, start)
         WHERE d2 <= radius
-    ), moments{k} AS MATERIALIZED (
-        SELECT grp, {", ".join(moments)} FROM core{k} GROUP BY grp
-    ), e{k} AS MATERIALIZED (
-        SELECT grp, {_WHITE} FROM (SELECT grp, {", ".join(_MEANS)}, {", ".join(factor)} FROM moments{k})
+    ), {name}_moments AS MATERIALIZED (
+        SELECT grp, start, {moments} FROM {name}_core GROUP BY grp, start
+    ), {name} AS MATERIALIZED (
+        SELECT grp, start, {_WHITE}, {log_det} AS log_det
+        FROM (SELECT grp, start, {", ".join(_MEANS)}, {factor} FROM {name}_moments)
     )"""
 
 
+def _starts() -> str:
+    z = [f"abs(({x} - q_{x}) / s_{x})" for x in _X]
+    size = {
+        "all": "0.0",
+        "euclid": " + ".join(f"{a} * {a}" for a in z),
+        "largest": f"greatest({', '.join(z)})",
+        "sum": " + ".join(z),
+    }
+    rows = " UNION ALL ".join(
+        f"SELECT grp, '{name}' AS start, {', '.join(_X)}, {size[name]} AS d2 FROM v JOIN quartiles USING (grp)" for name in STARTS
+    )
+    return _estimate("e0", rows, FIRST_CORE)
+
+
+def _quartile_columns() -> str:
+    columns = []
+    for x, least in VECTOR.items():
+        spread = f"((quantile_disc({x}, 0.75) - quantile_disc({x}, 0.25)) / 1.349)"
+        columns += [f"quantile_disc({x}, 0.5) AS q_{x}", f"sqrt({spread} * {spread} + {least**2!r}) AS s_{x}"]
+    return ", ".join(columns)
+
+
+def _nearer(name: str, before: str) -> str:
+    return _estimate(name, f"SELECT v.*, start, {_distance()} AS d2 FROM v JOIN {before} USING (grp)", CORE)
+
+
+def _settled() -> str:
+    """The best start's estimates, step by step as long as the determinant falls: the last that fell."""
+    moments, factor, log_det = _formulas(CORE)
+    return f"""b AS (
+    SELECT grp, start, {_WHITE}, log_det, 0 AS k, true AS falls FROM (SELECT * FROM e{FIRST_STEPS}
+        QUALIFY row_number() OVER (PARTITION BY grp ORDER BY round(log_det, 9), start) = 1)
+    UNION ALL
+    SELECT grp, start, {_WHITE}, log_det, k + 1, log_det < old_det - {FALL!r} FROM (
+        SELECT grp, start, k, old_det, {", ".join(_MEANS)}, {factor}, {log_det} AS log_det FROM (
+            SELECT grp, any_value(start) AS start, any_value(k) AS k, any_value(old_det) AS old_det, {moments}
+            FROM (SELECT *, quantile_disc(d2, {CORE}) OVER (PARTITION BY grp) AS radius FROM (
+                SELECT grp, start, k, log_det AS old_det, {", ".join(_X)}, {_distance()} AS d2
+                FROM v JOIN b USING (grp) WHERE falls))
+            WHERE d2 <= radius GROUP BY grp))
+    WHERE k < {MOST}
+), settled AS (
+    SELECT * FROM b WHERE falls QUALIFY row_number() OVER (PARTITION BY grp ORDER BY k DESC) = 1
+)"""
+
+
 def _grp(*parts: str) -> str:
     named = [f"coalesce('=' || {p}, '-')" for p in parts]
     return f"concat_ws(chr(10), {', '.join([repr(str(len(parts))), *named])})"
 
 
 OP7 = f"""
-WITH d AS (
+WITH RECURSIVE d AS (
     SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents
 ), parts AS (
     SELECT *, list_filter(string_split_regex(t, '{_BLANKS}'), lambda x: x <> '') AS words,
@@ -297,9 +353,11 @@ WITH d AS (
 ), v AS MATERIALIZED (
     SELECT * FROM (SELECT *, unnest([{_grp("lang", "source")}, {_grp("lang")}, {_grp()}]) AS grp FROM sound)
     WHERE grp IN (SELECT own FROM asked)
-), e0 AS MATERIALIZED ({_first_estimate()}), {", ".join(_next_estimate(k) for k in range(1, STEPS + 1))},
+), quartiles AS MATERIALIZED (
+    SELECT grp, {_quartile_columns()} FROM v GROUP BY grp HAVING count(*) >= {LEAST}
+), {_starts()}, {", ".join(_nearer(f"e{k}", f"e{k - 1}") for k in range(1, FIRST_STEPS + 1))}, {_settled()},
 far AS (
-    SELECT r, {_distance()} > {CUT!r} AS rejected FROM asked JOIN e{STEPS} ON own = grp
+    SELECT r, {_distance()} > {CUT!r} AS rejected FROM asked JOIN settled ON own = grp
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(rejected, false) AS kept

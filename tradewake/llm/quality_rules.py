@@ -2,9 +2,11 @@
 
 Each text gives six statistics. Per language and source, the minimum covariance
 determinant (MCD) method estimates their centre and covariance from the three quarters of
-the documents that lie closest together: starting from medians and quartiles, the
-documents nearest to the current estimate give the next one. A document far from the
-estimate in Mahalanobis distance is rejected.
+the documents whose covariance has the least determinant. Four starts, three of them from
+the half of the documents that is nearest to the medians by different measures, are
+refined: the documents nearest to an estimate give the next one. The start with the least
+determinant goes on until its determinant falls no more. A document far from the estimate
+in Mahalanobis distance is rejected.
 """
 
 from __future__ import annotations
@@ -19,9 +21,15 @@ from tradewake.llm.shared import Scratch, read_table, text_or_empty
 BLANKS = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 
-# Share of the documents that an estimate rests on, and how often it is refined.
+# Share of the documents that an estimate rests on, and that a start rests on.
 CORE = 0.75
-STEPS = 3
+FIRST_CORE = 0.5
+# By which size of the standardised statistics a start takes the nearest documents.
+STARTS = ("all", "euclid", "largest", "sum")
+# Steps that all starts take; the best one goes on until the logarithm of its determinant
+# falls by less than FALL. A step that makes it fall strictly never repeats a set of
+# documents, so it ends; MOST is out of reach.
+FIRST_STEPS, MOST, FALL = 2, 100, 1e-9
 # Fewer documents than this give no estimate of their own: the language's is taken, or
 # that of all documents, or none.
 LEAST = 50
@@ -29,13 +37,14 @@ LEAST = 50
 TAIL = 1e-6
 
 # Statistics and the least standard deviation that each is taken to have. Most of them
-# are 0 for most texts, so their plain deviations would vanish.
+# are 0 for most texts, so their plain deviations would vanish. Each is small enough for
+# the statistic to reach the cut by itself.
 VECTOR = {
     "log_words": 0.5,
     "log_word_length": 0.08,
     "symbol_share": 0.02,
-    "dup_line_share": 0.12,
-    "repeat_share": 0.12,
+    "dup_line_share": 0.08,
+    "repeat_share": 0.07,
     "upper_share": 0.03,
 }
 P = len(VECTOR)
@@ -67,8 +76,11 @@ def chi_square_quantile(q: float, degrees: int) -> float:
 
 
 CUT = chi_square_quantile(1 - TAIL, P)
-# The core's covariance is too small by this factor if the documents are normal.
-CONSISTENCY = CORE / chi_square_below(chi_square_quantile(CORE, P), P + 2)
+
+
+def consistency(share: float) -> float:
+    """By which factor the covariance of the nearest share is too small if documents are normal."""
+    return share / chi_square_below(chi_square_quantile(share, P), P + 2)
 
 
 def _placed(threes: Column) -> Column:
@@ -151,21 +163,29 @@ def distance() -> Column:
     return sum((part * part for part in parts), F.lit(0.0))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians as the centre, quartiles for the deviations, no correlation."""
-    quartiles = [F.percentile_approx(v, [0.25, 0.5, 0.75], 10000).alias(f"q_{v}") for v in VECTOR]
-    found = rows.groupBy("group").agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= LEAST)
-    means = [F.col(f"q_{v}")[1].alias(m) for v, m in zip(VECTOR, _MEANS)]
-    factors = []
-    for i, (v, least) in enumerate(VECTOR.items()):
-        spread = (F.col(f"q_{v}")[2] - F.col(f"q_{v}")[0]) / 1.349
-        factors += [F.lit(0.0).alias(f"w{i}{j}") for j in range(i)]
-        factors.append((1 / F.sqrt(spread * spread + least * least)).alias(f"w{i}{i}"))
-    return found.select("group", *means, *factors)
+def _sized(rows: DataFrame, quartiles: DataFrame) -> DataFrame:
+    """Every document for every start, with its size ``d2`` by that start's measure."""
+    z = [F.abs((F.col(v) - F.col(f"q_{v}")) / F.col(f"s_{v}")) for v in VECTOR]
+    zero = F.lit(0.0)
+    size = {"all": zero, "euclid": sum((x * x for x in z), zero), "largest": F.greatest(*z), "sum": sum(z, zero)}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("start"), size[name].alias("d2")) for name in STARTS]))
+    return rows.join(quartiles, "group").select("group", *VECTOR, each.alias("s")).select("group", "s.start", *VECTOR, "s.d2")
+
+
+def _quartiles(rows: DataFrame) -> DataFrame:
+    """Medians and deviations of the groups that are large enough."""
+    found = rows.groupBy("group").agg(
+        F.count("*").alias("n"), *[F.percentile_approx(v, [0.25, 0.5, 0.75], 10000).alias(f"p_{v}") for v in VECTOR]
+    )
+    columns = []
+    for v, least in VECTOR.items():
+        spread = (F.col(f"p_{v}")[2] - F.col(f"p_{v}")[0]) / 1.349
+        columns += [F.col(f"p_{v}")[1].alias(f"q_{v}"), F.sqrt(spread * spread + least * least).alias(f"s_{v}")]
+    return found.where(F.col("n") >= LEAST).select("group", *columns)
 
 
 def _whitening(moments: DataFrame) -> DataFrame:
-    """Means and covariances c_ij to means and the inverse of the Cholesky factor."""
+    """Means and covariances c_ij to means, the inverse of the Cholesky factor and the determinant."""
     rows = moments
     for i in range(P):
         for j in range(i + 1):
@@ -178,27 +198,63 @@ def _whitening(moments: DataFrame) -> DataFrame:
             else:
                 value = -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}")
             rows = rows.withColumn(f"w{i}{j}", value)
-    return rows.select("group", *_MEANS, *_FACTORS)
+    log_det = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(P)), F.lit(0.0))
+    return rows.select("group", "start", *_MEANS, *_FACTORS, log_det.alias("log_det"))
+
 
+def _of_nearest(scratch: Scratch, measured: DataFrame, share: float, name: str) -> DataFrame:
+    """The estimates from the share of each group and start whose ``d2`` is least.
 
-def _refined(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """The estimate from the CORE share of each group that is nearest to the last one."""
-    measured = rows.join(estimate, "group").select("group", *VECTOR, distance().alias("d2"))
-    radius = measured.groupBy("group").agg(F.percentile_approx("d2", CORE, 10000).alias("radius"))
-    core = measured.join(radius, "group").where("d2 <= radius")
-    names = list(VECTOR)
+    The radii are written, so that they are broadcast by their size and the sums combine
+    before they move.
+    """
+    key = ["group", "start"]
+    radius = F.percentile_approx("d2", share, 10000).alias("radius")
+    radii = scratch.save(measured.groupBy(*key).agg(radius), f"radius_{name}")
+    core = measured.join(radii, key).where("d2 <= radius")
+    names, least = list(VECTOR), list(VECTOR.values())
     means = [F.avg(v).alias(m) for v, m in zip(names, _MEANS)]
-    spreads = [
-        F.covar_pop(names[i], names[j]).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)
-    ]
-    moments = core.groupBy("group").agg(*means, *spreads)
-    least = list(VECTOR.values())
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    spreads = [F.covar_pop(names[i], names[j]).alias(f"s{i}{j}") for i, j in pairs]
+    moments = core.groupBy(*key).agg(*means, *spreads)
     covariances = [
-        (CONSISTENCY * F.col(f"s{i}{j}") + (least[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}")
-        for i in range(P)
-        for j in range(i + 1)
+        (consistency(share) * F.col(f"s{i}{j}") + (least[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in pairs
     ]
-    return _whitening(moments.select("group", *_MEANS, *covariances))
+    return scratch.save(_whitening(moments.select(*key, *_MEANS, *covariances)), f"estimate_{name}")
+
+
+def _step(scratch: Scratch, rows: DataFrame, estimate: DataFrame, name: str) -> DataFrame:
+    """The estimates from the documents nearest to the given ones."""
+    measured = rows.join(estimate, "group").select("group", "start", *VECTOR, distance().alias("d2"))
+    return _of_nearest(scratch, measured, CORE, name)
+
+
+def _least(estimate: DataFrame) -> DataFrame:
+    """Of each group the start with the least determinant."""
+    best = F.min(F.struct(F.round("log_det", 9).alias("d"), F.col("start").alias("s"))).alias("best")
+    chosen = estimate.groupBy("group").agg(best).select("group", F.col("best.s").alias("start"))
+    return estimate.join(chosen, ["group", "start"])
+
+
+def least_determinant(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """The MCD estimate of each group of ``rows`` (group and the vector)."""
+    quartiles = scratch.save(_quartiles(rows), "quartiles")
+    estimate = _of_nearest(scratch, _sized(rows, quartiles), FIRST_CORE, "0")
+    for step in range(1, FIRST_STEPS + 1):
+        estimate = _step(scratch, rows, estimate, str(step))
+    moving = scratch.save(_least(estimate), "moving_0")
+    done = None
+    for step in range(1, MOST):
+        new = _step(scratch, rows, moving, f"more_{step}").withColumnRenamed("log_det", "new_det")
+        met = moving.select("group", F.col("log_det").alias("old_det")).join(new, "group")
+        falls = F.col("new_det") < F.col("old_det") - FALL
+        lower = scratch.save(met.where(falls).withColumnRenamed("new_det", "log_det").drop("old_det"), f"moving_{step}")
+        still = moving.join(lower.select("group"), "group", "left_anti")
+        done = still if done is None else done.unionByName(still)
+        moving = lower
+        if moving.isEmpty():
+            break
+    return done.unionByName(moving)
 
 
 def estimates(scratch: Scratch, statistics: DataFrame) -> DataFrame:
@@ -225,9 +281,7 @@ def estimates(scratch: Scratch, statistics: DataFrame) -> DataFrame:
         F.explode(F.array(_group("lang", "source"), _group("lang"), _group())).alias("group"), *VECTOR
     )
     rows = scratch.save(at.join(wide, "group", "left_semi"), "vectors")
-    estimate = scratch.save(_start(rows), "estimate_0")
-    for step in range(1, STEPS + 1):
-        estimate = scratch.save(_refined(rows, estimate), f"estimate_{step}")
+    estimate = least_determinant(scratch, rows).drop("start", "log_det")
     return scratch.save(chosen.join(estimate, "group").drop("group"), "estimates")
 
 
