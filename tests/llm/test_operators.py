@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -100,6 +101,32 @@ def test_quality_of_unlabelled_documents(spark):
     assert scored.count() == 1000 and len(asked) > 100 and right > 0.85
 
 
+def test_exchange_uses_all_sure_documents_and_helps_with_few_labels(spark, monkeypatch):
+    """Thirty labels of each class: the exchange changes the views and their balanced accuracy."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    by = Window.partitionBy("quality").orderBy(F.md5(F.col("doc_id").cast("string")))
+    some = labels.withColumn("k", F.row_number().over(by)).where("k <= 30").drop("k")
+    rest = labels.join(some.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("quality").alias("truth"))
+
+    def balanced(rounds):
+        told = cotraining.quality_scores(spark, docs, some, rounds=rounds).join(rest, "doc_id").collect()
+        good, truth = (np.array([r[c] for r in told]) for c in ("kept", "truth"))
+        return (np.mean(good[truth == 1]) + np.mean(~good[truth == 0])) / 2
+
+    assert balanced(3) > balanced(0) > 0.9
+    rows = docs.select("doc_id", "text", "lang", "source", F.length("text").cast("double").alias("chars"))
+    a, b, _ = cotraining.train(Scratch(spark), rows, some, "quality", 0)
+    monkeypatch.setattr(cotraining, "SURE", 0.0)
+    sums = rows.repartition(7).mapInArrow(cotraining._sure_sums((a, b), np.array([5, 6])), cotraining._SUMS)
+    added = sums.repartition("by", "y", "cell").mapInArrow(cotraining._added_sums, cotraining._SUMS).collect()
+    assert len(added) <= 4 * cotraining.CELLS
+    # However sure: each view gives every other document to both classes once.
+    assert Counter({(r["by"], r["y"]): 0 for r in added}) | sum((Counter({(r["by"], r["y"]): r["n"]}) for r in added), Counter()) == Counter(
+        {(by, y): docs.count() - 2 for by in (0, 1) for y in (0, 1)}
+    )
+
+
 def test_quality_of_edge_cases(spark, edges, no_documents):
     kind = "doc_id long, quality int, toxic int, text string"
     none = spark.createDataFrame([(1, None, 0, "x"), (None, 1, 0, "x"), (2, 5, 0, "x")], kind)

@@ -2,13 +2,15 @@
 
 The content view sees hashed byte trigrams of the text; the metadata view sees language,
 source, length and layout. Each is a logistic regression. In each round, all documents
-without a label are scored, and the ones about which a view is surest are labelled by it
-for the other view. At last each view is calibrated on labelled documents that it was
+that no label was used of are scored where they lie, and those about which a view is sure
+are labelled by it for the other view. They move as sums of features, so their number has
+no bound. At last each view is calibrated on labelled documents that it was
 not fitted to, and the calibrated views are added up to score every document.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,13 +23,17 @@ from tradewake.llm import words as H
 from tradewake.llm.shared import Scratch, read_table, small_batches
 
 # Labelled documents that the views are fitted to and calibrated on: those with the least
-# hashes of their ids. Nothing else is bounded.
+# hashes of their ids. All documents beside them are scored in each round.
 LABELLED = 6000
 # One in so many of them calibrates.
 CALIBRATES = 5
 ROUNDS = 3
-# Documents that a view labels for the other one, per round and class, if it is so sure.
-GIVEN, SURE = 100, 0.95
+# A view labels every document for the other one that it is so sure of. The documents of a
+# class are given as the means of CELLS groups of languages and sources, each as heavy as
+# it has documents, and together as heavy as GIVEN_WEIGHT times the labelled ones.
+SURE = 0.95
+CELLS = 64
+GIVEN_WEIGHT = 0.3
 KEPT_FROM = 0.5
 
 CONTENT_BITS = 11
@@ -95,12 +101,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 150) -> Logistic:
-    """Accelerated gradient descent; the classes weigh the same, whatever their sizes."""
-    mean = x.mean(axis=0)
-    scale = 1 / (x.std(axis=0) + np.float32(1e-3))
+def fit(x: np.ndarray, y: np.ndarray, rows: np.ndarray, own: int, ridge: float = 1e-3, steps: int = 150) -> Logistic:
+    """Accelerated gradient descent; the classes weigh the same, whatever the weights of their rows.
+
+    Features are scaled by the first ``own`` rows, those of labelled documents: means of
+    many documents vary less.
+    """
+    mean = x[:own].mean(axis=0)
+    scale = 1 / (x[:own].std(axis=0) + np.float32(1e-3))
     z = np.hstack([(x - mean) * scale, np.ones((len(x), 1), np.float32)]).astype(np.float32)
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    weight = np.where(y == 1, 0.5 / rows[y == 1].sum(), 0.5 / rows[y == 0].sum()) * rows
     v = np.ones(z.shape[1], np.float32)
     for _ in range(20):  # the largest curvature, by power steps
         v = z.T @ (weight * (z @ v)).astype(np.float32)
@@ -156,38 +166,64 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LABELLED = "doc_id long, y int, content binary, metadata binary"
 
 
-def _surest(models: tuple[Logistic, Logistic]):
-    """Documents to the ones of the task that a view is surest of, with the views of each."""
+def _cells(batch: pa.RecordBatch) -> np.ndarray:
+    """A number below CELLS for each document's language and source."""
+    parts = [batch.column(c).fill_null("\0").dictionary_encode() for c in ("lang", "source")]
+    codes = [
+        np.array([zlib.crc32(v.encode()) for v in x.dictionary.to_pylist()], np.int64)[x.indices.to_numpy()] for x in parts
+    ]
+    return (codes[0] * 31 + codes[1]) % CELLS
+
+
+def _sure_sums(models: tuple[Logistic, Logistic], used: np.ndarray):
+    """Documents to the sums of the views of all that a view is sure of, by class and cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[str, int], list] = {(v, y): [] for v in _VIEWS for y in (0, 1)}
+        total: dict[tuple[int, int, int], list] = {}
         for batch in batches:
             views = features(batch)
-            ids = batch.column("doc_id").to_numpy()
-            for name, model, x in zip(_VIEWS, models, views):
+            free = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            free &= ~np.isin(batch.column("doc_id").fill_null(0).to_numpy(), used)
+            cells = _cells(batch)
+            for by, (model, x) in enumerate(zip(models, views)):
                 p = sigmoid(model.logits(x))
                 for y, q in ((1, p), (0, 1 - p)):
-                    have = best[name, y]
-                    for i in np.flatnonzero(q >= SURE):
-                        have.append((-q[i], ids[i], views[0][i].astype("<f2").tobytes(), views[1][i].astype("<f2").tobytes()))
-                    have.sort(key=lambda r: r[:2])
-                    del have[GIVEN:]
-        rows = [(name, y, -q, i, a, b) for (name, y), have in best.items() for q, i, a, b in have]
-        if rows:
-            kinds = [pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                names=["by", "y", "sure", "doc_id", *_VIEWS],
-            )
+                    at = np.flatnonzero(free & (q >= SURE))
+                    for cell in np.unique(cells[at]):
+                        own = at[cells[at] == cell]
+                        sums = total.setdefault((by, y, int(cell)), [0, 0.0, 0.0])
+                        sums[0] += len(own)
+                        sums[1] = sums[1] + views[0][own].sum(axis=0, dtype=np.float64)
+                        sums[2] = sums[2] + views[1][own].sum(axis=0, dtype=np.float64)
+        yield _sum_rows(total)
 
     return run
 
 
-_GIVEN = "by string, y int, sure double, doc_id long, content binary, metadata binary"
+def _sum_rows(total: dict[tuple[int, int, int], list]) -> pa.RecordBatch:
+    keys = list(total)
+    columns = [pa.array([k[i] for k in keys], pa.int32()) for i in range(3)]
+    columns.append(pa.array([total[k][0] for k in keys], pa.int64()))
+    columns += [pa.array([total[k][i].tobytes() for k in keys], pa.binary()) for i in (1, 2)]
+    return pa.RecordBatch.from_arrays(columns, names=["by", "y", "cell", "n", *_VIEWS])
+
+
+_SUMS = "by int, y int, cell int, n long, content binary, metadata binary"
+
+
+def _added_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[tuple[int, int, int], list] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            sums = total.setdefault((row["by"], row["y"], row["cell"]), [0, 0.0, 0.0])
+            sums[0] += row["n"]
+            for i, name in enumerate(_VIEWS, 1):
+                sums[i] = sums[i] + np.frombuffer(row[name], np.float64)
+    yield _sum_rows(total)
 
 
 def train(
-    scratch: Scratch, documents: DataFrame, labels: DataFrame, label: str
+    scratch: Scratch, documents: DataFrame, labels: DataFrame, label: str, rounds: int = ROUNDS
 ) -> tuple[Logistic, Logistic, float] | None:
     """The two calibrated views and the labelled documents' log odds; None without both classes."""
     order = [F.xxhash64("doc_id"), "doc_id"]
@@ -203,33 +239,34 @@ def train(
     if len(set(y[~aside])) < 2 or len(set(y[aside])) < 2:
         return None
     x = [_unpacked(rows, "content", CONTENT), _unpacked(rows, "metadata", METADATA)]
-    sets = [[(v[~aside], y[~aside])] for v in x]
-
-    def fitted() -> tuple[Logistic, Logistic]:
-        return tuple(
-            calibrate(fit(np.vstack([a for a, _ in own]), np.concatenate([b for _, b in own])), v[aside], y[aside])
-            for own, v in zip(sets, x)
-        )
+    used = np.array([r["doc_id"] for r in rows], np.int64)
 
-    unlabelled = documents.where("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti")
-    given: list[int] = []
-    for round_ in range(ROUNDS):
-        pool = unlabelled.where(~F.col("doc_id").isin(given)) if given else unlabelled
-        sure = scratch.save(pool.mapInArrow(_surest(fitted()), _GIVEN), f"sure_{round_}")
-        new = []
-        for to, by in ((0, "metadata"), (1, "content")):
+    def fitted(given: list) -> tuple[Logistic, Logistic]:
+        models = []
+        for to, own in enumerate(x):
+            a, b, w = [own[~aside]], [y[~aside]], [np.ones((~aside).sum())]
             for value in (0, 1):
-                chosen = sure.where((F.col("by") == by) & (F.col("y") == value))
-                first = chosen.orderBy(F.desc("sure"), "doc_id").limit(GIVEN).collect()
-                if first:
-                    name, width = (("content", CONTENT), ("metadata", METADATA))[to]
-                    sets[to].append((_unpacked(first, name, width), np.full(len(first), value)))
-                    new += [r["doc_id"] for r in first]
-        if not new:
+                cells = [r for r in given if r["by"] != to and r["y"] == value]
+                if cells:
+                    n = np.array([r["n"] for r in cells], np.float64)
+                    means = [np.frombuffer(r[_VIEWS[to]], np.float64) / r["n"] for r in cells]
+                    a.append(np.array(means, np.float32))
+                    b.append(np.full(len(cells), value))
+                    w.append(n / n.sum() * GIVEN_WEIGHT * (y[~aside] == value).sum())
+            model = fit(np.vstack(a), np.concatenate(b), np.concatenate(w), len(a[0]))
+            models.append(calibrate(model, own[aside], y[aside]))
+        return tuple(models)
+
+    given: list = []
+    for round_ in range(rounds):
+        sums = documents.mapInArrow(_sure_sums(fitted(given), used), _SUMS)
+        added = sums.repartition("by", "y", "cell").mapInArrow(_added_sums, _SUMS)
+        # A row for each view, class and cell.
+        given = sorted(added.collect(), key=lambda r: (r["by"], r["y"], r["cell"]))
+        if not given:
             break
-        given += new
     odds = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    return (*fitted(), odds)
+    return (*fitted(given), odds)
 
 
 def _score(models: tuple[Logistic, Logistic, float]):
@@ -252,7 +289,9 @@ def _score(models: tuple[Logistic, Logistic, float]):
     return run
 
 
-def quality_scores(spark: SparkSession, documents: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+def quality_scores(
+    spark: SparkSession, documents: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS
+) -> DataFrame:
     """``doc_id, content_score, metadata_score, score, kept`` of every document.
 
     Scores are probabilities of the label 1; ``score`` adds up the views' log odds and
@@ -270,7 +309,7 @@ def quality_scores(spark: SparkSession, documents: DataFrame, labels: DataFrame,
         "source",
         F.coalesce(F.char_length("text"), F.lit(0)).cast("double").alias("chars"),
     )
-    models = train(Scratch(spark), rows, labels, label)
+    models = train(Scratch(spark), rows, labels, label, rounds)
     if models is None:
         half = F.lit(0.5)
         scored = rows.select(
