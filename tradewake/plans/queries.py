@@ -495,10 +495,8 @@ def sale_search_ranked(spark, folder):
 def sale_word_scores(spark, folder):
     """The BM25 score of every word of every sale of two days, each day by its own figures."""
     _, index = _index(spark, folder)
-    stored = spark.read.parquet(f"{index.path}/postings")
-    scores = relevance.word_scores(stored, spark.read.parquet(f"{index.path}/sizes"))
-    day = F.date_format("dt", "yyyy-MM-dd").alias("dt")  # read from folder names as a date
-    return scores.select(day, "word", "doc_id", F.round("score", relevance.DIGITS).alias("score"))
+    scores = relevance.word_scores(index.postings(spark), index.sizes(spark))
+    return scores.select("dt", "word", "doc_id", F.round("score", relevance.DIGITS).alias("score"))
 
 
 # --- tables ------------------------------------------------------------------

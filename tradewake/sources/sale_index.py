@@ -40,16 +40,20 @@ class SaleIndex:
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("dt").parquet(f"{self.path}/{name}")
 
-    def postings(self, spark: SparkSession, day: str, words: Iterable[str]) -> DataFrame:
-        """The postings of some words on a day: all that is read of the index."""
-        stored = spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings")
-        return stored.where((F.col("dt") == day) & F.col("word").isin(list(words)))
+    def postings(self, spark: SparkSession) -> DataFrame:
+        """``word, doc_id, n, length, dt`` of all indexed days."""
+        return spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings")
 
-    def sizes(self, spark: SparkSession, day: str) -> DataFrame:
-        return spark.read.schema(_SIZES).parquet(f"{self.path}/sizes").where(F.col("dt") == day)
+    def sizes(self, spark: SparkSession) -> DataFrame:
+        """``docs, words, dt`` of all indexed days."""
+        return spark.read.schema(_SIZES).parquet(f"{self.path}/sizes")
 
     def ranked(self, spark: SparkSession, day: str, keyword: str) -> DataFrame:
-        """``dt, doc_id, score`` of the day's sales that hold every word of the keyword."""
+        """``dt, doc_id, score`` of the day's sales that hold every word of the keyword.
+
+        Of the index, only the postings of these words on this day are read.
+        """
         words = spark.range(1).select(F.explode(F.array_distinct(values.tokens(F.lit(keyword or "")))))
-        found = self.postings(spark, day, [r[0] for r in words.collect()])
-        return relevance.ranked(found, self.sizes(spark, day), keyword)
+        of_day = F.col("dt") == day
+        found = self.postings(spark).where(of_day & F.col("word").isin([r[0] for r in words.collect()]))
+        return relevance.ranked(found, self.sizes(spark).where(of_day), keyword)

@@ -39,6 +39,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def _read_folders(spark: SparkSession, kind: T.StructType, path: str, folders: str) -> DataFrame:
+    """The files of folders below ``path``: no rows if there are none, an error if there is no ``path``."""
+    try:
+        return spark.read.schema(kind).option("basePath", path).parquet(folders)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        if not _exists(spark, path):
+            raise ValueError(f"there is no table at {path}") from missing
+        return spark.createDataFrame([], kind)
+
+
 @dataclass(frozen=True)
 class KeyedTable:
     """A table with a key. Rows of one key always lie in one part.
@@ -132,14 +144,7 @@ class KeyedTable:
         folders = self.path if parts is None else self._folder("*", "*") + f"/{PART}={{{','.join(parts)}}}"
         if parts == []:
             return spark.createDataFrame([], kind)
-        try:
-            return spark.read.schema(kind).option("basePath", self.path).parquet(folders)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            if not _exists(spark, self.path):
-                raise ValueError(f"there is no table at {self.path}") from missing
-            return spark.createDataFrame([], kind)
+        return _read_folders(spark, kind, self.path, folders)
 
     def _folder(self, writer: str, batch: int | str) -> str:
         return f"{self.path}/{WRITER}={writer}/{BATCH}={batch}"
@@ -224,7 +229,7 @@ class DatedTargets:
         kind = T.StructType([*self.schema, *[T.StructField(n, k) for n, k in more]])
         names = "*" if run_days is None else "{" + ",".join(f"{self.prefix}-{d}" for d in run_days) + "}"
         folders = f"{self.path}/{WRITER}=*/{BATCH}=*/{self.TARGET}={names}"
-        stored = spark.read.schema(kind).option("basePath", self.path).parquet(folders)
+        stored = _read_folders(spark, kind, self.path, folders)
         newest = [F.col(c).desc() for c in (self.TARGET, WRITTEN, BATCH, WRITER)]
         return first_per_key(stored, list(self.key), newest).select(*self.schema.names, self.TARGET)
 
