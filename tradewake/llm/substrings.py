@@ -158,11 +158,10 @@ def repeated_edges(scratch: Scratch, documents: DataFrame, span: int = SPAN, k:
         .select("minimizer", "edge")
     )
     one = F.lit(1).cast("long")
-    masks = scratch.save(
+    masks = (
         edges.join(twice, ["minimizer", "edge"])
         .groupBy("minimizer", "path")
-        .agg(F.bit_or(F.call_function("shiftleft", one, F.col("place"))).alias("mask")),
-        "masks",
+        .agg(F.bit_or(F.call_function("shiftleft", one, F.col("place"))).alias("mask"))
     )
     whole = F.call_function("shiftleft", one, F.col("edges")) - 1
     marks = repeated.where("not branches").select(*_ROW, "start", whole.alias("mask"))
