@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewake.functions import times, values
@@ -110,44 +112,75 @@ def suspects(events: DataFrame, buckets: DataFrame, window_seconds: int, at: str
     return events.join(buckets, same, "left_semi")
 
 
-def last_windows(
-    panes: DataFrame, window_seconds: int, slide_seconds: int, threshold: int
-) -> DataFrame:
-    """The last alerting window of each device and minute, as ``mid`` and ``window``.
+def panes_nearby(panes: DataFrame, window_seconds: int) -> DataFrame:
+    """``mid, start, panes``: what a device did in the windows that end in one bucket of time.
 
-    Only coupon and view events are put into the sliding windows here, and no lists are
-    built: of up to 12 windows a minute 11 are dropped again.
+    Buckets are as long as the window, so a pane counts in windows that end in its own
+    bucket or in the next one, and is sent to these two, not to every window. ``panes``
+    lists their end in microseconds, event, account, item and number.
     """
-    span = F.window(F.window_time("pane"), f"{window_seconds} seconds", f"{slide_seconds} seconds")
-    telling = panes.where(F.col("evid").isin(COUPON, VIEW))
-    state = telling.groupBy("mid", span.alias("window")).agg(
-        F.size(F.collect_set(F.when(F.col("evid") == COUPON, F.struct("uid")))).alias("accounts"),
-        F.max((F.col("evid") == VIEW).cast("int")).alias("views"),
+    width = window_seconds * 1_000_000
+    end = F.unix_micros("pane.end")
+    own = times.bucket_start(end, width)
+    dealt = panes.select(
+        "mid",
+        F.explode(F.array(own, own + width)).alias("start"),
+        F.struct(end.alias("end"), "evid", "uid", "itemid", "n").alias("pane"),
     )
-    found = state.where((F.col("accounts") >= threshold) & (F.col("views") == 0))
-    minute = F.date_trunc("minute", "window.end")
-    return found.groupBy("mid", minute.alias("_minute")).agg(F.max("window").alias("window")).drop("_minute")
+    return dealt.groupBy("mid", "start").agg(F.collect_list("pane").alias("panes"))
 
 
-def state_of(panes: DataFrame, windows: DataFrame, window_seconds: int, slide_seconds: int) -> DataFrame:
-    """The state (see :func:`window_state`) of given windows without views."""
-    ends = F.sequence(
-        F.col("window.start") + F.expr(f"interval {slide_seconds} seconds"),
-        F.col("window.end"),
-        F.expr(f"interval {slide_seconds} seconds"),
-    )
-    wanted = windows.select(F.col("mid").alias("_mid"), "window", F.explode(ends).alias("_end"))
-    coupon = F.col("evid") == COUPON
-    same = F.col("mid").eqNullSafe(F.col("_mid")) & (F.col("pane.end") == F.col("_end"))
-    return (
-        panes.join(wanted, same)
-        .groupBy("mid", "window")
-        .agg(
-            F.collect_set(F.when(coupon, F.struct("uid"))).alias("accounts"),
-            F.collect_set(F.when(coupon, F.struct("itemid"))).alias("items"),
-            F.collect_list(F.struct("evid", "n")).alias("event_counts"),
-            F.lit(0).alias("views"),
-        )
+def last_windows(nearby: DataFrame, window_seconds: int, slide_seconds: int, threshold: int) -> DataFrame:
+    """The last alerting window of each minute, as ``mid``, its ``end`` and the panes nearby.
+
+    ``nearby`` comes from :func:`panes_nearby`. Windows are looked at inside its rows, so
+    none becomes a row unless it alerts: of up to 12 windows a minute 11 are dropped again.
+    """
+    width, slide, minute = window_seconds * 1_000_000, slide_seconds * 1_000_000, 60_000_000
+    parts = nearby.select(
+        "*",
+        values.once(F.filter("panes", lambda p: p["evid"] == COUPON)).alias("coupons"),
+        values.once(F.filter("panes", lambda p: p["evid"] == VIEW)).alias("seen"),
+    ).where(F.size("coupons") >= threshold)
+
+    def alerts(end: Column) -> Column:
+        inside = _inside(end, width)
+        accounts = F.array_distinct(F.transform(F.filter("coupons", inside), lambda p: p["uid"]))
+        return ~F.exists("seen", inside) & (F.size(accounts) >= threshold)
+
+    def last_of(begin: Column) -> Column:
+        """The last alerting end from ``begin`` to the end of its minute or of the bucket."""
+        until = F.least(begin - F.pmod(begin, F.lit(minute)) + minute, F.col("start") + width) - 1
+        return F.array_max(F.filter(F.sequence(begin, until, F.lit(slide)), alerts))
+
+    ends = F.sequence(F.col("start"), F.col("start") + width - slide, F.lit(slide))
+    begins = F.filter(ends, lambda e: (e == F.col("start")) | (F.pmod(e, F.lit(minute)) < slide))
+    found = F.filter(F.transform(begins, last_of), lambda e: e.isNotNull())
+    return parts.select("mid", "panes", F.explode(found).alias("end"))
+
+
+def _inside(end: Column, width: int) -> Callable[[Column], Column]:
+    """Whether a pane lies in the window that ends at ``end``."""
+    return lambda pane: (pane["end"] > end - width) & (pane["end"] <= end)
+
+
+def state_of(windows: DataFrame, window_seconds: int) -> DataFrame:
+    """The state (see :func:`window_state`) of windows without views, from the panes nearby."""
+    inside = _inside(F.col("end"), window_seconds * 1_000_000)
+    whole = windows.select("mid", "end", values.once(F.filter("panes", inside)).alias("panes"))
+    coupons = F.filter("panes", lambda p: p["evid"] == COUPON)
+
+    def members(name: str) -> Column:
+        each = F.array_distinct(F.transform(coupons, lambda p: p[name]))
+        return F.transform(each, lambda x: F.struct(x.alias(name)))
+
+    return whole.select(
+        "mid",
+        F.struct(F.timestamp_micros("end").alias("end")).alias("window"),
+        members("uid").alias("accounts"),
+        members("itemid").alias("items"),
+        F.transform("panes", lambda p: F.struct(p["evid"].alias("evid"), p["n"].alias("n"))).alias("event_counts"),
+        F.lit(0).alias("views"),
     )
 
 
@@ -161,8 +194,9 @@ def coupon_alerts(
 ) -> DataFrame:
     """Batch form: all alerts, one per device and minute.
 
-    Only suspect events are expanded into sliding windows, and what happened is listed
-    for the last alerting window of each minute only. With ``scratch``, a
+    Only suspect events are counted, the counts of a device are sent to two buckets of
+    time, where all sliding windows are looked at, and what happened is listed for the
+    last alerting window of each minute only. With ``scratch``, a
     folder all executors share, the list of suspects is written there first. Its
     size is then known when the events are filtered, and as long as it is below
     Spark's broadcast limit the events are filtered where they are read instead of
@@ -175,8 +209,8 @@ def coupon_alerts(
         buckets.write.mode("overwrite").parquet(scratch)
         buckets = events.sparkSession.read.schema(buckets.schema).parquet(scratch)
     panes = pane_counts(suspects(needed, buckets, window_seconds, at), slide_seconds, at)
-    last = last_windows(panes, window_seconds, slide_seconds, threshold)
-    return alert_per_minute(alerting(state_of(panes, last, window_seconds, slide_seconds), threshold))
+    last = last_windows(panes_nearby(panes, window_seconds), window_seconds, slide_seconds, threshold)
+    return alert_per_minute(alerting(state_of(last, window_seconds), threshold))
 
 
 def alert_per_minute(alerts: DataFrame) -> DataFrame:
