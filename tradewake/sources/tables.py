@@ -12,8 +12,9 @@ last. ``compact`` merges the batches into a fresh table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,7 +58,9 @@ class KeyedTable:
 
     ``day`` names a column of days as text, whose months are the parts and by which files
     are sorted, so that a day is found by its month's folder and the files' statistics.
-    ``buckets`` deals the keys to so many parts instead.
+    ``buckets`` deals the keys to so many parts instead. ``told`` names columns that the
+    key tells: rows that come from a join on them find their latest where they are, without
+    another shuffle.
     """
 
     path: str
@@ -65,6 +68,7 @@ class KeyedTable:
     key: tuple[str, ...]
     day: str | None = None
     buckets: int = 0
+    told: tuple[str, ...] = ()
 
     def create(self, spark: SparkSession) -> KeyedTable:
         """Make the table's folder, so that it can be read before anything is stored."""
@@ -115,7 +119,7 @@ class KeyedTable:
         Later batches go to the new table. The old folder stays for readers that still
         use it.
         """
-        target = KeyedTable(into, self.schema, self.key, self.day, self.buckets)
+        target = replace(self, path=into)
         rows = self._current(spark).select(*self.schema.names, SEQUENCE)
         target._write(rows, target._folder("compact", 0))
         return target
@@ -129,6 +133,9 @@ class KeyedTable:
             # At most as many rows as there are buckets.
             parts = [r[0] for r in wanted.select(self._part()).distinct().collect()]
         stored = self._stored_rows(spark, parts)
+        # A batch has one row per key, so a table of one batch, a merged one say, has
+        # nothing to choose from.
+        batches = {re.findall(f"/{WRITER}=([^/]*)/{BATCH}=([^/]*)/", f)[-1] for f in stored.inputFiles()}
         if days is not None:
             stored = stored.where(F.col(self.day).isin(days))
         if before is not None:
@@ -136,6 +143,8 @@ class KeyedTable:
             stored = stored.where((F.col(WRITER) != writer) | (F.col(BATCH) < batch))
         if wanted is not None:
             stored = stored.join(wanted.select(*self.key), list(self.key), "left_semi")
+        if len(batches) < 2:
+            return stored
         newest = [F.col(c).desc_nulls_last() for c in (SEQUENCE, WRITTEN, BATCH, WRITER)]
         return first_per_key(stored, self._group(), newest)
 
@@ -172,7 +181,7 @@ class KeyedTable:
     def _group(self) -> list[str]:
         # With the day in the group, a filter on it reaches the scan.
         extra = [self.day] if self.day and self.day not in self.key else []
-        return [*extra, *self.key]
+        return [*extra, *self.told, *self.key]
 
     def _stored(self) -> T.StructType:
         more = [
@@ -260,6 +269,7 @@ def sale_table(root: str) -> KeyedTable:
         T.StructType([T.StructField("doc_id", T.StringType()), *schemas.SALE_DETAIL]),
         ("doc_id",),
         "dt",
+        told=("order_id",),
     )
 
 
