@@ -42,3 +42,7 @@ def test_one_batch_is_read_without_a_shuffle_and_two_are_merged(spark, tmp_path)
     merged = store.compact(spark, str(tmp_path / "merged"))
     assert "Exchange" not in plan(merged.read(spark)) and sorted(merged.read(spark).collect()) == sorted(twice)
     assert merged._group() == store._group()
+
+
+def test_streams_do_not_look_up_state_only_to_count_it(spark):
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows") == "false"
