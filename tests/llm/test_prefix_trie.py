@@ -124,3 +124,28 @@ def test_pieces_of_ids(spark, monkeypatch):
     for key in (-1, 0, 1):
         ids = [i for i in range(-50, 70) if (abs(i) % 2) * (1 if i > 0 else -1) == key]
         assert got[key] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_conversations_of_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "TURNS", 4)
+    rows = grown(4, 40, 30, ["yes", "no"])
+    # A chain in which each conversation branches off the one before, and copies of its end.
+    chain = [(c, t, "user", f"{min(t, 2 * c)}") for c in range(2000, 2012) for t in range(2 * (c - 1998))]
+    chain += [(c, t, "user", f"{t}") for c in range(2100, 2112) for t in range(c - 2098)]
+    assert built(spark, rows + chain) == brute(rows + chain)
+
+
+def test_jobs_do_not_grow_with_the_longest_conversation(spark, monkeypatch):
+    """Each table, join and exchange takes the driver's memory."""
+    saved, save = [], prefix_trie.Scratch.save
+    monkeypatch.setattr(prefix_trie.Scratch, "save", lambda self, frame, name: saved.append(name) or save(self, frame, name))
+
+    def steps(turns):
+        saved.clear()
+        rows = [(c, t, "user", f"{t % 7} {t > c}", 1, "a", 2, 3, "b") for c in (1, 2, 40) for t in range(turns)]
+        plan = prefix_trie.prefix_trie(spark, spark.createDataFrame(rows, KIND))._jdf.queryExecution().optimizedPlan()
+        return len(saved), plan.toString().count("Join")
+
+    assert steps(3) == steps(300)
+    tables, joins = steps(300)
+    assert tables <= 7 and joins <= 3

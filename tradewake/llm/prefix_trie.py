@@ -1,27 +1,26 @@
-"""The trie of conversation prefixes, built by cutting sequences at half depth.
-
-Window [s, s + 2H) of the depths holds sequences of turns below known nodes at depth s. It
-is cut in the middle: sequences that agree in their first H turns are one sequence of the
-upper trie, and that cut prefix, named by the smallest conversation that has it, is the
-node below which what is left of them forms a lower forest. Upper tries and lower forests
-of all windows are cut again together, so the number of rounds is the logarithm of the
-longest conversation, and a round handles each distinct sequence once, with a weight,
-however many conversations share it.
-
-Names of aligned blocks of 1, 2, 4, ... turns are made first, each from its two halves;
-a round looks up one block for each sequence. When windows are one turn deep, their
-sequences are the nodes. Totals are grafted the other way: sums over a lower forest are
-added to the window above it, and then passed down to the nodes on its path, again by
-halves.
+"""The trie of conversation prefixes, built from running digests of the turns.
+
+The first d turns of a conversation are named by the exclusive or of digests of place and
+turn, a running value, so equal prefixes get equal names in one pass, whatever their length.
+The digests hold a number drawn for each call: no texts can be chosen to make two prefixes
+collide.
+
+A node belongs to the smallest conversation that has it. A conversation's own nodes are the
+deepest ones of its path, from some depth on. Totals over a subtree are sums over its
+members: of what each member adds from that depth to where its own nodes begin (turns that
+another conversation has already), and of the leaf that it may own. So every total is one
+aggregation by node, and the number of jobs does not depend on the longest conversation.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tradewake.llm.shared import Scratch, numbered, read_table, text_or_empty
@@ -30,9 +29,13 @@ from tradewake.llm.shared import Scratch, numbered, read_table, text_or_empty
 FAMILY, HEADS = 100, 6
 # Member ids in one piece of a node's list: those between multiples of this number.
 IDS = 4096
+# Turns of one conversation that meet in a task.
+TURNS = 1024
 
 EMPTY = hashlib.sha256().hexdigest()
 _ID = ["depth", "conv_id"]
+# A prefix: its depth and the two halves of its name.
+_PREFIX = ["depth", "x", "y"]
 
 
 def rebuilt(scratch: Scratch, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,114 +66,77 @@ def rebuilt(scratch: Scratch, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     heads = own.where(F.col("i") < HEADS).select(F.col("conv_id").alias("of"), "i", "name", "chars")
     first = plan.where("taken > 0").join(heads, "of").where("i < taken").select("conv_id", "n", "i", "name", "chars")
-    return plan.select("conv_id", "n"), scratch.save(first.union(later), "blocks_0")
-
-
-def block_names(scratch: Scratch, turns: DataFrame, levels: int) -> list[DataFrame]:
-    """For each level, ``conv_id, n, i, name`` of the i-th block of 2^level turns, if complete."""
-    blocks = [turns]
-    for level in range(1, levels):
-        complete = F.col("i") < F.shiftright("n", level) * 2
-        pair = blocks[-1].where(complete).withColumn("pair", F.shiftright("i", 1))
-        name = F.md5(F.concat(F.min_by("name", "i"), F.max_by("name", "i"))).alias("name")
-        both = pair.groupBy("conv_id", "n", "pair").agg(name).withColumnRenamed("pair", "i")
-        blocks.append(scratch.save(both, f"blocks_{level}"))
-    return blocks
+    return plan.select("conv_id", "n"), first.union(later)
 
 
-def classes(scratch: Scratch, blocks: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Equal conversations as one: ``n, least, weight``, and of each conversation its least.
+def prefixes(scratch: Scratch, turns: DataFrame, longest: int) -> DataFrame:
+    """All prefixes but the empty one: ``conv_id, n, depth, x, y, chars, told``.
 
-    A conversation's name is made of those of the blocks that its length is the sum of.
+    ``chars`` are the code points of the last text, ``told`` those of all texts. A
+    conversation is cut every TURNS turns; a part's last row holds what it adds to the
+    parts after it.
     """
-    parts = None
-    for level, block in enumerate(blocks):
-        ends = block.where((F.shiftright("n", level) % 2 == 1) & (F.col("i") == F.shiftright("n", level) - 1))
-        part = ends.select("conv_id", "n", F.struct(F.lit(level).alias("level"), "name").alias("part"))
-        parts = part if parts is None else parts.union(part)
-    # At most one part for each level.
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda x: x["name"]), "")
-    named = scratch.save(parts.groupBy("conv_id", "n").agg(F.md5(joined).alias("whole")), "named")
-    least = [F.min("conv_id").alias("least"), F.count("*").alias("weight")]
-    found = scratch.save(named.groupBy("n", "whole").agg(*least), "classes")
-    return found.drop("whole"), named.join(found, ["n", "whole"]).select("conv_id", "n", "least")
-
-
-def cut_in_halves(
-    scratch: Scratch, start: DataFrame, blocks: list[DataFrame]
-) -> tuple[list[DataFrame], list[DataFrame]]:
-    """The sequences of all windows, ``start, root, least, length, weight``, by level.
-
-    The second list has, for sequences that end in the middle of their window, the node
-    that they end in: ``least, n, node``.
-    """
-    windows, ends = [start], []
-    for level in reversed(range(len(blocks))):
-        half = 1 << level
-        block = blocks[level].select(F.col("conv_id").alias("least"), (F.col("i") * half).alias("start"), "name")
-        long = windows[0].where(F.col("length") >= half).join(block, ["least", "start"])
-        key = ["start", "root", "name"]
-        # Written, so that joining back can split a prefix that many sequences share.
-        cut = scratch.save(
-            long.groupBy(*key).agg(F.min("least").alias("cut"), F.sum("weight").alias("weight")), f"cut_{level}"
-        )
-        columns = ["start", "root", "least", "length", "weight"]
-        upper = windows[0].where(F.col("length") < half).select(*columns).union(
-            cut.select("start", "root", F.col("cut").alias("least"), F.lit(half).cast("long").alias("length"), "weight")
-        )
-        below = long.join(cut.select(*key, "cut"), key)
-        lower = below.where(F.col("length") > half).select(
-            F.col("start") + half, F.col("cut"), "least", F.col("length") - half, "weight"
-        )
-        ends.append(
-            below.where(F.col("length") == half).select(
-                "least", (F.col("start") + half).alias("n"), F.col("cut").alias("node")
-            )
-        )
-        windows.insert(0, scratch.save(upper.union(lower), f"windows_{level}"))
-    return windows, ends
+    digest = F.md5(F.concat_ws(":", F.lit(uuid.uuid4().hex), F.col("i").cast("string"), "name"))
+    half = [F.conv(F.substring(digest, k, 15), 16, 10).cast("long").alias(c) for k, c in ((1, "x"), (16, "y"))]
+    part = F.expr(f"i div {TURNS}").alias("part")
+    within = W.partitionBy("conv_id", "part").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+
+    def running(over: W) -> list:
+        return [F.bit_xor("x").over(over).alias("x"), F.bit_xor("y").over(over).alias("y"), F.sum("told").over(over).alias("told")]
+
+    rows = scratch.save(
+        turns.select("conv_id", "n", "i", part, "chars", F.col("chars").alias("told"), *half).select(
+            "conv_id", "n", (F.col("i") + 1).alias("depth"), "part", "chars", *running(within)
+        ),
+        "prefixes_of_parts",
+    )
+    if longest > TURNS:
+        before = rows.where(F.col("depth") % TURNS == 0).select(
+            "conv_id", (F.col("part") + 1).alias("part"),
+            *running(W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, 0)),
+        )
+        before = before.withColumnsRenamed({c: f"{c}_before" for c in ("x", "y", "told")})
+        no = F.lit(0).cast("long")
+        rows = scratch.save(
+            rows.join(before, ["conv_id", "part"], "left").select(
+                "conv_id", "n", "depth", "chars",
+                *[F.col(c).bitwiseXOR(F.coalesce(f"{c}_before", no)).alias(c) for c in ("x", "y")],
+                (F.col("told") + F.coalesce("told_before", no)).alias("told"),
+            ),
+            "prefixes",
+        )
+    return rows.select("conv_id", "n", *_PREFIX, "chars", "told")
 
 
-def grafted(scratch: Scratch, nodes: DataFrame, windows: list[DataFrame], values: list[str]) -> DataFrame:
-    """``depth, conv_id`` and what comes to each of the values from below the node.
+def own_paths(scratch: Scratch, convs: DataFrame, rows: DataFrame, root: int) -> DataFrame:
+    """Of each conversation ``conv_id, n, own, leaf, upto, at``.
 
-    ``sums[j]`` has the sums over windows of 2^j turns by their root; the root of a lower
-    forest is a node whose window ends with it. What a window passes to that node goes to
-    all nodes on the node's path in the window, and is passed on by halves.
+    Its nodes from depth ``own`` on are its own, n + 1 if there are none; ``leaf`` is 1 if
+    the last one is a leaf. ``at`` names the node above them, and ``upto`` are the code
+    points of all texts to there.
     """
-    total = [F.sum(v).alias(v) for v in values]
-    path = [
-        w.where(F.col("length") == 1 << level).select(
-            (F.col("start") + (1 << level)).alias("depth"),
-            F.col("least").alias("conv_id"),
-            F.col("root").alias("up"),
-        )
-        for level, w in enumerate(windows[:-1])
-    ]
-    sums = [nodes.groupBy((F.col("depth") - 1).alias("depth"), F.col("parent_conv_id").alias("conv_id")).agg(*total)]
-    sums[0] = scratch.save(sums[0], "sums_0")
-    for level in range(1, len(windows)):
-        half = 1 << (level - 1)
-        is_lower = F.col("depth") % (2 * half) == half
-        moved = sums[-1].join(path[level - 1], _ID, "left")
-        at = [
-            F.when(is_lower, F.col("depth") - half).otherwise(F.col("depth")).alias("depth"),
-            F.when(is_lower, F.col("up")).otherwise(F.col("conv_id")).alias("conv_id"),
-        ]
-        sums.append(scratch.save(moved.select(*at, *values).groupBy(*_ID).agg(*total), f"sums_{level}"))
-    passed = None
-    for level in reversed(range(len(windows) - 1)):
-        size = 1 << level
-        from_below = sums[level].where(F.col("depth") % (2 * size) == size).select(*_ID, *values)
-        if passed is None:
-            passed = from_below
-            continue
-        own = F.struct("depth", "conv_id")
-        above = F.struct((F.col("depth") - size).alias("depth"), F.col("up").alias("conv_id"))
-        halves = passed.join(path[level], _ID).select(F.explode(F.array(own, above)).alias("to"), *values)
-        passed = halves.select("to.*", *values).union(from_below).groupBy(*_ID).agg(*total)
-    # The last sum is that of the whole trie, by its root.
-    return passed.union(sums[-1].select(*_ID, *values))
+    told = rows.where("depth > 0")
+    ends = F.sum((F.col("depth") == F.col("n")).cast("long"))
+    # Written, so that joining back can split a prefix that many conversations share.
+    nodes = scratch.save(
+        told.groupBy(*_PREFIX).agg(F.min("conv_id").alias("least"), (F.count("*") == ends).alias("ended")), "nodes"
+    )
+    owned = nodes.groupBy(F.col("least").alias("conv_id")).agg(
+        F.min("depth").alias("own"), F.max(F.col("ended").cast("long")).alias("leaf")
+    )
+    paths = convs.join(owned, "conv_id", "left").select(
+        "conv_id", F.coalesce("own", F.col("n") + 1).alias("own"), F.coalesce("leaf", F.lit(0).cast("long")).alias("leaf")
+    )
+    above = scratch.save(
+        rows.join(paths, "conv_id")
+        .where("depth = own - 1")
+        .select("conv_id", "n", "own", "leaf", F.col("told").alias("upto"), *_PREFIX),
+        "above",
+    )
+    columns = ["conv_id", "n", "own", "leaf", "upto"]
+    at_root = above.where("depth = 0").select(*columns, F.lit(root).cast("long").alias("at"))
+    below = above.where("depth > 0").join(nodes, _PREFIX).select(*columns, F.col("least").alias("at"))
+    return scratch.save(at_root.union(below), "paths")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,58 +193,31 @@ def prefix_trie(spark: SparkSession, turns: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spark)
     convs, turns = rebuilt(scratch, turns)
-    n, root, longest = convs.agg(F.count("*"), F.min("conv_id"), F.max("n")).first()
-    none = F.lit(None).cast("long")
-    top = convs.limit(1).select(
-        F.lit(0).cast("long").alias("depth"), F.lit(root).cast("long").alias("conv_id"), none.alias("parent_conv_id"),
-        F.lit(n).cast("long").alias("n_convs"), F.lit(0).cast("long").alias("chars"),
-    )
-    turnless = convs.where("n = 0").select(
-        F.lit(0).cast("long").alias("depth"), F.lit(root).cast("long").alias("conv_id"), F.col("conv_id").alias("member")
-    )
-    values = ["n_leaves", "saved_tokens"]
-    if longest:
-        levels = longest.bit_length()
-        blocks = block_names(scratch, turns, levels)
-        found, member = classes(scratch, blocks)
-        zero = F.lit(0).cast("long").alias("start")
-        start = found.select(zero, F.lit(root).cast("long").alias("root"), "least", F.col("n").alias("length"), "weight")
-        windows, ends = cut_in_halves(scratch, start, blocks)
-        chars = turns.select(F.col("conv_id").alias("least"), F.col("i").alias("start"), "chars")
-        made = windows[0].join(chars, ["least", "start"]).select(
-            (F.col("start") + 1).alias("depth"), F.col("least").alias("conv_id"), F.col("root").alias("parent_conv_id"),
-            F.col("weight").alias("n_convs"), "chars",
-        )
-        nodes = scratch.save(top.union(made), "nodes")
-        where = ends[0]
-        for more in ends[1:]:
-            where = where.union(more)
-        # One end for each distinct conversation.
-        members = member.join(where, ["least", "n"]).select(
-            F.col("n").alias("depth"), F.col("node").alias("conv_id"), F.col("conv_id").alias("member")
-        ).union(turnless)
-    else:
-        nodes, members, windows = top, turnless, None
-    children = nodes.where("depth > 0").groupBy(
-        (F.col("depth") - 1).alias("depth"), F.col("parent_conv_id").alias("conv_id")
-    ).agg(F.count("*").alias("n_children"))
-    n_children = F.coalesce("n_children", F.lit(0).cast("long"))
-    own = nodes.join(children, _ID, "left").select(
-        *_ID, "parent_conv_id", "n_convs", n_children.alias("n_children"),
-        F.when(n_children == 0, 1).otherwise(0).cast("long").alias("n_leaves"),
-        ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens"),
+    root, longest = convs.agg(F.min("conv_id"), F.max("n")).first()
+    zero = F.lit(0).cast("long")
+    none = [zero.alias(c) for c in (*_PREFIX, "chars", "told")]
+    rows = prefixes(scratch, turns, longest or 0).union(convs.select("conv_id", "n", *none))
+    paths = own_paths(scratch, convs, rows, root)
+    depth, own = F.col("depth"), F.col("own")
+    # Of the members of a node, only the smallest has it as its own.
+    parent = F.when(own < depth, F.col("conv_id")).when(own == depth, F.col("at"))
+    n_children = F.sum(((own <= depth + 1) & (depth < F.col("n"))).cast("long"))
+    saved = F.when(depth < own, F.col("upto") - (F.col("told") - F.col("chars"))).otherwise(zero)
+    nodes = (
+        rows.drop("n")
+        .join(paths, "conv_id")
+        .groupBy(*_PREFIX)
+        .agg(
+            F.min("conv_id").alias("conv_id"), F.max(parent).alias("parent_conv_id"), F.count("*").alias("n_convs"),
+            n_children.alias("n_children"), F.sum("leaf").alias("n_leaves"), F.sum(saved).alias("saved_tokens"),
+        )
     )
-    if windows:
-        own = scratch.save(own, "valued")
-        below = grafted(scratch, own.where("depth > 0"), windows, values)
-        own = own.join(below.select(*_ID, *[F.col(v).alias(f"{v}_below") for v in values]), _ID, "left")
-        own = own.select(
-            *_ID, "parent_conv_id", "n_convs", "n_children",
-            *[(F.col(v) + F.coalesce(f"{v}_below", F.lit(0).cast("long"))).alias(v) for v in values],
-        )
-    digests = end_digests(members)
-    return own.join(digests, _ID, "left").select(
-        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", *values,
+    at = F.when(own <= F.col("n"), F.col("conv_id")).otherwise(F.col("at"))
+    digests = end_digests(paths.select(F.col("n").alias("depth"), at.alias("conv_id"), F.col("conv_id").alias("member")))
+    # A root without children is the only leaf, and nobody's own.
+    n_leaves = F.when(F.col("n_children") == 0, F.lit(1).cast("long")).otherwise(F.col("n_leaves"))
+    return nodes.join(digests, _ID, "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", n_leaves.alias("n_leaves"), "saved_tokens",
         F.coalesce("ends_sha256", F.lit(EMPTY)).alias("ends_sha256"),
     )
 
