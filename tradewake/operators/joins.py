@@ -90,33 +90,36 @@ def late_join_stream(
     orders: DataFrame,
     before_seconds: int,
     after_seconds: int,
+    since: int,
+    until: int,
     line_at: str = "line_at",
     order_at: str = "order_at",
-    delay: str = "10 seconds",
-    salts: int = 4,
-    unmatched: bool = False,
+    fresh: str = "fresh",
 ) -> DataFrame:
-    """Streaming form of :func:`late_join`. Both inputs wait ``delay`` for stragglers.
+    """Streaming form of :func:`late_join`: the rows that a batch adds to the result.
 
-    With ``unmatched``, a line without an order comes out too, with a null ``order``, as
-    soon as no order that is still to come can be near enough. State on either side is dropped once the tolerance has passed. With
-    ``salts > 1`` the lines of an order id are spread over that many tasks and the
-    orders copied to each, so one id cannot fill a single state partition.
+    Both sides hold what is kept from earlier batches and what came with this one, for
+    which ``fresh`` is true. Pairs of two earlier rows came out before. A line without an
+    order comes out too, with a null ``order``, as soon as no order that is still to come
+    can be near enough: when the watermark, ``since`` before this batch and ``until`` after
+    it (in microseconds), has passed all times of an order that the line accepts.
     """
-    o = orders.withWatermark(order_at, delay).select(
-        F.col("id").alias("_oid"), F.col(order_at).alias("_at"), F.struct(*orders.columns).alias("order")
+    own = [c for c in orders.columns if c != fresh]
+    o = orders.select(
+        F.col("id").alias("_oid"),
+        F.col(order_at).alias("_at"),
+        F.col(fresh).alias("_fresh_order"),
+        F.struct(*own).alias("order"),
     )
-    l = lines.withWatermark(line_at, delay)
-    same = F.col("order_id") == F.col("_oid")
-    if salts > 1:
-        l = l.withColumn("_salt", F.pmod(F.xxhash64("id", line_at), F.lit(salts)).cast("int"))
-        o = o.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        same = same & (F.col("_salt") == F.col("_copy"))
     near = F.col("_at").between(
         F.col(line_at) - F.expr(f"interval {after_seconds} seconds"),
         F.col(line_at) + F.expr(f"interval {before_seconds} seconds"),
     )
-    return l.join(o, same & near, "left_outer" if unmatched else "inner").select(*lines.columns, "order")
+    last = F.unix_micros(F.col(line_at)) + before_seconds * 1_000_000
+    given_up = (last <= until) & (F.col(fresh) | (last > since))
+    met = lines.join(o, (F.col("order_id") == F.col("_oid")) & near, "left")
+    new = met.where(F.when(F.col("_oid").isNull(), given_up).otherwise(F.col(fresh) | F.col("_fresh_order")))
+    return new.select(*[c for c in lines.columns if c != fresh], "order")
 
 
 def with_users(rows: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:

@@ -21,6 +21,7 @@ from tradewake.functions import values
 from tradewake.operators import alerts, changes, ingest, joins, metrics
 from tradewake.sources import tables
 from tradewake.sources.launch_store import launch_store
+from tradewake.sources.sale_records import Kept, SaleRecords
 from tradewake.sources.topics import Sink
 
 
@@ -124,28 +125,30 @@ def user_job(source: DataFrame, paths: JobPaths, once: bool = False) -> Streamin
     return _start(_per_batch(good, write, "users"), paths.checkpoint("users"), once)
 
 
-def matched_sales(
-    order_source: DataFrame,
-    line_source: DataFrame,
-    before_seconds: int = config.LINE_BEFORE_ORDER_SECONDS,
-    after_seconds: int = config.LINE_AFTER_ORDER_SECONDS,
-    delay: str = "10 seconds",
-    salts: int = 4,
-) -> DataFrame:
-    """Lines with their orders from the two streams, joined on source time.
+def sale_records(order_source: DataFrame, line_source: DataFrame) -> DataFrame:
+    """Orders and lines of the two streams as one, with their source time ``at``."""
+    orders = ingest.accepted(flagged_orders(order_source))
+    lines = ingest.accepted(flagged_lines(line_source))
+    at = F.col("timestamp").alias("at")
+    order = F.struct("id", "order_status", "create_time", "user_id", "create_date").alias("order")
+    line = F.struct("id", "order_id", "sku_id", "sku_price", "sku_name").alias("line")
+    o = orders.select(at, F.lit(True).alias("is_order"), order)
+    l = lines.select(at, F.lit(False).alias("is_order"), line)
+    return o.unionByName(l, allowMissingColumns=True)
+
+
+def matched_sales(kept: Kept, before_seconds: int, after_seconds: int) -> DataFrame:
+    """Lines with their orders that a batch adds, joined on source time.
 
     A line whose order can no longer come has a null order.
     """
-    orders = ingest.accepted(flagged_orders(order_source))
-    lines = ingest.accepted(flagged_lines(line_source))
-    o = orders.select(
-        "id", "order_status", "create_time", "user_id", "create_date", F.col("timestamp").alias("order_at")
-    )
-    l = lines.select("id", "order_id", "sku_id", "sku_price", "sku_name", F.col("timestamp").alias("line_at"))
-    joined = joins.late_join_stream(l, o, before_seconds, after_seconds, delay=delay, salts=salts, unmatched=True)
+    joined = joins.late_join_stream(kept.lines, kept.orders, before_seconds, after_seconds, kept.since, kept.until)
     # The order's time tells which of two records of one order is the later.
-    line = F.when(F.col("order").isNull(), F.struct("order_id", "id", "sku_id", "sku_name", "line_at"))
-    return joins.merge_sale(joined, F.col("order.order_at"), line.alias("unmatched"))
+    line = F.when(F.col("order").isNull(), F.struct("id", "sku_id", "sku_name", "line_at"))
+    sales = joins.merge_sale(joined, F.col("order.order_at"), line.alias("unmatched"), F.col("order_id").alias("line_of"))
+    # Named by the line, the order is what the join was dealt by: the tables these rows go
+    # to find their latest where they lie.
+    return sales.withColumn("order_id", F.col("line_of")).drop("line_of")
 
 
 def sale_job(
@@ -154,30 +157,36 @@ def sale_job(
     paths: JobPaths,
     as_of: Column | None = None,
     once: bool = False,
-    **limits,
+    before_seconds: int = config.LINE_BEFORE_ORDER_SECONDS,
+    after_seconds: int = config.LINE_AFTER_ORDER_SECONDS,
+    delay: str = "10 seconds",
 ) -> StreamingQuery:
     """Sale details with the user as known when the batch runs, into the sale table.
 
     Lines that stay without an order go to the table of unmatched lines. ``as_of`` is the
-    day ages are counted to, by default the current one; ``limits`` go to
-    :func:`matched_sales`.
+    day ages are counted to, by default the current one. The records that may still meet
+    are kept as files beside the checkpoint (see ``sources/sale_records.py``) and not in a
+    state store, which would hold each of them three times.
     """
     spark = order_source.sparkSession
-    joined = metrics.observed(matched_sales(order_source, line_source, **limits), "sales")
+    arrived = metrics.observed(sale_records(order_source, line_source), "sale_records")
+    records = SaleRecords(paths.checkpoint("sale_records"), before_seconds, after_seconds, delay)
     store = tables.sale_table(paths.tables).create(spark)
     users = tables.user_table(paths.tables).create(spark)
     expired = tables.unmatched_table(paths.tables).create(spark)
     today = as_of if as_of is not None else F.current_date()
 
     def write(batch: DataFrame, batch_id: int, query: str) -> None:
-        batch.persist()  # read for its size, its user ids and its rows
+        kept = records.add(batch, batch_id, query)
+        # Read for its size, its user ids and its rows.
+        joined = matched_sales(kept, before_seconds, after_seconds).persist()
         try:
-            if not batch.count():
+            if not joined.count():
                 return
-            lines = batch.where("unmatched is not null").select("unmatched.*")
+            lines = joined.where("unmatched is not null").select("order_id", "unmatched.*")
             day = F.date_format("line_at", "yyyy-MM-dd").alias("day")
             expired.upsert(lines.select("*", day), batch_id, ["line_at"], query)
-            sales = batch.where("unmatched is null")
+            sales = joined.where("unmatched is null")
             # The size is known now: Spark broadcasts the ids if they are few, and only
             # the buckets that hold them are read.
             known = users.read(batch.sparkSession, wanted=joins.user_ids(sales))
@@ -185,9 +194,9 @@ def sale_job(
             doc_id = values.sale_document_id(F.col("order_id"), F.col("order_detail_id"))
             store.upsert(full.withColumn("doc_id", doc_id), batch_id, ["order_at"], query)
         finally:
-            batch.unpersist()
+            joined.unpersist()
 
-    return _start(_per_batch(joined, write, "sales"), paths.checkpoint("sales"), once)
+    return _start(_per_batch(arrived, write, "sales"), paths.checkpoint("sales"), once)
 
 
 def alert_stream(
