@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tests.test_scale import N, big_data, hot_tables, run  # noqa: F401
 from tests.test_streaming import at, feed, finish, line_of, order_of, paths  # noqa: F401
 from tradewake.operators import joins
 from tradewake.sources import tables, topics
@@ -76,3 +77,13 @@ def test_late_records_are_counted_and_folders_behind_the_watermark_go(spark, tmp
     assert records.late(spark, 3, "w") == 1 and folders() == ["batch=2", "batch=3"]
     with pytest.raises(ValueError, match="another job"):
         add(9, (2000, True, "y"))
+
+
+def test_a_hot_order_of_a_batch_is_split(spark, hot_tables):  # noqa: F811
+    lines, orders = hot_tables
+    now = F.timestamp_seconds(F.lit(1_700_000_000))
+    l = lines.select("id", "order_id", now.alias("line_at"), F.lit(True).alias("fresh"))
+    o = orders.select("id", now.alias("order_at"), F.lit(True).alias("fresh"))
+    with big_data(spark):
+        n, text = run(joins.late_join_stream(l, o, 300, 100, 0, 0))
+    assert n == N and "skew=true" in text
